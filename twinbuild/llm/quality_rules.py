@@ -172,10 +172,25 @@ def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most
     return float(np.flatnonzero(gain == gain.max())[-1]) / steps if gain.max() > 0 else 2.0
 
 
+def _judged(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return with_rule_statistics(docs, text, keep).withColumn("base_failed", failed)
+
+
+def _passes(limit: float):
+    return ~F.col("base_failed") & (F.floor(F.col("anomaly") * 1000) < round(limit * 1000))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
     """`keep` (with doc_id), the rule statistics, base_failed, the anomaly and kept."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stored(with_rule_statistics(docs, text, keep).withColumn("base_failed", failed), "rule-statistics")
+    stats = stored(_judged(docs, text, keep), "rule-statistics")
     scored = stored(with_anomaly(stats, fit_forest(stats, trees, tree_rows)), "rule-scores")
-    limit = calibrate(scored, labels, most_good=most_good)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * 1000) < round(limit * 1000)))
+    return scored.withColumn("kept", _passes(calibrate(scored, labels, most_good=most_good)))
+
+
+def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
+    """The rows of docs that stay, with their columns."""
+    stats = stored(_judged(docs, text, ("doc_id",)), "rule-statistics")
+    forest = fit_forest(stats, trees, tree_rows)
+    limit = calibrate(with_anomaly(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), forest), labels, most_good=most_good)
+    return with_anomaly(_judged(docs, text, tuple(docs.columns)), forest).where(_passes(limit)).select(*docs.columns)
