@@ -1 +1,65 @@
-STAGES = []
+"""A training-data pipeline: documents in, packed training sequences out.
+
+Each stage takes what the one before it kept and has its decisions take effect; all but the last return the
+columns of documents. Stages that learn do so from the documents that they are given and `labels`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinbuild.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
+from twinbuild.llm.common import stored
+
+KEEP_FROM = 0.5  # the classifier keeps what is likelier good than not
+
+ORACLE_SQL = None  # SQL can't express the trained stages
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    known = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.score_quality(docs, known, keep=tuple(docs.columns), score="_score")
+    return scored.where(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that fail the base rules or that the isolation forest finds odd."""
+    return quality_rules.kept_by_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return near_dedup.one_of_each(docs, near_dedup.near_duplicates(docs))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per packed piece."""
+    import public_tokenizers
+
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("quality_rules", apply_rules),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each result written to the shared folder before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, name)
+    return docs
