@@ -207,7 +207,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         hooks = stored(left.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "node"), "hooks")
         for _ in range(most_rounds):
-            step = hooks.withColumnsRenamed({"node": "to", "to": "_next"})
+            step = hooks.select(F.col("node").alias("to"), F.col("to").alias("_next"))
             jumped = stored(hooks.join(step, "to", "left").select("node", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")), "hooks")
             hooks = jumped.select("node", "to")
             if jumped.where("_moved").isEmpty():

@@ -99,9 +99,9 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, list[
         if not left[size]:
             sizes.remove(size)
 
-    kept = []  # lengths that no rule fixes
-    while sizes:
-        j = sizes[-1]
+    below = capacity + 1  # longer pieces have had their turn, and those still here may yet go with shorter ones
+    while at := bisect_left(sizes, below):
+        j = sizes[at - 1]
         room = capacity - j
         other = [s for s in sizes if s != j or left[j] > 1]
         if not other or other[0] > room:
@@ -121,11 +121,10 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, list[
                 spend(j, n)
                 spend(k, n)
             continue
-        kept.append((j, left[j]))
-        spend(j, left[j])
+        below = j
     counts[:] = 0
-    for s, n in kept:
-        counts[s] += n
+    for s, n in left.items():
+        counts[s] = n
     return bins
 
 

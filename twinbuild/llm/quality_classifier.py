@@ -127,7 +127,7 @@ def _nan(values) -> list[float]:
     return [float("nan") if x is None else x for x in values]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = 12_000) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = 8_000) -> QualityModel | None:
     """Fit on at most sample_rows labelled documents whose id passes `usable`; None without two classes."""
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
@@ -140,14 +140,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
         for texts, meta, ids, y in slices(batches, "_text", "_meta", "_labelled", "_label"):
             found = [text_features(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([f[2] + _nan(x) for f, x in zip(found, meta, strict=True)], pa.list_(pa.float64()))],
+                [pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary()), pa.array([f[2] + _nan(x) for f, x in zip(found, meta, strict=True)], pa.list_(pa.float64()))],
                 names=["id", "label", "words", "values", "stats"],
             )
 
-    got = _prepared(rows, text, list(metadata), [F.col("_labelled"), F.col("_label")]).mapInArrow(features, "id long, label int, words array<int>, values array<float>, stats array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
+    got = _prepared(rows, text, list(metadata), [F.col("_labelled"), F.col("_label")]).mapInArrow(features, "id long, label int, words binary, values binary, stats array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
     if got["label"].nunique() < 2:
         return None
-    sample = [(np.asarray(w, np.int64), np.asarray(v, float), list(s)) for w, v, s in zip(got["words"], got["values"], got["stats"], strict=True)]
+    sample = [(np.frombuffer(w, np.int32), np.frombuffer(v, np.float32), list(s)) for w, v, s in zip(got["words"], got["values"], got["stats"], strict=True)]
     return train(sample, got["label"].to_numpy(float))
 
 

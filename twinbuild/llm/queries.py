@@ -65,7 +65,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_ORACLE = """
 WITH p AS (SELECT page_id, 1704067200 + (page_id * 7919) % 31536000 AS fetched_s,
   regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(coalesce(url, ''))), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www\\.', '') AS host,
-  list_filter(string_split(regexp_extract(trim(coalesce(url, '')), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') AS parts FROM pages),
+  list_filter(string_split(regexp_extract(trim(coalesce(url, '')), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
 k AS (SELECT DISTINCT pattern, kind, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS x FROM (
   SELECT host AS pattern, 'host' AS kind FROM p WHERE host <> '' UNION ALL
   SELECT regexp_extract(host, '(\\.[^.].*)$', 1), 'domain' FROM p WHERE host <> '' UNION ALL

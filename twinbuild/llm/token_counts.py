@@ -3,7 +3,7 @@
 An Aho-Corasick automaton enumerates every vocabulary piece that ends at each character; dynamic
 programming carries the best score and its number of pieces, no piece list. The rules are those of the
 public unigram tokenizer: a text is cut before every blank, the blank becomes U+2581 and one stands
-before the first word; scores are added as doubles from the left; of equal scores the longer last piece
+before a first word that has none; scores are added as doubles from the left; of equal scores the longer last piece
 wins; a character that no one-character piece covers costs the lowest score less 10 and counts one token
 for each byte of it.
 
@@ -83,7 +83,8 @@ class Counts:
         if not text:
             return 0, 0.0
         tokens, score = 0, 0.0
-        words = (MARK + text.replace(" ", MARK)).replace(MARK, " " + MARK)[1:]
+        text = text.replace(" ", MARK)
+        words = (text if text[0] == MARK else MARK + text).replace(MARK, " " + MARK)[1:]
         if self.apart:
             words = words.replace(self.apart, f" {self.apart} ")
         for word, times in Counter(words.split(" ")).items():
