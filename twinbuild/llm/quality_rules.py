@@ -25,6 +25,7 @@ from twinbuild.llm.common import slices, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_upper", "n_digits", "n_stops", "n_bangs", "n_distinct")
+BINS_OF_SCORE = 1000
 _symbols = list(b"#*$%&|<>")
 _blank = list(b" \t\n\r\v\f")
 
@@ -80,8 +81,8 @@ def _rates(columns: dict[str, np.ndarray]) -> np.ndarray:
     c = {k: np.asarray(v, float) for k, v in columns.items()}
     words, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
     return np.stack([
-        c["word_chars"] / words, np.log1p(50 * c["n_symbols"] / chars), c["n_dup_lines"] / lines, c["n_repeat_words"] / words,
-        np.log1p(20 * c["n_upper"] / chars), np.log1p(50 * c["n_digits"] / chars), c["n_stops"] / words, np.log1p(20 * c["n_bangs"] / words),
+        c["word_chars"] / words, c["n_symbols"] / words, c["n_dup_lines"] / np.maximum(lines, 5), c["n_repeat_words"] / words,
+        c["n_upper"] / chars, c["n_digits"] / chars, c["n_stops"] / words, c["n_bangs"] / words,
     ], axis=1)
 
 
@@ -158,7 +159,7 @@ def with_anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:
     return stats.mapInArrow(scored, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most_good: float = 0.003, steps: int = 1000) -> float:
+def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most_good: float = 0.01, steps: int = BINS_OF_SCORE) -> float:
     """The anomaly from which documents go: of the scores 0..1 in `steps` bins, counted over all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_low"), F.max(label).alias("_label")).where("_low = _label")
     bins = scored.where("not base_failed").join(known, "doc_id").groupBy(F.floor(F.col("anomaly") * steps).alias("bin"), "_label").count().toPandas()  # 2 x steps rows at most
@@ -178,17 +179,17 @@ def _judged(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
 
 
 def _passes(limit: float):
-    return ~F.col("base_failed") & (F.floor(F.col("anomaly") * 1000) < round(limit * 1000))
+    return ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS_OF_SCORE) < round(limit * BINS_OF_SCORE))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), trees: int = 100, tree_rows: int = 256, most_good: float = 0.01) -> DataFrame:
     """`keep` (with doc_id), the rule statistics, base_failed, the anomaly and kept."""
     stats = stored(_judged(docs, text, keep), "rule-statistics")
     scored = stored(with_anomaly(stats, fit_forest(stats, trees, tree_rows)), "rule-scores")
     return scored.withColumn("kept", _passes(calibrate(scored, labels, most_good=most_good)))
 
 
-def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
+def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees: int = 100, tree_rows: int = 256, most_good: float = 0.01) -> DataFrame:
     """The rows of docs that stay, with their columns."""
     stats = stored(_judged(docs, text, ("doc_id",)), "rule-statistics")
     forest = fit_forest(stats, trees, tree_rows)
