@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, insort
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -32,26 +33,61 @@ from twinbuild.llm.common import slices, stored
 
 
 class WordIds:
-    """Token ids as bytes; white space always separates tokens here, so each word is encoded once and remembered."""
+    """Token ids as bytes; white space always separates tokens here, so each word is encoded once and remembered.
 
-    def __init__(self, file: str, remember: int = 250_000):
+    A letter, digit or other run of characters never shares a token with the punctuation after it, so both
+    parts are remembered alone; and words of letters end in a token with the word-end mark, so many of them
+    are encoded in one call.
+    """
+
+    def __init__(self, file: str, remember: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember, self.seen = Tokenizer.from_file(file), remember, {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[k for x, k in names.items() if x.endswith("</w>")]] = True
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.seen) > self.remember:
-            self.seen.clear()
-        words = [x.split() for x in texts]
-        new = list({w for own in words for w in own if w not in self.seen})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
         seen = self.seen
-        return [b"".join([seen[w] for w in own]) for own in words]
+        if len(seen) > self.remember:
+            seen.clear()
+        words = [x.lower().split() for x in texts]  # the tokenizer lower-cases
+        cut = {}
+        for w in set(chain.from_iterable(words)).difference(seen):
+            core = w.rstrip(b".,;:!?")
+            if len(core) < len(w) and core[-1:].isalnum():
+                cut[w] = core, w[len(core) :]
+            else:
+                cut[w] = w, b""
+        self._encode(list({x for pair in cut.values() for x in pair if x and x not in seen}))
+        for w, (core, rest) in cut.items():
+            if rest:
+                seen[w] = seen[core] + seen[rest]
+        return [b"".join(map(seen.__getitem__, own)) for own in words]
+
+    def _encode(self, words: list[bytes], at_once: int = 10_000) -> None:
+        letters, other = [], []
+        for w in words:
+            x = w.decode("utf-8", "replace")
+            (letters if x.isalpha() and max(x) < "\u0100" else other).append((w, x))
+        for at in range(0, len(letters), at_once):
+            part = letters[at : at + at_once]
+            ids = np.array(self.tokenizer.encode(" ".join([x for _, x in part]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            whole, start = ids.tobytes(), 0
+            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
+                self.seen[w] = whole[start:end]
+                start = end
+        for at in range(0, len(other), at_once):
+            part = other[at : at + at_once]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _loaded: dict[str, WordIds] = {}  # a worker keeps its words from task to task
@@ -71,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", capac
         for batch in batches:
             rows, of = [], []
             at = 0
-            for (texts,) in slices([batch], "_text", rows=256):
+            for (texts,) in slices([batch], "_text"):
                 for ids in ids_of(texts):
                     ids += last
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
