@@ -10,13 +10,16 @@ from twinbuild.llm.language_id import fit_language, predict_language
 from twinbuild.llm.quality_classifier import QualityModel, _margin, fit_quality, score_quality
 from twinbuild.llm.quality_rules import BINS_OF_SCORE, COUNTS, kept_by_rules, quality_rules, rule_statistics
 
-LEARN = ~held_out(F.col("doc_id"), 4)
 
+@pytest.fixture(scope="session")
+def learn(spark):
+    return ~held_out(F.col("doc_id"), 4)
 
-def test_quality_on_held_out_rows(spark, sf_dir):
+
+def test_quality_on_held_out_rows(spark, sf_dir, learn):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
-    model = fit_quality(docs, labels, LEARN)
-    got = score_quality(docs, model).where(~LEARN).join(labels, "doc_id").collect()
+    model = fit_quality(docs, labels, learn)
+    got = score_quality(docs, model).where(~learn).join(labels, "doc_id").collect()
     assert len(got) > 60 and np.mean([(r["score"] >= 0.7) == r["quality"] for r in got]) > 0.93
 
 
@@ -65,9 +68,9 @@ def test_rules_judge(spark, sf_dir, odd, nothing, labels):
     assert kept_by_rules(odd, labels).count() == sum(r["kept"] for r in rows) and BINS_OF_SCORE > 0 and len(COUNTS) == 5
 
 
-def test_language_on_held_out_rows(spark, sf_dir, odd, nothing):
+def test_language_on_held_out_rows(spark, sf_dir, odd, nothing, learn):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_language(docs, LEARN)
+    model = fit_language(docs, learn)
     got = predict_language(docs, model, keep=("doc_id", "lang")).collect()
     own = [r for r in got if crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert np.mean([r["lang"] == r["lang_pred"] for r in own]) > 0.97 and all(0 <= r["score"] <= 1 for r in got)

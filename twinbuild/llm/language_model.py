@@ -43,11 +43,11 @@ class Shape:
     words: int = 1024
     classes: int = 32
     tails: int = 16
-    state: int = 16
+    state: int = 12
     lanes: int = 512
     window: int = 16
     rounds: int = 3
-    rate: float = 0.08
+    rate: float = 0.05
     held_counts: int = 100_000
 
 
@@ -222,10 +222,11 @@ class Network:
         g_gates[unique] = np.add.reduceat(g[by], first)
         return {"gates": g_gates, "recurrent": g_u}
 
-    def step(self, grads: dict, n: int) -> None:
-        """Adagrad on the mean loss of n tokens."""
+    def step(self, grads: dict) -> None:
+        """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little."""
+        n = np.float32(self.shape.lanes * self.shape.window)
         for k, g in grads.items():
-            g = g / np.float32(n)
+            g = g / n
             self.seen[k] += g * g
             self.p[k] -= np.float32(self.shape.rate) * g / np.sqrt(self.seen[k])
 
@@ -277,7 +278,7 @@ def run(network: Network, documents: list[np.ndarray], learn: bool) -> np.ndarra
         if learn:
             whole = np.zeros_like(states)
             whole[valid] = back
-            network.step(grads | network.backward(ids, fresh, memory, whole), int(valid.sum()))
+            network.step(grads | network.backward(ids, fresh, memory, whole))
     return total
 
 
@@ -292,26 +293,31 @@ def token_ids(words: list[bytes], number: dict[bytes, int], shape: Shape, seen:
                 k = seen[w] = shape.words + tail_class(w, shape.tails)
         out.append(k)
     out.append(shape.words - 1)
-    return np.array(out, np.int64)
+    return np.array(out, np.int32)
 
 
-def _chunks(batches, number: dict, shape: Shape, most_tokens: int = 600_000):
-    """Lists of (words, ids) of whole documents, about most_tokens together."""
+def _chunks(texts, number: dict, shape: Shape, look=lambda words, ids: None, most_tokens: int = 4_000_000):
+    """Lists of the ids of whole documents, about most_tokens together; `look` sees each document's words as it passes."""
     seen: dict[bytes, int] = {}
-    words, ids, n = [], [], 0
-    for (texts,) in slices(batches, "_text"):
+    ids, n = [], 0
+    for x in texts:
         if len(seen) > 400_000:
             seen.clear()
-        for x in texts:
-            own = x.lower().split()
-            words.append(own)
-            ids.append(token_ids(own, number, shape, seen))
-            n += len(own) + 1
-            if n >= most_tokens:
-                yield words, ids
-                words, ids, n = [], [], 0
-    if words:
-        yield words, ids
+        words = x.lower().split()
+        own = token_ids(words, number, shape, seen)
+        look(words, own)
+        ids.append(own)
+        n += len(own)
+        if n >= most_tokens:
+            yield ids
+            ids, n = [], 0
+    if ids:
+        yield ids
+
+
+def _each(batches):
+    for (texts,) in slices(batches, "_text"):
+        yield from texts
 
 
 def _start(corpus: Corpus, shape: Shape) -> Network:
@@ -338,7 +344,7 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Sh
 
             flat, known = now.value
             own, n = Network(shape).load(flat), 0
-            for _, ids in _chunks(batches, known, shape):
+            for ids in _chunks(_each(batches), known, shape):
                 run(own, ids, learn=True)
                 n += sum(map(len, ids))
             if n:
@@ -373,27 +379,28 @@ def score_texts(docs: DataFrame, counts: DataFrame, corpus: Corpus, network: Net
         logs = {w: np.log10(n + 1) for w, n in corpus.held.items()}
         tail_log = np.log10(corpus.tail_norm)
         for batch in batches:
-            n_tokens, n_known, base, score, rare = [], [], [], [], []
-            for words, ids in _chunks([batch], number, shape):
+            n_tokens, n_known, base, score, known_part, rare = [], [], [], [], [], []
+
+            def look(words, ids, n_tokens=n_tokens, n_known=n_known, base=base, known_part=known_part, rare=rare):
+                total, hits, others, of_tail = np.log10(corpus.end + 1), len(words) + (corpus.end > 0), {}, 0.0
+                for w in words:
+                    x = logs.get(w)
+                    if x is None:
+                        hits -= 1
+                        others[w] = others.get(w, 0) + 1
+                    else:
+                        total += x
+                        if w not in number:
+                            of_tail += x
+                n_tokens.append(len(ids))
+                n_known.append(hits)
+                base.append(total)
+                known_part.append(of_tail - tail_log[ids[ids >= shape.words] - shape.words].sum())
+                rare.append([{"word": w, "times": t} for w, t in others.items()])
+
+            for ids in _chunks(_each([batch]), number, shape, look):
                 score += (run(net, ids, learn=False) / LOG10).tolist()
-                for k, (own_words, own_ids) in enumerate(zip(words, ids, strict=True), len(n_tokens)):
-                    n_tokens.append(len(own_ids))
-                    total, hits, others = np.log10(corpus.end + 1), len(own_words) + (corpus.end > 0), {}
-                    of_tail = 0.0
-                    for w in own_words:
-                        x = logs.get(w)
-                        if x is None:
-                            hits -= 1
-                            others[w] = others.get(w, 0) + 1
-                        else:
-                            total += x
-                            if w not in number:
-                                of_tail += x
-                    tails = own_ids[own_ids >= shape.words] - shape.words
-                    score[k] += of_tail - tail_log[tails].sum()
-                    n_known.append(hits)
-                    base.append(total)
-                    rare.append([{"word": w, "times": t} for w, t in others.items()])
+            score = [a + b for a, b in zip(score, known_part, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, rare_type)],
                 names=[*keep, "n_tokens", "_known", "_base", "_score", "_rare"],
