@@ -273,7 +273,11 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
 def one_of_each(docs: DataFrame, judged: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that stay: one for each component, and every row without an id."""
     rows = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    rows = stored(rows.withColumnRenamed("doc_id", "_kept"), "kept")
-    once = docs.join(_small(rows.where("_rows = 1").select("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    again = docs.join(_small(rows.where("_rows > 1").select("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", text])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    rows = stored(rows, "kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = _small(ids)
+        return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_semi")
+
+    once, again = of(rows.where("_rows = 1").select("doc_id")), of(rows.where("_rows > 1").select("doc_id"))
+    return once.unionByName(again.dropDuplicates(["doc_id", text])).unionByName(docs.where("doc_id is null"))

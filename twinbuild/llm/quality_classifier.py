@@ -168,3 +168,9 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], names=[*keep, score])
 
     return _prepared(docs, text, list(metadata), [F.col(c) for c in keep]).mapInArrow(scored, schema.add(score, "double"))
+
+
+def kept_by_quality(docs: DataFrame, model: QualityModel | None, least: float = 0.5, text: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of docs that score `least` or more, with their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text, *metadata)  # so that no column of docs meets one of ours
+    return score_quality(rows, model, text, metadata, ("row",)).where(F.col("score") >= least).select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from twinbuild.llm.common import slices, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_digits", "n_stops", "n_bangs", "n_distinct")
+EXTRA = ("n_upper", "n_bangs")
 BINS_OF_SCORE = 1000
 _symbols = list(b"#*$%&|<>")
 _blank = list(b" \t\n\r\v\f")
@@ -57,7 +57,7 @@ def rule_statistics(text: bytes) -> list[int]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     return [
         len(words), points - int(of[_blank].sum()), int(of[_symbols].sum()), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), int(of[65:91].sum()), int(of[48:58].sum()), int(of[list(b".,;:?")].sum()), int(of[33]), len(set(words)),
+        int(of[65:91].sum()), int(of[33]),
     ]
 
 
@@ -79,11 +79,9 @@ def with_rule_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, .
 def _rates(columns: dict[str, np.ndarray]) -> np.ndarray:
     """What the forest sees: rates, so that neither long nor short texts are odd for their length alone."""
     c = {k: np.asarray(v, float) for k, v in columns.items()}
-    words, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
-    return np.stack([
-        c["word_chars"] / words, c["n_symbols"] / words, c["n_dup_lines"] / np.maximum(lines, 5), c["n_repeat_words"] / words,
-        c["n_upper"] / chars, c["n_digits"] / chars, c["n_stops"] / words, c["n_bangs"] / words,
-    ], axis=1)
+    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
+    marks = c["n_upper"] + c["n_symbols"] + c["n_bangs"]
+    return np.stack([chars / words, c["n_symbols"] / words, c["n_symbols"] / chars, c["n_repeat_words"] / words, c["n_upper"] / chars, marks / chars, c["n_bangs"] / words], axis=1)
 
 
 @dataclass(frozen=True)
@@ -159,7 +157,7 @@ def with_anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:
     return stats.mapInArrow(scored, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most_good: float = 0.01, steps: int = BINS_OF_SCORE) -> float:
+def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most_good: float = 0.003, steps: int = BINS_OF_SCORE) -> float:
     """The anomaly from which documents go: of the scores 0..1 in `steps` bins, counted over all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_low"), F.max(label).alias("_label")).where("_low = _label")
     bins = scored.where("not base_failed").join(known, "doc_id").groupBy(F.floor(F.col("anomaly") * steps).alias("bin"), "_label").count().toPandas()  # 2 x steps rows at most
@@ -182,16 +180,17 @@ def _passes(limit: float):
     return ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS_OF_SCORE) < round(limit * BINS_OF_SCORE))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), trees: int = 100, tree_rows: int = 256, most_good: float = 0.01) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
     """`keep` (with doc_id), the rule statistics, base_failed, the anomaly and kept."""
     stats = stored(_judged(docs, text, keep), "rule-statistics")
     scored = stored(with_anomaly(stats, fit_forest(stats, trees, tree_rows)), "rule-scores")
     return scored.withColumn("kept", _passes(calibrate(scored, labels, most_good=most_good)))
 
 
-def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees: int = 100, tree_rows: int = 256, most_good: float = 0.01) -> DataFrame:
+def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees: int = 100, tree_rows: int = 256, most_good: float = 0.003) -> DataFrame:
     """The rows of docs that stay, with their columns."""
     stats = stored(_judged(docs, text, ("doc_id",)), "rule-statistics")
     forest = fit_forest(stats, trees, tree_rows)
     limit = calibrate(with_anomaly(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), forest), labels, most_good=most_good)
-    return with_anomaly(_judged(docs, text, tuple(docs.columns)), forest).where(_passes(limit)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text)  # so that no column of docs meets one of ours
+    return with_anomaly(_judged(rows, text, ("row",)), forest).where(_passes(limit)).select("row.*")

@@ -134,8 +134,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", held_out(F.col("doc_id"), 4))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_counts, op3_packing, op4_decontamination, op5_quality, op6_quality_rules, op7_language_model, op8_licenses, op9_near_duplicates, op10_language)
+    for f in (op1_url_filter, op2_token_counts, op3_packing, op4_decontamination, op5_quality, op6_quality_rules, op7_language_model, op8_licenses, op9_near_duplicates, op10_language, pipeline)
 }
 ORACLES = {"op1_url_filter": OP1_ORACLE, "op4_decontamination": decontamination.ORACLE}
