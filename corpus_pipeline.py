@@ -7,7 +7,6 @@ columns of documents. Stages that learn do so from the documents that they are g
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from twinbuild.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
 from twinbuild.llm.common import stored
@@ -20,8 +19,7 @@ ORACLE_SQL = None  # SQL can't express the trained stages
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     known = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_classifier.score_quality(docs, known, keep=tuple(docs.columns), score="_score")
-    return scored.where(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    return quality_classifier.kept_by_quality(docs, known, KEEP_FROM)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
