@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinbuild.functions.guards import needs_cut, truncate_utf8
 from twinbuild.plans.model import Model
+from twinbuild.plans.store import stored
 
 LISTS = ("string_refs", "imports", "callee_names")
 COUNTED = ("mnemonics", "trigrams")
@@ -27,7 +28,9 @@ def _shortened(table: DataFrame, key: list[str], columns: dict[str, str]) -> tup
     total = reduce(lambda x, y: x + y, [F.coalesce(_long_in(c, kind), F.lit(0)) for c, kind in columns.items()])
     rows = table.withColumn("_cut", total)
     counts = rows.where("_cut > 0").groupBy("program_id").agg(F.sum("_cut").alias("n"))
-    fine, long = rows.where("_cut = 0").drop("_cut"), rows.where("_cut > 0").drop("_cut")
+    fine, long = rows.where("_cut = 0").drop("_cut"), stored(rows.where("_cut > 0").drop("_cut"), "long")
+    if long.isEmpty():
+        return table, counts
     for c, kind in columns.items():
         if kind == "text":
             long = long.withColumn(c, truncate_utf8(F.col(c)))
@@ -36,7 +39,7 @@ def _shortened(table: DataFrame, key: list[str], columns: dict[str, str]) -> tup
         value = F.struct(truncate_utf8(each).alias("mnemonic"), F.col("_e.count").alias("count")) if kind == "counted" else truncate_utf8(each)
         parts = long.select(*key, F.posexplode(c).alias("_at", "_e")).select(*key, F.struct("_at", value.alias("v")).alias("_s")).groupBy(*key).agg(F.array_sort(F.collect_list("_s")).alias("_l"))
         none = F.array().cast(dict(table.dtypes)[c])
-        long = long.drop(c).join(parts, key, "left").withColumn(c, F.coalesce(F.transform("_l", lambda s: s["v"]), none)).drop("_l")
+        long = stored(long.drop(c).join(parts, key, "left").withColumn(c, F.coalesce(F.transform("_l", lambda s: s["v"]), none)).drop("_l"), "long")
     return fine.unionByName(long.select(*fine.columns)), counts
 
 
@@ -59,6 +62,7 @@ def validate_model(model: Model) -> tuple[Model, DataFrame]:
     counts["dangling_edges"] = marked.where(~fine).groupBy("program_id").agg(F.count("*").alias("n"))
     lost = marked.where(~fine & F.col("_src_id").isNotNull()).groupBy("program_id", F.col("src_id").alias("func_id")).agg(F.count("*").cast("int").alias("_lost"))
     functions = functions.join(lost, key, "left").withColumn("out_degree", F.col("out_degree") - F.coalesce("_lost", F.lit(0))).select(*model.functions.columns)
+    functions, edges = stored(functions, "functions"), stored(edges, "edges")
 
     cut = []
     functions, n = _shortened(functions, key, {"name": "text", **dict.fromkeys(LISTS, "list"), **dict.fromkeys(COUNTED, "counted")})
