@@ -8,7 +8,8 @@ is one bit of every hash and is part of the join, so pairs that fail it are neve
 confirmed on their full sets.
 
 Candidates come in two rounds. First every node of a band's bucket meets one node of it, the bucket's
-centre. Then, only in buckets that still hold several components, nodes of different components meet.
+centre. Then, only in buckets that still hold several components, nodes of different components meet,
+unless their measured distances to the centre already rule a link out by the triangle inequality.
 So a group of n near copies costs about n pairs, and no pair that shares a band and could join two
 components goes untested.
 
@@ -165,8 +166,8 @@ def _small(ids: DataFrame, at_most: int = 2_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= at_most else ids
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding, text: str) -> DataFrame:
-    """The pairs whose full sets have intersection >= threshold * union."""
+def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding, text: str) -> DataFrame:
+    """The pairs with the Jaccard distance of their full sets, and whether intersection >= threshold * union."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "first_doc"), "node"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     texts = texts.join(_small(wanted.select("first_doc").distinct()), "first_doc", "left_semi")
@@ -183,15 +184,18 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding
 
     def measured(batches):
         for batch in batches:
-            keep = []
+            far, link = [], []
             for xs, ys in slices([batch], "_a", "_b", rows=256):
                 for x, y in zip(xs, ys, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(parts * shared >= least * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+                    union = len(x) + len(y) - shared
+                    far.append(1 - shared / union)
+                    link.append(parts * shared >= least * union)
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(far, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "distance", "linked"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(measured, "a long, b long")
+    return both.select("a", "b", "_a", "_b").mapInArrow(measured, "a long, b long, distance double, linked boolean")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -248,19 +252,27 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
         x = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch").alias("_x")), "a")
         return x.join(facts.select(F.col("node").alias("b"), F.struct("n_shingles", "sketch").alias("_y")), "b").where(_could_link(how, "_x", "_y")).select("a", "b")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
         likely = stored(_plausible(pairs, nodes, how), "likely")
-        return stored(_confirmed(likely, nodes, docs, how, text), "links")
+        return stored(_measured(likely, nodes, docs, how, text), "links")
 
-    first = linked(met(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
-    roots = stored(components(first), "roots")
+    links = lambda x: x.where("linked").select("a", "b")
+    first = measured(met(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
+    roots = stored(components(links(first)), "roots")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    open_members = stored(placed.join(mixed, "key").where("node <> centre").join(facts, "node"), "open-members")
-    a, b = open_members.alias("a"), open_members.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _could_link(how, "a", "b"))
-    second = linked(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    roots = components(first.unionByName(second))
+    known = first.select(F.col("a").alias("node"), F.col("b").alias("centre"), "distance")
+    left = placed.join(mixed, "key").where("node <> centre").join(known, ["node", "centre"], "left")
+    left = stored(left.select("key", "node", "root", "distance"), "open-members")
+    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most as many as there are bands
+    left = left.join(keys, "node").join(facts, "node")
+    a, b = left.alias("a"), left.alias("b")
+    # distance is a metric: two nodes whose distances to their centre differ by more than a link may have none
+    near = F.coalesce(F.abs(F.col("a.distance") - F.col("b.distance")) <= 1 - how.threshold + 1e-9, F.lit(True))
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that two nodes share, one makes the pair
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
+    second = measured(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    roots = components(links(first).unionByName(links(second)))
 
     named = nodes.select("node", "digest", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_doc = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
