@@ -44,3 +44,15 @@ def slices(batches, *columns: str, rows: int = 512) -> Iterator[list[list]]:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def hash_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """`size` rows of a table, those with the least hash of `by`: the same ones wherever the rows lie.
+
+    Rows far above the hash that so many rows reach are left out first, so that no task hands over `size` rows.
+    """
+    n = rows.count()
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(*by), F.lit(1_000_000_007)))
+    if n > 4 * size:
+        hashed = hashed.where(F.col("_hash") < int(1_000_000_007 * (2 * size + 1_000) / n))
+    return hashed.orderBy("_hash", *by).limit(size).drop("_hash")

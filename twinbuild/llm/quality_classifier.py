@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices
+from twinbuild.llm.common import hash_sample, slices
 
 WORD_BUCKETS = 1 << 16
 BINS = 16
@@ -132,8 +132,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
         .groupBy("doc_id").agg(F.min(label).alias("_low"), F.max(label).alias("_label")).where("_low = _label")
-        .select(F.col("doc_id").alias("_labelled"), "_label").orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_rows)
+        .select(F.col("doc_id").alias("_labelled"), "_label")
     )
+    chosen = hash_sample(chosen, sample_rows, "_labelled")
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_labelled"])  # at most sample_rows pairs of numbers
 
     def features(batches):

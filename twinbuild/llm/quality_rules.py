@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from twinbuild.llm.common import slices, stored
+from twinbuild.llm.common import hash_sample, slices, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_upper", "n_bangs")
@@ -138,7 +138,7 @@ def anomaly(forest: Forest, rows: np.ndarray) -> np.ndarray:
 def fit_forest(stats: DataFrame, trees: int = 100, tree_rows: int = 256) -> Forest | None:
     """Grow the forest on trees x tree_rows documents, in the order of a hash of their statistics and id."""
     names = [*COUNTS, *EXTRA]
-    got = stats.where("n_words > 0").select(*names).orderBy(F.xxhash64("doc_id", *names)).limit(trees * tree_rows).toPandas()
+    got = hash_sample(stats.where("n_words > 0").select("doc_id", *names), trees * tree_rows, "doc_id", *names).toPandas()
     return None if got.empty else grow(_rates({c: got[c].to_numpy() for c in names}), trees, tree_rows)
 
 
