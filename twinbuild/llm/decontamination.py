@@ -49,7 +49,7 @@ def item_sketches(items: DataFrame, hashes: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, hashes: int = 12, broadcast_items: int = 100_000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every item of which a document holds enough."""
-    items = stored(benchmark.where("item_id is not null").select("item_id", F.explode(shingles_of(words_of(F.col("text")), width)).alias("shingle")).groupBy("item_id").agg(F.collect_set("shingle").alias("shingles")), "items")
+    items = stored(benchmark.where("item_id is not null").select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("words")).select("item_id", F.explode(shingles_of(F.col("words"), width)).alias("shingle")).groupBy("item_id").agg(F.collect_set("shingle").alias("shingles")), "items")
     fits = items.count() <= broadcast_items
     side = F.broadcast if fits else (lambda x: x)
     percent = round(threshold * 100)
@@ -58,7 +58,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
     sketches = sketches.withColumn("least_doc", F.ceil(F.lit(threshold) * F.pow(2.0, F.floor(F.log2("n_item")))))
     probes = sketches.groupBy("key").agg(F.min("least_doc").alias("least_doc"))
 
-    words = docs.where("doc_id is not null").select("doc_id", words_of(F.col(text)).alias("words"))
+    # words go through explode: they are then made once a row, not again for every window
+    words = docs.where("doc_id is not null").select("doc_id", F.explode(F.array(words_of(F.col(text)))).alias("words"))
     n = F.size("words")
     hashed = F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda at: F.xxhash64(F.concat_ws(" ", *(F.element_at("words", at + k) for k in range(width)))))).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", "words"))))
     probed = words.select("doc_id", F.greatest(n - (width - 1), F.lit(1)).alias("n_doc"), F.explode(hashed).alias("key"))
@@ -67,7 +68,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
 
     ids = candidates.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
-    own = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.explode(shingles_of(words_of(F.col(text)), width)).alias("shingle"))
+    own = words.join(ids, "doc_id", "left_semi").select("doc_id", F.explode(shingles_of(F.col("words"), width)).alias("shingle"))
     of_items = items.select("item_id", F.explode("shingles").alias("shingle"))
     shared = own.join(side(of_items), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     found = candidates.join(shared, ["doc_id", "item_id"]).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
