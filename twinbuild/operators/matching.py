@@ -162,8 +162,9 @@ def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD -
     columns = ["pair_id", "func_id", "bb_count", "out_degree", "mnemonics", "trigrams"]
     deal = lambda n: F.pmod(F.xxhash64("func_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = a.select(*columns).join(sizes, "pair_id").withColumn("ka", deal("na")).withColumn("kb", each("nb")).drop("na", "nb")
-    right = b.select(*columns).join(sizes, "pair_id").withColumn("kb", deal("nb")).withColumn("ka", each("na")).drop("na", "nb")
+    fresh = lambda side: side.select(*(F.col(c).alias(c) for c in columns))  # noqa: E731  columns of its own: both sides may come from one table
+    left = fresh(a).join(sizes, "pair_id").withColumn("ka", deal("na")).withColumn("kb", each("nb")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
+    right = fresh(b).join(sizes, "pair_id").withColumn("kb", deal("nb")).withColumn("ka", each("na")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
     key = ["pair_id", "ka", "kb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: _block_scores(x, y, least), "pair_id string, a_id bigint, b_id bigint, score double")
 

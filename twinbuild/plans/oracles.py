@@ -89,9 +89,9 @@ ORACLES = {
     "annotate": """SELECT program_id, target, kind, value FROM facts WHERE NOT (kind = 'rename' AND target IN (SELECT conv_id + 1 FROM conversations WHERE trim(text) <> '')) UNION ALL
         SELECT fa.program_id, func_id, 'rename', arg_max(text, turn) FROM conversations JOIN fa ON func_id = conv_id + 1 WHERE trim(text) <> '' GROUP BY ALL""",
     "exact_matches": "SELECT pair_id, a_id, b_id FROM exact",
-    "exact_summary": """SELECT pair_id, count_if(an = bn) AS unchanged, count_if(an <> bn) AS renamed, coalesce(any_value(removed), 0) AS removed, coalesce(any_value(added), 0) AS added FROM (SELECT e.pair_id, x.display_name AS an, y.display_name AS bn FROM exact e
-        JOIN names x ON x.program_id = 'A.' || e.pair_id AND x.func_id = a_id JOIN names y ON y.program_id = 'B.' || e.pair_id AND y.func_id = b_id)
-        LEFT JOIN (SELECT pair_id, count(*) AS removed FROM la GROUP BY ALL) USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) AS added FROM lb GROUP BY ALL) USING (pair_id) GROUP BY ALL""",
+    "exact_summary": """SELECT p.pair_id, coalesce(u, 0) AS unchanged, coalesce(r, 0) AS renamed, coalesce(removed, 0) AS removed, coalesce(added, 0) AS added FROM (SELECT DISTINCT pair_id FROM pa) p
+        LEFT JOIN (SELECT e.pair_id, count_if(x.display_name = y.display_name) AS u, count_if(x.display_name <> y.display_name) AS r FROM exact e JOIN names x ON x.program_id = 'A.' || e.pair_id AND x.func_id = a_id JOIN names y ON y.program_id = 'B.' || e.pair_id AND y.func_id = b_id GROUP BY e.pair_id) m USING (pair_id)
+        LEFT JOIN (SELECT pair_id, count(*) AS removed FROM la GROUP BY pair_id) g USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) AS added FROM lb GROUP BY pair_id) n USING (pair_id)""",
     "address_diff": """SELECT pair_id, addr, 'a' AS side FROM (SELECT pair_id, addr FROM pa EXCEPT SELECT pair_id, addr FROM pb) UNION ALL SELECT pair_id, addr, 'b' FROM (SELECT pair_id, addr FROM pb EXCEPT SELECT pair_id, addr FROM pa)""",
     "pair_jaccard": """SELECT e.pair_id, a_id, b_id, round(CASE WHEN len(x.anchors) = 0 OR len(y.anchors) = 0 THEN 0 ELSE len(list_intersect(x.anchors, y.anchors)) / (len(x.anchors) + len(y.anchors) - len(list_intersect(x.anchors, y.anchors))) END, 9) AS jaccard
         FROM exact e JOIN pa x ON x.pair_id = e.pair_id AND x.func_id = a_id JOIN pb y ON y.pair_id = e.pair_id AND y.func_id = b_id""",
