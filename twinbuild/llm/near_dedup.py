@@ -9,7 +9,9 @@ confirmed on their full sets.
 
 Candidates come in two rounds. First every node of a band's bucket meets one node of it, the bucket's
 centre. Then, only in buckets that still hold several components, nodes of different components meet,
-unless their measured distances to the centre already rule a link out by the triangle inequality.
+unless what sets each of them apart from the centre already rules a link out. That is known from small
+bit maps of the shingles that a node lacks and of those that it adds: the lacking ones of both nodes are
+missing from the intersection, and added ones are in it only if both nodes add them. The bound is exact.
 So a group of n near copies costs about n pairs, and no pair that shares a band and could join two
 components goes untested.
 
@@ -32,6 +34,7 @@ from xxhash import xxh3_64_intdigest
 
 from twinbuild.llm.common import slices, stored
 
+DIFFERENCE_BITS = 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -142,6 +145,25 @@ def _could_link(how: Banding, a: str, b: str) -> Column:
     return (low >= F.lit(how.threshold - 1e-9) * high) & (unequal <= how.hashes - needed)
 
 
+def bit_map(hashes: np.ndarray) -> list[int]:
+    """DIFFERENCE_BITS bits, of which each hash sets one."""
+    bits = np.zeros(DIFFERENCE_BITS, np.uint8)
+    bits[(hashes % np.uint64(DIFFERENCE_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _bits(of) -> Column:
+    return sum((F.bit_count(of(k)) for k in range(DIFFERENCE_BITS // 64)), F.lit(0))
+
+
+def _most_shared(a: str, b: str) -> Column:
+    """No two nodes share more shingles than this, by how each of them differs from one centre."""
+    lacking = _bits(lambda k: F.col(f"{a}.lacks")[k].bitwiseOR(F.col(f"{b}.lacks")[k]))
+    added = _bits(lambda k: F.col(f"{a}.adds")[k].bitwiseAND(F.col(f"{b}.adds")[k]))
+    unseen = F.least(*(F.col(f"{x}.n_adds") - _bits(lambda k, x=x: F.col(f"{x}.adds")[k]) for x in (a, b)))  # hashes beyond one a bit
+    return F.col(f"{a}.n_centre") - lacking + added + unseen
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, how: Banding, batch_hashes: int = 40) -> DataFrame:
     """Sequential verification of pairs (a, b) on 16-bit hash values; gives those that no batch rules out."""
     ends = list(range(batch_hashes, how.hashes + 1, batch_hashes))
@@ -167,7 +189,7 @@ def _small(ids: DataFrame, at_most: int = 2_000_000) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding, text: str) -> DataFrame:
-    """The pairs with the Jaccard distance of their full sets, and whether intersection >= threshold * union."""
+    """The pairs, whether intersection >= threshold * union on their full sets, and how a differs from b."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "first_doc"), "node"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     texts = texts.join(_small(wanted.select("first_doc").distinct()), "first_doc", "left_semi")
@@ -179,23 +201,26 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding,
 
     sets = stored(texts.select("_text").mapInArrow(collected, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
-    parts = 100
+    parts, longs = 100, pa.list_(pa.int64())
     least = round(how.threshold * parts)
 
     def measured(batches):
         for batch in batches:
-            far, link = [], []
+            link, sizes, lacks, adds, n_adds = [], [], [], [], []
             for xs, ys in slices([batch], "_a", "_b", rows=256):
                 for x, y in zip(xs, ys, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - shared
-                    far.append(1 - shared / union)
-                    link.append(parts * shared >= least * union)
+                    new = np.setdiff1d(x, y, assume_unique=True)
+                    shared = len(x) - len(new)
+                    link.append(parts * shared >= least * (len(y) + len(new)))
+                    sizes.append(len(y))
+                    lacks.append(bit_map(np.setdiff1d(y, x, assume_unique=True)))
+                    adds.append(bit_map(new))
+                    n_adds.append(len(new))
             own = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(far, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "distance", "linked"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(link, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(lacks, longs), pa.array(adds, longs), pa.array(n_adds, pa.int32())], names=["a", "b", "linked", "n_centre", "lacks", "adds", "n_adds"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(measured, "a long, b long, distance double, linked boolean")
+    return both.select("a", "b", "_a", "_b").mapInArrow(measured, "a long, b long, linked boolean, n_centre int, lacks array<long>, adds array<long>, n_adds int")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -261,14 +286,14 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
     roots = stored(components(links(first)), "roots")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    known = first.select(F.col("a").alias("node"), F.col("b").alias("centre"), "distance")
+    known = first.select(F.col("a").alias("node"), F.col("b").alias("centre"), "n_centre", "lacks", "adds", "n_adds")
     left = placed.join(mixed, "key").where("node <> centre").join(known, ["node", "centre"], "left")
-    left = stored(left.select("key", "node", "root", "distance"), "open-members")
+    left = stored(left.drop("centre"), "open-members")
     keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most as many as there are bands
     left = left.join(keys, "node").join(facts, "node")
     a, b = left.alias("a"), left.alias("b")
-    # distance is a metric: two nodes whose distances to their centre differ by more than a link may have none
-    near = F.coalesce(F.abs(F.col("a.distance") - F.col("b.distance")) <= 1 - how.threshold + 1e-9, F.lit(True))
+    shared = _most_shared("a", "b")
+    near = F.coalesce(shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared), F.lit(True))
     once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that two nodes share, one makes the pair
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
     second = measured(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
