@@ -286,14 +286,17 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
     roots = stored(components(links(first)), "roots")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    known = first.select(F.col("a").alias("node"), F.col("b").alias("centre"), "n_centre", "lacks", "adds", "n_adds")
-    left = placed.join(mixed, "key").where("node <> centre").join(known, ["node", "centre"], "left")
+    open_members = stored(placed.join(mixed, "key").where("node <> centre"), "open")
+    # pairs with a centre that the signatures ruled out say how a node differs from it, too
+    unmeasured = stored(open_members.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "unmeasured")
+    known = first.unionByName(stored(_measured(unmeasured, nodes, docs, how, text), "links"))
+    left = open_members.join(known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "n_centre", "lacks", "adds", "n_adds"), ["node", "centre"])
     left = stored(left.drop("centre"), "open-members")
     keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most as many as there are bands
     left = left.join(keys, "node").join(facts, "node")
     a, b = left.alias("a"), left.alias("b")
     shared = _most_shared("a", "b")
-    near = F.coalesce(shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared), F.lit(True))
+    near = shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared)
     once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that two nodes share, one makes the pair
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
     second = measured(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
