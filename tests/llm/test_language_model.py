@@ -85,3 +85,17 @@ def test_defined_cases(odd, nothing):
     counts = stored(count_tokens(nothing), "none")
     corpus = describe(counts, SMALL)
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in score_texts(odd, counts, corpus, train(nothing, corpus, shape=SMALL)).collect())
+
+
+def test_words_cover_the_corpus_and_classes_divide_them(spark):
+    texts = [(k, " ".join(f"w{x}" for x in range(k, 6000, 3) for _ in range(1 + (x < 60)))) for k in range(3)]
+    corpus = describe(stored(count_tokens(spark.createDataFrame(texts, "doc_id long, text string")), "counts"), Shape())
+    shape = Shape().fitted(corpus)
+    own = corpus.end + sum(corpus.held[w] for w in corpus.frequent)
+    assert 0.8 * corpus.total <= own <= 0.8 * corpus.total + 2 and shape.words == len(corpus.frequent) + 1
+    bounds = shape.bounds()
+    assert (np.diff(bounds) > 0).all() and bounds[0] == 0 and bounds[-1] == shape.words and 60 < shape.classes < 80 and shape.state >= 16
+    net = Network(shape, np.concatenate((corpus.frequencies(shape.words), corpus.tail_norm)))
+    states = np.random.default_rng(0).normal(size=(1, shape.state)).astype(np.float32)
+    every = np.arange(shape.words + shape.tails)
+    assert abs(np.exp(net.outputs(np.repeat(states, len(every), 0), every, False)[0]).sum() - 1) < 1e-4

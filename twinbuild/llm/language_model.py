@@ -1,9 +1,11 @@
 """LM scoring: a gated recurrent language model with class-factored output, trained and run inside tasks.
 
 Spark counts every token of the training documents; those counts give the vocabulary, the base score, the
-output classes and the share of rare words, so what is gathered grows with the corpus. The `words` most
-frequent tokens are split by rank into classes of equal size; all other tokens fall into `tails` classes by
-a hash of their last two bytes. The network (numpy) has one gated recurrent layer:
+output classes and the share of rare words, so what is gathered and what the network learns from grow with
+the corpus. The network has its own word for each of the most frequent tokens, as many as make up `coverage`
+of all occurrences. They are split by rank into about the root of their number of classes, each with the
+same sum of roots of counts (classes of frequent words are small). All other tokens fall into `tails` classes
+by a hash of their last two bytes. The network (numpy) has one gated recurrent layer:
 
     p(token) = p(class | state) * p(token | class, state)   for frequent tokens
     p(token) = p(class | state) * (c + 1) / (N_k + V_k + 1)  for the others, from the counts of tail class k
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -40,15 +42,34 @@ LOG10 = np.log(10.0)
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 1024
-    classes: int = 32
+    """words, classes: 0 is for as many as the counts ask for; starts: each class's first word, in equal steps if not given."""
+
+    words: int = 0
+    classes: int = 0
+    coverage: float = 0.8
     tails: int = 16
-    state: int = 12
+    state: int = 16
     lanes: int = 512
     window: int = 16
     rounds: int = 3
-    rate: float = 0.05
+    rate: float = 0.08
     held_counts: int = 100_000
+    starts: tuple[int, ...] = ()
+
+    def fitted(self, corpus: Corpus) -> Shape:
+        """The shape with words and classes for these counts; one that names both stays as it is."""
+        if self.words and self.classes:
+            return self
+        words = self.words or len(corpus.frequent) + 1
+        weight = np.sqrt(np.maximum(corpus.frequencies(words), 0.5))
+        before = np.cumsum(weight) - weight
+        of = (before / weight.sum() * (self.classes or max(1, round(words**0.5)))).astype(int)
+        starts = np.unique(of, return_index=True)[1]
+        return replace(self, words=words, classes=len(starts), starts=tuple(starts.tolist()))
+
+    def bounds(self) -> np.ndarray:
+        """Each class's first word, and the number of words."""
+        return np.append(self.starts or np.arange(self.classes) * (self.words // self.classes), self.words)
 
 
 @dataclass(frozen=True)
@@ -62,6 +83,13 @@ class Corpus:
     held: dict[bytes, int]
     tail_norm: np.ndarray
 
+    def frequencies(self, words: int) -> np.ndarray:
+        """Counts by word id; the end token is the last."""
+        f = np.zeros(words)
+        f[: len(self.frequent)] = [self.held[w] for w in self.frequent]
+        f[-1] = self.end
+        return f
+
 
 def tail_class(word: bytes, tails: int) -> int:
     return crc32(word[-2:]) % tails
@@ -94,8 +122,14 @@ def _texts(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 def describe(counts: DataFrame, shape: Shape) -> Corpus:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("n"))).alias("e")).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(shape.held_counts).collect()]
-    frequent = [w for w, _ in top[: shape.words - 1]]
+    named = counts.where("length(word) > 0")
+    steps = sorted(((r["n"], r["v"]) for r in named.groupBy("n").agg(F.count("*").alias("v")).collect()), reverse=True)  # at most about the root of all tokens
+    n_frequent = shape.words - 1 if shape.words else _covering(steps, shape.coverage, total["e"] or 0)
+    held = max(shape.held_counts, n_frequent)
+    reached = np.cumsum([v for _, v in steps])
+    least = steps[min(int(np.searchsorted(reached, held)), len(steps) - 1)][0] if steps else 0  # rows below are left out before tasks sort theirs
+    top = [(bytes(r["word"]), r["n"]) for r in named.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(held).collect()]
+    frequent = [w for w, _ in top[:n_frequent]]
     tail = F.crc32(F.when(F.length("word") < 2, F.col("word")).otherwise(F.expr("substring(word, -2, 2)"))) % shape.tails
     norm = np.ones(shape.tails)
     for r in counts.where("length(word) > 0").groupBy(tail.cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # one row a class
@@ -105,6 +139,18 @@ def describe(counts: DataFrame, shape: Shape) -> Corpus:
     return Corpus(total["n"] or 0, total["v"], total["e"] or 0, frequent, dict(top), norm)
 
 
+def _covering(steps: list[tuple[int, int]], coverage: float, end: int) -> int:
+    """How many of the most frequent words make up, with the end token, this share of all tokens; steps are (count, words), falling."""
+    missing = coverage * (sum(n * v for n, v in steps) + end) - end
+    words = 0
+    for n, v in steps:
+        if missing <= n * v:
+            return words + max(0, int(np.ceil(missing / n)))
+        missing -= n * v
+        words += v
+    return words
+
+
 class Network:
     """A gated recurrent layer over token ids, and the two softmax levels above it."""
 
@@ -113,17 +159,18 @@ class Network:
     def __init__(self, shape: Shape, frequencies: np.ndarray | None = None, seed: int = 7):
         self.shape = shape
         rng = np.random.default_rng(seed)
-        h, each = shape.state, shape.words // shape.classes
+        h, self.bounds = shape.state, shape.bounds()
+        self.class_of = np.concatenate((np.repeat(np.arange(shape.classes), np.diff(self.bounds)), shape.classes + np.arange(shape.tails)))
         self.p = {
             "gates": rng.normal(0, 0.1, (shape.words + shape.tails, 3 * h)), "recurrent": rng.normal(0, h**-0.5, (h, 3 * h)),
             "class_weight": rng.normal(0, 0.1, (h, shape.classes + shape.tails)), "class_bias": np.zeros(shape.classes + shape.tails),
-            "word_weight": rng.normal(0, 0.1, (shape.classes, h, each)), "word_bias": np.zeros((shape.classes, each)),
+            "word_weight": rng.normal(0, 0.1, (shape.words, h)), "word_bias": np.zeros(shape.words),
         }
         if frequencies is not None:  # start from the unigram model
             f = np.maximum(frequencies, 0.5)
-            own = f[: shape.words].reshape(shape.classes, each)
-            self.p["class_bias"] = np.log(np.concatenate((own.sum(1), f[shape.words :])) / f.sum())
-            self.p["word_bias"] = np.log(own / own.sum(1, keepdims=True))
+            own = np.add.reduceat(f[: shape.words], self.bounds[:-1])
+            self.p["class_bias"] = np.log(np.concatenate((own, f[shape.words :])) / f.sum())
+            self.p["word_bias"] = np.log(f[: shape.words] / own[self.class_of[: shape.words]])
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
@@ -158,10 +205,9 @@ class Network:
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
         """Log probability of each target (for a tail class, of the class); with learn also the gradients."""
-        s, each = self.shape, self.shape.words // self.shape.classes
+        s = self.shape
         n = len(states)
-        frequent = targets < s.words
-        of = np.where(frequent, targets // each, targets - s.words + s.classes)
+        of = self.class_of[targets]
         logits = states @ self.p["class_weight"] + self.p["class_bias"]
         logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
@@ -174,26 +220,27 @@ class Network:
             d[rows, of] -= 1
             grads["class_weight"], grads["class_bias"] = states.T @ d, d.sum(0)
             back = d @ self.p["class_weight"].T
-            grads["word_weight"], grads["word_bias"] = np.zeros_like(self.p["word_weight"]), np.zeros_like(self.p["word_bias"])
-        by = np.flatnonzero(frequent)
+            grads["word_weight"], grads["word_bias"] = (np.zeros(self.p[k].shape, self.p[k].dtype) for k in ("word_weight", "word_bias"))
+        by = np.flatnonzero(targets < s.words)
         by = by[np.argsort(of[by], kind="stable")]
         bounds = np.searchsorted(of[by], np.arange(s.classes + 1))
         for c in range(s.classes):
             take = by[bounds[c] : bounds[c + 1]]
             if not len(take):
                 continue
-            own, w = states[take], self.p["word_weight"][c]
-            logits = own @ w + self.p["word_bias"][c]
+            here = slice(self.bounds[c], self.bounds[c + 1])
+            own, w = states[take], self.p["word_weight"][here]
+            logits = own @ w.T + self.p["word_bias"][here]
             logits -= logits.max(1, keepdims=True)
             e = np.exp(logits)
             sums = e.sum(1)
-            at, rows = targets[take] % each, np.arange(len(take))
+            at, rows = targets[take] - self.bounds[c], np.arange(len(take))
             score[take] += logits[rows, at] - np.log(sums)
             if learn:
                 d = e / sums[:, None]
                 d[rows, at] -= 1
-                grads["word_weight"][c], grads["word_bias"][c] = own.T @ d, d.sum(0)
-                back[take] += d @ w.T
+                grads["word_weight"][here], grads["word_bias"][here] = d.T @ own, d.sum(0)
+                back[take] += d @ w
         return score, grads, back
 
     def backward(self, ids: np.ndarray, fresh: np.ndarray, memory: list, back: np.ndarray) -> dict:
@@ -218,17 +265,28 @@ class Network:
         flat, g = ids.ravel(), inputs.reshape(-1, 3 * n)
         by = np.argsort(flat, kind="stable")
         unique, first = np.unique(flat[by], return_index=True)
-        g_gates = np.zeros_like(self.p["gates"])
+        g_gates = np.zeros(self.p["gates"].shape, self.p["gates"].dtype)
         g_gates[unique] = np.add.reduceat(g[by], first)
         return {"gates": g_gates, "recurrent": g_u}
 
-    def step(self, grads: dict) -> None:
-        """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little."""
+    def step(self, grads: dict, ids: np.ndarray, targets: np.ndarray) -> None:
+        """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little.
+
+        Of the tables with a row a word, only the rows that ids and the classes of targets reach have a gradient.
+        """
         n = np.float32(self.shape.lanes * self.shape.window)
+        reached = np.zeros(len(self.class_of), bool)
+        reached[self.class_of[targets]] = True
+        of_words = np.flatnonzero(reached[self.class_of[: self.shape.words]])
+        if 2 * len(of_words) > self.shape.words:
+            of_words = slice(None)
+        at = {"gates": np.unique(ids), "word_weight": of_words, "word_bias": of_words}
         for k, g in grads.items():
-            g = g / n
-            self.seen[k] += g * g
-            self.p[k] -= np.float32(self.shape.rate) * g / np.sqrt(self.seen[k])
+            rows = at.get(k, slice(None))
+            g = g[rows] / n
+            seen = self.seen[k][rows] + g * g
+            self.seen[k][rows] = seen
+            self.p[k][rows] -= np.float32(self.shape.rate) * g / np.sqrt(seen)
 
 
 def lanes(documents: list[np.ndarray], shape: Shape):
@@ -278,7 +336,7 @@ def run(network: Network, documents: list[np.ndarray], learn: bool) -> np.ndarra
         if learn:
             whole = np.zeros_like(states)
             whole[valid] = back
-            network.step(grads | network.backward(ids, fresh, memory, whole))
+            network.step(grads | network.backward(ids, fresh, memory, whole), ids, targets[valid])
     return total
 
 
@@ -321,15 +379,12 @@ def _each(batches):
 
 
 def _start(corpus: Corpus, shape: Shape) -> Network:
-    f = np.zeros(shape.words + shape.tails)
-    f[: len(corpus.frequent)] = [corpus.held[w] for w in corpus.frequent]
-    f[shape.words - 1] = corpus.end
-    f[shape.words :] = corpus.tail_norm
-    return Network(shape, f)
+    return Network(shape, np.concatenate((corpus.frequencies(shape.words), corpus.tail_norm)))
 
 
 def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Shape(), group: int = 32) -> Network:
     """Rounds of local training and averaging over all of docs, each document in the round that its hash says."""
+    shape = shape.fitted(corpus)
     network = _start(corpus, shape)
     if not corpus.total:
         return network
@@ -371,38 +426,39 @@ def score_texts(docs: DataFrame, counts: DataFrame, corpus: Corpus, network: Net
     shape = network.shape
     known = docs.sparkSession.sparkContext.broadcast((network.flat(), {w: k for k, w in enumerate(corpus.frequent)}, corpus))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
     def scored(batches):
         flat, number, corpus = known.value
         net = Network(shape).load(flat)
-        logs = {w: np.log10(n + 1) for w, n in corpus.held.items()}
+        logs = {w: float(np.log10(n + 1)) for w, n in corpus.held.items()}
+        log_of = np.log10(corpus.frequencies(shape.words) + 1)
         tail_log = np.log10(corpus.tail_norm)
         for batch in batches:
-            n_tokens, n_known, base, score, known_part, rare = [], [], [], [], [], []
+            n_tokens, n_known, base, score, known_part, rare, times, ends = [], [], [], [], [], [], [], [0]
 
-            def look(words, ids, n_tokens=n_tokens, n_known=n_known, base=base, known_part=known_part, rare=rare):
-                total, hits, others, of_tail = np.log10(corpus.end + 1), len(words) + (corpus.end > 0), {}, 0.0
-                for w in words:
+            def look(words, ids, n_tokens=n_tokens, n_known=n_known, base=base, known_part=known_part, rare=rare, times=times, ends=ends):
+                hits, others, of_tail = len(words) + (corpus.end > 0), {}, 0.0
+                for k in np.flatnonzero(ids >= shape.words).tolist():
+                    w = words[k]
                     x = logs.get(w)
                     if x is None:
                         hits -= 1
                         others[w] = others.get(w, 0) + 1
                     else:
-                        total += x
-                        if w not in number:
-                            of_tail += x
+                        of_tail += x
                 n_tokens.append(len(ids))
                 n_known.append(hits)
-                base.append(total)
+                base.append(log_of[ids[ids < shape.words]].sum() + of_tail)
                 known_part.append(of_tail - tail_log[ids[ids >= shape.words] - shape.words].sum())
-                rare.append([{"word": w, "times": t} for w, t in others.items()])
+                rare.extend(others)
+                times.extend(others.values())
+                ends.append(len(rare))
 
             for ids in _chunks(_each([batch]), number, shape, look):
                 score += (run(net, ids, learn=False) / LOG10).tolist()
             score = [a + b for a, b in zip(score, known_part, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, rare_type)],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"]))],
                 names=[*keep, "n_tokens", "_known", "_base", "_score", "_rare"],
             )
 
