@@ -1,3 +1,4 @@
+import inspect
 import re
 from zlib import crc32
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinbuild.llm import quality_classifier
 from twinbuild.llm.common import held_out
 from twinbuild.llm.language_id import fit_language, predict_language
 from twinbuild.llm.quality_classifier import QualityModel, _margin, fit_quality, score_quality
@@ -83,3 +85,13 @@ def test_language_on_held_out_rows(spark, sf_dir, odd, nothing, learn):
 def test_language_counts_are_naive_bayes(spark):
     model = fit_language(spark.createDataFrame([(1, "aa", "x"), (2, "bb", "y"), (3, "bb", "y"), (4, None, "z"), (5, "cc", None)], "doc_id long, text string, lang string"), bits=10, orders=(1,), alpha=1.0)
     assert model.languages == ["x", "y"] and np.allclose(np.exp(model.log_prob).sum(0), 1, atol=1e-3) and np.exp(model.log_prior) == pytest.approx([1 / 3, 2 / 3])
+
+
+def test_quality_sample_is_held_compactly():
+    rows = [(k, k % 2, np.full(k, k, np.int32).tobytes(), np.full(k, 0.5, np.float32).tobytes(), [float(k), float("nan")]) for k in range(4)]
+    sample, y = quality_classifier.gathered(iter(rows))
+    assert (sample.words.dtype, sample.values.dtype, len(sample.words)) == (np.int32, np.float32, 6) and y.tolist() == [0, 1, 0, 1]
+    words, values, stats = sample.row(3)
+    assert words.tolist() == [3, 3, 3] and values.tolist() == [0.5] * 3 and stats[0] == 3 and np.isnan(stats[1])
+    assert inspect.signature(fit_quality).parameters["sample_rows"].default == 12_000
+    assert len(quality_classifier.gathered(iter(()))[0]) == 0

@@ -4,7 +4,7 @@ score(x) = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i
 the number of features that a document has (Rendle 2010).
 
 The model is fitted on a bounded sample of labelled rows (`sample_rows`, in the order of a hash of the
-id); every document is scored, on its whole text.
+id), which the driver holds as one block of numbers; every document is scored, on its whole text.
 
 Defined cases: a null or empty text has the structure features of an empty text and is scored like any
 other; null or non 0/1 labels, and ids labelled both ways, are not learnt from; repeated rows are scored
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import hash_sample, slices
+from twinbuild.llm.common import hash_sample, slices, stored
 
 WORD_BUCKETS = 1 << 16
 BINS = 16
@@ -64,6 +64,37 @@ def _bucketed(edges: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(stats), -1, ids)
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Features of all sampled rows in one block: row k has words[starts[k]:starts[k + 1]], values alike, and stats[k]."""
+
+    words: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    stats: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.stats)
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        here = slice(self.starts[k], self.starts[k + 1])
+        return self.words[here], self.values[here], self.stats[k]
+
+
+def gathered(parts) -> tuple[Sample, np.ndarray]:
+    """The sample in the order of its ids, and its labels; parts are (id, label, words, values, stats), words and values as bytes."""
+    ids, labels, sizes, stats, words, values = [], [], [], [], bytearray(), bytearray()
+    for k, y, w, v, s in parts:
+        ids.append(k)
+        labels.append(y)
+        sizes.append(len(w) // 4)
+        stats.append(np.array(s, np.float64))
+        words += w
+        values += v
+    starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return Sample(np.frombuffer(words, np.int32), np.frombuffer(values, np.float32), starts, np.array(stats)), np.array(labels, float)
+
+
 def _joined(edges: np.ndarray, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, values and row starts of a batch; each row has a statistic at least, so none is without features."""
     bins = _bucketed(edges, np.array([s for _, _, s in rows], float))
@@ -87,9 +118,9 @@ def _probability(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def train(rows: list, labels: np.ndarray, rank: int = 8, epochs: int = 8, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> QualityModel:
+def train(sample: Sample, labels: np.ndarray, rank: int = 8, epochs: int = 8, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> QualityModel:
     """Adagrad on the log loss over the sampled rows."""
-    stats = np.array([s for _, _, s in rows], float)
+    stats = sample.stats
     at = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.stack([np.quantile(x[~np.isnan(x)], at) if (~np.isnan(x)).any() else np.zeros(BINS - 1) for x in stats.T])
     size = WORD_BUCKETS + BINS * stats.shape[1]
@@ -98,10 +129,10 @@ def train(rows: list, labels: np.ndarray, rank: int = 8, epochs: int = 8, rate:
     m = QualityModel(edges, float(np.log(p / (1 - p))), np.zeros(size), rng.normal(0, 0.05, (size, rank)))
     seen_w, seen_v = np.full(size, 1e-2), np.full((size, rank), 1e-2)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(sample))
         for at in range(0, len(order), 128):
             take = order[at : at + 128]
-            ids, values, starts = _joined(edges, [rows[i] for i in take])
+            ids, values, starts = _joined(edges, [sample.row(i) for i in take])
             margin, sums = _margin(m, ids, values, starts)
             error = np.repeat(_probability(margin) - labels[take], np.diff(np.append(starts, len(ids))))
             of = np.repeat(np.arange(len(take)), np.diff(np.append(starts, len(ids))))
@@ -127,7 +158,7 @@ def _nan(values) -> list[float]:
     return [float("nan") if x is None else x for x in values]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = 8_000) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = 12_000) -> QualityModel | None:
     """Fit on at most sample_rows labelled documents whose id passes `usable`; None without two classes."""
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
@@ -145,11 +176,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
                 names=["id", "label", "words", "values", "stats"],
             )
 
-    got = _prepared(rows, text, list(metadata), [F.col("_labelled"), F.col("_label")]).mapInArrow(features, "id long, label int, words binary, values binary, stats array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
-    if got["label"].nunique() < 2:
-        return None
-    sample = [(np.frombuffer(w, np.int32), np.frombuffer(v, np.float32), list(s)) for w, v, s in zip(got["words"], got["values"], got["stats"], strict=True)]
-    return train(sample, got["label"].to_numpy(float))
+    got = _prepared(rows, text, list(metadata), [F.col("_labelled"), F.col("_label")]).mapInArrow(features, "id long, label int, words binary, values binary, stats array<double>").dropDuplicates(["id"])
+    sample, y = gathered(stored(got, "quality-sample").orderBy("id").toLocalIterator())  # a part at a time
+    return train(sample, y) if len(set(y.tolist())) == 2 else None
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", metadata: tuple[str, ...] = (), keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
