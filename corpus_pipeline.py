@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from twinbuild.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
 from twinbuild.llm.common import stored
 
-KEEP_FROM = 0.5  # the classifier keeps what is likelier good than not
+KEEP_FROM, METADATA = 0.7, ("n_chars",)  # as op5_quality predicts
 
 ORACLE_SQL = None  # SQL can't express the trained stages
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    known = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.kept_by_quality(docs, known, KEEP_FROM)
+    known = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=METADATA)
+    return quality_classifier.kept_by_quality(docs, known, KEEP_FROM, metadata=METADATA)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
+from twinbuild.llm import quality_classifier
 from twinbuild.llm.decontamination import contaminated
 from twinbuild.llm.near_dedup import near_duplicates
 
@@ -30,3 +31,15 @@ def test_stages_in_turn(spark, sf_dir):
 def test_odd_documents(spark, odd, labels, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf_dir).count() >= 0 and stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_classifier_stage_is_the_operator(spark, sf_dir, monkeypatch):
+    seen = {}
+    fit, kept = quality_classifier.fit_quality, quality_classifier.kept_by_quality
+    monkeypatch.setattr(quality_classifier, "fit_quality", lambda *a, **k: seen.update(fit=k) or fit(*a, **k))
+    monkeypatch.setattr(quality_classifier, "kept_by_quality", lambda docs, model, least, **k: seen.update(least=least, model=model, kept=k) or kept(docs, model, least, **k))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.classify_quality(spark, docs, sf_dir).collect()}
+    scored = quality_classifier.score_quality(docs, seen["model"], metadata=("n_chars",)).collect()
+    assert seen["least"] == 0.7 and seen["fit"]["metadata"] == seen["kept"]["metadata"] == ("n_chars",)
+    assert got == {r["doc_id"] for r in scored if r["score"] >= 0.7}
