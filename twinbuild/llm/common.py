@@ -6,16 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_made: dict[str, list[str]] = {}  # by application: the tables that `stored` wrote
+
+
+BATCH_BYTES = 16 << 20  # of a batch that goes to Python, whole rows and one at least
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own in local mode where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folder.setdefault(app, tempfile.mkdtemp(prefix="twinbuild-"))
     return folder.rstrip("/")
@@ -24,10 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs nothing made before."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, when nothing reads them any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as a stored table (key, row): a key of their own for rows whose ids repeat or are null."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "rows")
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -38,6 +60,26 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == 2, F.lit(False))
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df, whose batches for Python hold about BATCH_BYTES at most, unless the session has a size of its own."""
+    conf, key, default = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if conf.get(key, default) == default:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (between ASCII blanks, A-Z in lower case) of some texts, in order, and how many each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = np.diff(found.offsets.to_numpy()).astype(np.int64)
+    flat = found.flatten()
+    whole = pc.greater(pc.binary_length(flat), 0)  # a blank at either end of a text leaves an empty word there
+    if not pc.all(whole).as_py() and len(flat):
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~whole.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        flat = flat.filter(whole)
+    return flat, sizes
+
+
 def slices(batches, *columns: str, rows: int = 512) -> Iterator[list[list]]:
     """Python lists of the named columns, a few rows at a time, so that long texts never sit decoded side by side."""
     for batch in batches:
