@@ -21,107 +21,171 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import chain, pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices, stored
+from twinbuild.llm.common import by_bytes, split_words, stored
+
+
+# bytes of words of letters up to U+00FF: a-z, and C3 with what follows it but for the signs of multiplication and division
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(ord("a"), ord("z") + 1), 0xC3, *range(0x80, 0xC0)]] = True
+_LETTERS[[0x97, 0xB7]] = False
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + length], end to end."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordIds:
-    """Token ids as bytes; white space always separates tokens here, so each word is encoded once and remembered.
+    """Token ids of words; white space always separates tokens here, so each word is encoded once and remembered.
 
     A letter, digit or other run of characters never shares a token with the punctuation after it, so both
-    parts are remembered alone; and words of letters end in a token with the word-end mark, so many of them
-    are encoded in one call.
+    parts are encoded alone; and words of letters end in a token with the word-end mark, so many of them
+    are encoded in one call. What is known is held as arrays: words, and where their ids lie in one pool;
+    when a task ends, words beyond `remember` are forgotten.
     """
 
     def __init__(self, file: str, remember: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember, self.seen = Tokenizer.from_file(file), remember, {}
+        self.tokenizer, self.remember = Tokenizer.from_file(file), remember
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[k for x, k in names.items() if x.endswith("</w>")]] = True
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        seen = self.seen
-        if len(seen) > self.remember:
-            seen.clear()
-        words = [x.lower().split() for x in texts]  # the tokenizer lower-cases
-        cut = {}
-        for w in set(chain.from_iterable(words)).difference(seen):
-            core = w.rstrip(b".,;:!?")
-            if len(core) < len(w) and core[-1:].isalnum():
-                cut[w] = core, w[len(core) :]
-            else:
-                cut[w] = w, b""
-        self._encode(list({x for pair in cut.values() for x in pair if x and x not in seen}))
-        for w, (core, rest) in cut.items():
-            if rest:
-                seen[w] = seen[core] + seen[rest]
-        return [b"".join(map(seen.__getitem__, own)) for own in words]
-
-    def _encode(self, words: list[bytes], at_once: int = 10_000) -> None:
-        letters, other = [], []
-        for w in words:
-            x = w.decode("utf-8", "replace")
-            (letters if x.isalpha() and max(x) < "\u0100" else other).append((w, x))
-        for at in range(0, len(letters), at_once):
-            part = letters[at : at + at_once]
-            ids = np.array(self.tokenizer.encode(" ".join([x for _, x in part]), add_special_tokens=False).ids, "<u4")
+        self.words, self.starts, self.lengths, self.pool = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these words (different, in lower case) start in the pool, and how many they are; a word's ids are those of its two parts."""
+        core = pc.ascii_rtrim(words, characters=".,;:!?").cast(pa.binary())
+        whole, size = words.cast(pa.binary()), pc.binary_length(words).to_numpy()
+        kept = pc.binary_length(core).to_numpy()
+        offsets, data = _buffers(core)
+        last = data[np.maximum(offsets[1:] - 1, 0)]
+        cut = (kept < size) & (kept > 0) & (((last >= 48) & (last <= 57)) | ((last >= 65) & (last <= 90)) | ((last >= 97) & (last <= 122)))
+        offsets, data = _buffers(whole)
+        at = np.flatnonzero(cut)
+        ends = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, np.cumsum((size - kept)[at])).astype(np.int32)), pa.py_buffer(_gather(data, offsets[at] + kept[at], (size - kept)[at]))])
+        parts = pa.chunked_array([pc.if_else(pa.array(cut), core, whole), ends]).combine_chunks().dictionary_encode()
+        known = self._known(parts.dictionary)[parts.indices.to_numpy()]
+        first, lengths = known[: len(words)], np.zeros(len(words), np.int64)
+        starts = self.starts[first]
+        lengths += self.lengths[first]
+        # a cut word gets a run of its own: its first part, then its second
+        second = known[len(words) :]
+        both = lengths[at] + self.lengths[second]
+        joined = np.empty(both.sum(), "<u4")
+        to = np.cumsum(both) - both
+        for begin, n, where in ((starts[at], lengths[at], to), (self.starts[second], self.lengths[second], to + lengths[at])):
+            joined[np.repeat(where - (np.cumsum(n) - n), n) + np.arange(n.sum())] = _gather(self.pool, begin, n)
+        starts[at], lengths[at] = len(self.pool) + to, both
+        self.extra = joined
+        return starts, lengths
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The numbers of the words here, where new ones are encoded."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words) + np.arange(len(new))
+            self._add(words.take(pa.array(new)))
+        return at
+
+    def _add(self, words: pa.Array, at_once: int = 10_000) -> None:
+        offsets, data = _buffers(words)
+        odd = np.append(0, np.cumsum(~_LETTERS[data]))
+        letters = odd[offsets[1:]] == odd[offsets[:-1]]
+        texts, starts, lengths, pool, size = words.to_pylist(), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [self.pool], len(self.pool)
+        other = np.flatnonzero(~letters).tolist()
+        of_letters = np.flatnonzero(letters)
+        for k in range(0, len(of_letters), at_once):
+            part = of_letters[k : k + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([texts[i] for i in part]).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):
-                other += part
+                other += part.tolist()
                 continue
-            whole, start = ids.tobytes(), 0
-            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
-                self.seen[w] = whole[start:end]
-                start = end
-        for at in range(0, len(other), at_once):
-            part = other[at : at + at_once]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+            lengths[part] = np.diff(ends, prepend=0)
+            starts[part] = size + ends - lengths[part]
+            pool.append(ids)
+            size += len(ids)
+        for k in range(0, len(other), at_once):
+            part = other[k : k + at_once]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)]
+            lengths[part] = n = np.fromiter(map(len, found), np.int64, len(found))
+            starts[part] = size + np.cumsum(n) - n
+            pool.append(np.fromiter(chain.from_iterable(found), "<u4", n.sum()))
+            size += int(n.sum())
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts, self.lengths, self.pool = np.append(self.starts, starts), np.append(self.lengths, lengths), np.concatenate(pool)
+
+    def forget(self) -> None:
+        if len(self.words) > self.remember:
+            starts, lengths = self.starts[: self.remember], self.lengths[: self.remember].copy()
+            self.words, self.pool = pa.concat_arrays([self.words.slice(0, self.remember)]), _gather(self.pool, starts, lengths)
+            self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+
+
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (one more than there are words) and bytes of a binary array."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if offsets else np.zeros(1, np.int32)
+    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8)
 
 
 _loaded: dict[str, WordIds] = {}  # a worker keeps its words from task to task
 
 
+def joined_ids(texts: pa.Array, ids_of: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, each followed by end_id, and where each text begins (and the last one ends)."""
+    flat, sizes = split_words(texts)
+    coded = flat.dictionary_encode()
+    starts, lengths = ids_of(coded.dictionary)
+    pool = np.concatenate((ids_of.pool, ids_of.extra, np.array([end_id], "<u4")))
+    starts, lengths = np.append(starts, len(pool) - 1), np.append(lengths, 1)
+    last = np.cumsum(sizes + 1) - 1
+    words = np.full(len(flat) + len(sizes), len(starts) - 1)
+    own = np.ones(len(words), bool)
+    own[last] = False
+    words[own] = coded.indices.to_numpy()
+    n = lengths[words]
+    return _gather(pool, starts[words], n), np.append(0, np.cumsum(n)[last])
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", capacity: int = 4096, end_id: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per piece: `keep`, piece, start, length, ids_crc32, and its task and its rank there among equal lengths."""
-    from pyspark import TaskContext
-
     schema = docs.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("_task", "integer").add("_rank", "long")
-    last = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
+        from pyspark import TaskContext
+
         if tokenizer_file not in _loaded:
             _loaded[tokenizer_file] = WordIds(tokenizer_file)
         ids_of, task, ranks = _loaded[tokenizer_file], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
+            ids, bounds = joined_ids(batch.column(0), ids_of, end_id)
             rows, of = [], []
-            at = 0
-            for (texts,) in slices([batch], "_text"):
-                for ids in ids_of(texts):
-                    ids += last
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        size = len(part) // 4
-                        rows.append((piece, start // 4, size, crc32(part), task, ranks[size]))
-                        ranks[size] += 1
-                        of.append(at)
-                    at += 1
-            own = [batch.column(batch.schema.get_field_index(c)).take(pa.array(of, pa.int64())) for c in keep]
+            for at, (first, end) in enumerate(pairwise(bounds.tolist())):
+                for piece, start in enumerate(range(first, end, capacity)):
+                    part = ids[start : min(start + capacity, end)]
+                    rows.append((piece, start - first, len(part), crc32(part), task, ranks[len(part)]))
+                    ranks[len(part)] += 1
+                    of.append(at)
+            own = [c.take(pa.array(of, pa.int64())) for c in batch.columns[1:]]
             table = np.array(rows, np.int64).reshape(len(rows), 6)
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).cast(t) for c, t in zip(table.T, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=schema.names)
+        ids_of.forget()
 
-    return docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).mapInArrow(cut, schema)
+    return by_bytes(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *keep)).mapInArrow(cut, schema)
 
 
 def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
