@@ -1,6 +1,7 @@
+import random
 import re
 
-from twinbuild.llm.license_scan import PHRASES, build_index, license_digest, matches, scan_licenses, words_of
+from twinbuild.llm.license_scan import PHRASES, TEMPLATES, build_index, held_share, license_digest, matches, places, scan_licenses, slack, words_of
 
 
 def brute(text):
@@ -36,6 +37,46 @@ def test_relative_positions_and_key_phrases():
     assert matches(index, []) == []
 
 
+def brute_matches(index, words, share=0.7):
+    """The best share of each template over every start, without index, candidates or look-ups."""
+    where = {}
+    for at, w in enumerate(words):
+        where.setdefault(w, []).append(at)
+    best = {}
+    for k, (label, own, phrases) in enumerate(index.templates):
+        for start in range(-len(own), len(words)):
+            stretch = words[max(start, 0) : max(start + len(own) + slack(len(own)), 0)]
+            if all(places(stretch, p) for p in phrases) and (score := held_share(index, k, where, start)) >= share:
+                best[label, len(own)] = max(best.get((label, len(own)), 0), score)
+    return best
+
+
+def test_matches_are_those_of_every_start():
+    rng = random.Random(8)
+    counts = {w: rng.randint(0, 60) for t in TEMPLATES for w in set(words_of(t.text.encode()))} | {b"the": 95, b"of": 90, b"to": 90, b"is": 80}
+    index = build_index(counts, 100)
+    filler = [*counts, *(f"w{k}".encode() for k in range(300))]
+    seen = set()
+    for k, t in enumerate(TEMPLATES):
+        for other in (None, TEMPLATES[(k * 7 + 3) % len(TEMPLATES)]):
+            words = rng.choices(filler, k=rng.randint(0, 60))
+            for own in filter(None, (t, other)):
+                notice = words_of(own.text.encode())
+                if len(notice) > 30:  # two words left out, one put in
+                    for _ in range(2):
+                        notice.pop(rng.randrange(len(notice)))
+                    notice.insert(rng.randrange(len(notice)), b"acme")
+                words = [*words, *notice, *rng.choices(filler, k=rng.randint(0, 40))]
+            got = {}
+            for label, _, n, score in matches(index, words):
+                got[label, n] = max(got.get((label, n), 0), score)
+            want = brute_matches(index, words)
+            assert got.keys() == want.keys() and all(want[x] - 0.1 < got[x] <= want[x] + 1e-9 for x in want)  # a match stands where its rare words do
+            seen |= {label for label, _ in got}
+        assert t.label in {m[0] for m in matches(index, [*filler[:5], *words_of(t.text.encode()), *filler[5:9]])}
+    assert len(seen) > len({t.label for t in TEMPLATES}) // 2
+
+
 def test_defined_cases(odd, nothing):
     got = license_digest(scan_licenses(odd)).collect()
     assert len(got) == odd.count() and all(r["labels"] == "" and r["score"] == 0 for r in got)

@@ -1,23 +1,27 @@
 """License scans: a positional index of licence templates, looked up by each file's rarest licence words.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Spark counts in how
-many documents every licence word occurs; that gives each word its IDF. A template is looked up by the
-words of it with the highest IDF. The postings (word -> template, position) of those words are broadcast:
-their size is that of the template set, not of the corpus. In a file, each occurrence of such a word votes
-for (template, start = place in the file less place in the template); votes whose starts differ by at most
-`slack` places count together. A start whose voters hold enough of the template's IDF weight is a match
-when the template's mandatory key phrases stand in the matched stretch.
+many documents every licence word occurs; that gives each word its IDF. The index holds, for every word of
+the templates, where it stands (template, position); it is broadcast, and its size is that of the template
+set, not of the corpus. Templates of whose IDF weight a file has less than `share` are out at once. For the
+others the file looks its licence words up by falling IDF, until each template has had `rarest` of them. The
+postings of those words are intersected by relative position: a start (place in the file less place in the
+template) stays if words looked up that hold `agree` of their IDF or more stand at it, give or take the
+template's slack (some may be missing from a copy and stand elsewhere in the file). What is left is verified on the text: the IDF weight of all words of the template that
+stand in their place must reach `share`, and the template's mandatory key phrases must stand in the stretch.
 
 Plain phrases with labels are found beside, wherever their words stand consecutively.
 
 Defined cases: a null or empty text has no words, places or labels; repeated rows are answered each;
-other columns are ignored; a word that no document has gets the highest IDF.
+other columns are ignored; a word that no document has gets the highest IDF; of starts of one template
+that are less than half its length apart, the best one counts (the first of equals).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices
+from twinbuild.llm.common import by_bytes, slices
+from twinbuild.llm.license_texts import TEMPLATES
 
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -33,37 +38,6 @@ _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
-@dataclass(frozen=True)
-class Template:
-    """A notice as it stands in files; of `phrases`, all must stand in a match."""
-
-    label: str
-    text: str
-    phrases: tuple[str, ...]
-
-
-# Short notices of public licences.
-TEMPLATES = (
-    Template("mit", "Released under the MIT License.", ("mit license",)),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is hereby granted", "without restriction")),
-    Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache license", "version 2")),
-    Template("gpl", "This work is licensed under the GNU General Public License", ("gnu general public license",)),
-    Template("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "license version 2")),
-    Template("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "license version 3")),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ("free software", "gnu general public license")),
-    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu affero general public license",)),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
-    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee")),
-    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
-    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa",)),
-    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain", ("released into the public domain",)),
-)
-
-
 def words_of(text: bytes) -> list[bytes]:
     return _word.findall(text.lower())
 
@@ -82,45 +56,94 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 
 @dataclass(frozen=True)
 class Index:
-    templates: list[tuple[str, int, list[list[bytes]], float]]  # label, words, key phrases, IDF weight of the looked-up words
-    postings: dict[bytes, list[tuple[int, int, float]]]  # template, position, IDF
+    templates: list[tuple[str, list[bytes], list[list[bytes]]]]  # label, words, key phrases
+    postings: dict[bytes, list[tuple[int, list[int]]]]  # of each word: template, its positions there
+    idf: dict[bytes, float]
+    weights: list[float]  # of each template: the IDF of all its words
     phrases: list[tuple[list[bytes], str]]
 
 
-def build_index(document_counts: dict[bytes, int], documents: int, templates=TEMPLATES, phrases=PHRASES, rarest: int = 8) -> Index:
-    """Each template by its `rarest` words of highest IDF."""
-    known, postings = [], defaultdict(list)
+def build_index(document_counts: dict[bytes, int], documents: int, templates=TEMPLATES, phrases=PHRASES) -> Index:
+    known, postings = [], defaultdict(dict)
     for k, t in enumerate(templates):
         words = words_of(t.text.encode())
-        idf = {w: math.log((documents + 1) / (document_counts.get(w, 0) + 1)) + 1e-3 for w in words}
-        chosen = set(sorted(idf, key=lambda w: (-idf[w], w))[:rarest])
         for at, w in enumerate(words):
-            if w in chosen:
-                postings[w].append((k, at, idf[w]))
-        known.append((t.label, len(words), [words_of(p.encode()) for p in t.phrases], sum(idf[w] for w in words if w in chosen)))
-    return Index(known, dict(postings), [(words_of(p.encode()), label) for p, label in phrases.items()])
-
-
-def matches(index: Index, words: list[bytes], share: float = 0.7, slack: int = 2) -> list[tuple[str, int, int, float]]:
+            postings[w].setdefault(k, []).append(at)
+        known.append((t.label, words, [words_of(p.encode()) for p in t.phrases]))
+    idf = {w: math.log((documents + 1) / (document_counts.get(w, 0) + 1)) + 1e-3 for w in postings}
+    return Index(known, {w: list(x.items()) for w, x in postings.items()}, idf, [sum(idf[w] for w in words) for _, words, _ in known], [(words_of(p.encode()), label) for p, label in phrases.items()])
+
+
+def slack(template_words: int) -> int:
+    """Words that may be missing or put in before a word of a match."""
+    return 2 + template_words // 20
+
+
+def _near(places: list[int], at: int, within: int) -> bool:
+    k = bisect_left(places, at - within)
+    return k < len(places) and places[k] <= at + within
+
+
+def held_share(index: Index, k: int, where: dict[bytes, list[int]], start: int) -> float:
+    """The IDF weight of template k's words that stand in their place from `start` on, over that of all its words."""
+    words = index.templates[k][1]
+    within = slack(len(words))
+    held = sum(index.idf[w] for at, w in enumerate(words) if w in where and _near(where[w], start + at, within))
+    return held / index.weights[k]
+
+
+def candidate_starts(index: Index, likely: set[int], where: dict[bytes, list[int]], agree: float, rarest: int) -> dict[int, list[int]]:
+    """By template, the starts at which the postings of the file's rarest licence words meet."""
+    looked: dict[int, list[tuple[bytes, list[int]]]] = {k: [] for k in likely}
+    for w in sorted(where, key=lambda w: (-index.idf[w], w)):
+        for k, at in index.postings[w]:
+            if k in looked and len(looked[k]) < rarest:
+                looked[k].append((w, at))
+    out = {}
+    for k, own in looked.items():
+        within = slack(len(index.templates[k][1]))
+        starts = [(w, sorted({place - p for p in at for place in where[w]})) for w, at in own]
+        total, found = sum(index.idf[w] for w, _ in own), []
+        missed = 0.0
+        for nth, (w, here) in enumerate(starts):  # a match has one of the first words, or it misses too much of the weight
+            if missed > (1 - agree) * total:
+                break
+            for x in here:
+                if sum(index.idf[v] for v, there in starts[nth:] if _near(there, x, within)) >= agree * total:
+                    found.append(x)
+            missed += index.idf[w]
+        if found:
+            out[k] = sorted(set(found))
+    return out
+
+
+def matches(index: Index, words: list[bytes], share: float = 0.7, agree: float = 0.4, rarest: int = 8) -> list[tuple[str, int, int, float]]:
     """(label, first word, words, share of the weight) of every template match."""
-    votes: dict[int, dict[int, dict[int, float]]] = defaultdict(lambda: defaultdict(dict))
+    weight: dict[int, float] = defaultdict(float)
+    for w in index.idf.keys() & set(words):
+        for k, at in index.postings[w]:
+            weight[k] += index.idf[w] * len(at)
+    likely = {k for k, x in weight.items() if x >= (share - 1e-9) * index.weights[k]}
+    if not likely:
+        return []
+    of_likely = {w for k in likely for w in index.templates[k][1]}
+    where: dict[bytes, list[int]] = defaultdict(list)
     for at, w in enumerate(words):
-        for k, place, idf in index.postings.get(w, ()):
-            votes[k][at - place][place] = idf
+        if w in of_likely:
+            where[w].append(at)
     found = []
-    for k, starts in votes.items():
-        label, length, phrases, weight = index.templates[k]
-        for start in sorted(starts):
-            held: dict[int, float] = {}
-            for near in range(start, start + slack + 1):
-                held |= starts.get(near, {})
-            score = sum(held.values()) / weight if weight else 0.0
-            if score >= share:
-                low = max(start, 0)
-                stretch = words[low : start + length + slack]
-                if all(places(stretch, p) for p in phrases):
-                    found.append((label, low, length, min(score, 1.0)))
-    return found
+    for k, starts in candidate_starts(index, likely, where, agree, rarest).items():
+        label, own, phrases = index.templates[k]
+        verified = []
+        for start in starts:
+            score = held_share(index, k, where, start)
+            stretch = words[max(start, 0) : max(start + len(own) + slack(len(own)), 0)]
+            if score >= share and all(places(stretch, p) for p in phrases):
+                verified.append((start, score))
+        for start, score in sorted(verified, key=lambda x: (-x[1], x[0])):
+            if all(2 * abs(start - other) >= len(own) for kk, other, _ in found if kk == k):
+                found.append((k, start, score))
+    return [(index.templates[k][0], max(start, 0), len(index.templates[k][1]), score) for k, start, score in sorted(found)]
 
 
 def licence_counts(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> tuple[dict[bytes, int], int]:
@@ -141,7 +164,7 @@ def licence_counts(docs: DataFrame, text: str = "text", templates=TEMPLATES) ->
 
 
 def _texts(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+    return by_bytes(docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")))
 
 
 MATCH = "array<struct<label:string,first_word:bigint,n_words:bigint,score:double>>"
@@ -158,7 +181,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     def scanned(batches):
         index = known.value
-        keys = {p[0] for p, _ in index.phrases} | set(index.postings)
+        keys = {p[0] for p, _ in index.phrases}
         for batch in batches:
             sizes, base, other = [], [], []
             for (texts,) in slices([batch], "_text"):
@@ -167,7 +190,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                     here = keys.intersection(words)
                     sizes.append(len(words))
                     base.append([{"label": label, "first_word": at} for p, label in index.phrases if p[0] in here for at in places(words, p)])
-                    other.append([dict(zip(("label", "first_word", "n_words", "score"), m, strict=True)) for m in matches(index, words)] if here else [])
+                    other.append([dict(zip(("label", "first_word", "n_words", "score"), m, strict=True)) for m in matches(index, words)])
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(base, place), pa.array(other, match)], names=[*keep, "n_words", "phrase_places", "matches"])
 
