@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinbuild.llm import quality_classifier
+from twinbuild.llm import language_id, quality_classifier
+from twinbuild.llm import quality_rules as rules
 from twinbuild.llm.common import held_out
 from twinbuild.llm.language_id import fit_language, predict_language
 from twinbuild.llm.quality_classifier import QualityModel, _margin, fit_quality, score_quality
@@ -95,3 +96,65 @@ def test_quality_sample_is_held_compactly():
     assert words.tolist() == [3, 3, 3] and values.tolist() == [0.5] * 3 and stats[0] == 3 and np.isnan(stats[1])
     assert inspect.signature(fit_quality).parameters["sample_rows"].default == 12_000
     assert len(quality_classifier.gathered(iter(()))[0]) == 0
+
+
+def brute_anomaly(forest, row):
+    """Path lengths of one row, node by node."""
+    total = 0.0
+    for feature, split, left, length in zip(forest.feature, forest.split, forest.left, forest.length, strict=True):
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + (row[feature[node]] >= split[node])
+        total += length[node]
+    n = forest.tree_rows
+    return 2 ** (-total / len(forest.feature) / (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n))
+
+
+def test_forest_against_row_by_row():
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.normal(0, 1, (400, 5)), rng.normal(6, 1, (4, 5))])
+    forest = rules.grow(rows, 40, 128)
+    scores = rules.anomaly(forest, rows)
+    assert np.allclose(scores, [brute_anomaly(forest, r) for r in rows]) and scores[400:].min() > np.quantile(scores[:400], 0.98)
+
+
+def test_many_equal_short_lines_stand_out():
+    """Between varied lines, so that few windows of three words repeat and the base rule passes."""
+    words = np.random.default_rng(5)
+    line = lambda n: " ".join(f"w{x}" for x in words.integers(0, 5000, n))
+    plain = ["\n".join(line(int(words.integers(8, 14))) for _ in range(8)) for _ in range(200)]
+    faulty = ["\n".join(f"buy now\n{line(5)}" for _ in range(20)) for _ in range(6)]
+    stats = np.array([rules.rule_statistics(t.encode()) for t in [*plain, *faulty]])
+    columns = {c: stats[:, k] for k, c in enumerate((*rules.COUNTS, *rules.EXTRA))}
+    rates = rules._rates(columns)
+    scores = rules.anomaly(rules.grow(rates, 100, 128), rates)
+    assert (columns["n_repeat_words"] * 100 <= 50 * columns["n_words"]).all() and (rates[200:, -1] > 0.1).all() and scores[200:].min() > np.quantile(scores[:200], 0.95)
+
+
+def test_language_by_hand(spark):
+    """Counts, priors and log probabilities against sums over n-grams, and letters by Unicode's categories."""
+    rows = [(1, "aab", "x"), (2, "abc abc", "y"), (3, "ba", "x"), (4, None, "y"), (5, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit_language(docs, bits=10)
+    grams = {x: np.concatenate([language_id.hashed_ngrams(t, 10, m.orders) for _, t, y in rows if t and y == x]) for x in ("x", "y")}
+    counts = np.stack([np.bincount(grams[x], minlength=1 << 10) + 0.5 for x in m.languages], axis=1)
+    assert m.languages == ["x", "y"] and np.allclose(m.log_prob, np.log(counts / counts.sum(0)), atol=1e-5) and np.allclose(m.log_prior, np.log([2 / 3, 1 / 3]))
+    texts = [(k, t) for k, t in enumerate(["ab", "cab", "½", "² ①", "12 3!", "é", "ß½", "", None, "漢"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict_language(spark.createDataFrame(texts, "doc_id long, text string"), m).collect()}
+    for k, t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            assert got[k] == "und"
+        else:
+            assert got[k] == m.languages[int(np.argmax(m.log_prob[language_id.hashed_ngrams(t, 10, m.orders)].sum(0) + m.log_prior))]
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit_language(docs, most_languages=1)
+
+
+def test_ids_that_repeat_and_names_that_clash(spark):
+    """Of rows with one id the same one is learnt from, however the rows lie, and a column named like ours does no harm."""
+    rows = [(k % 40, f"good words number {k}" if k % 2 else f"BAD!!! $$$ {k}", 1) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _label int")
+    first = quality_classifier.fit_quality(docs, labels)
+    again = quality_classifier.fit_quality(docs.orderBy(F.rand(3)).repartition(7), labels)
+    assert np.array_equal(first.linear, again.linear) and np.array_equal(first.factors, again.factors)

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from twinbuild.llm.common import hash_sample, slices, stored
+from twinbuild.llm.common import by_bytes, hash_sample, slices, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_upper", "n_bangs")
 BINS_OF_SCORE = 1000
+ODD_LINES = 0.02  # repeated lines a word, below which all texts are alike: one or two in a text are nothing odd, though rare
 _symbols = list(b"#*$%&|<>")
 _blank = list(b" \t\n\r\v\f")
 
@@ -73,7 +74,7 @@ def with_rule_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, .
             table = np.array(rows, np.int64).reshape(len(rows), len(COUNTS) + len(EXTRA))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *map(pa.array, table.T)], names=schema.names)
 
-    return docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).mapInArrow(counted, schema)
+    return by_bytes(docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))).mapInArrow(counted, schema)
 
 
 def _rates(columns: dict[str, np.ndarray]) -> np.ndarray:
@@ -81,7 +82,8 @@ def _rates(columns: dict[str, np.ndarray]) -> np.ndarray:
     c = {k: np.asarray(v, float) for k, v in columns.items()}
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     marks = c["n_upper"] + c["n_symbols"] + c["n_bangs"]
-    return np.stack([chars / words, c["n_symbols"] / words, c["n_symbols"] / chars, c["n_repeat_words"] / words, c["n_upper"] / chars, marks / chars, c["n_bangs"] / words], axis=1)
+    repeated = np.maximum(c["n_dup_lines"] / words, ODD_LINES)
+    return np.stack([chars / words, c["n_symbols"] / words, c["n_symbols"] / chars, c["n_repeat_words"] / words, c["n_upper"] / chars, marks / chars, c["n_bangs"] / words, repeated], axis=1)
 
 
 @dataclass(frozen=True)
