@@ -4,8 +4,9 @@ Counting is a Spark aggregation of (language, bucket) over every training docume
 log-probability matrix (languages x buckets) is broadcast and documents are scored in batches.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when nothing
-could be learnt; null languages are not learnt from; ties go to the first language in name order;
-repeated rows are answered each; other columns are ignored.
+could be learnt (`½` and `²` are no letters); null languages are not learnt from; ties go to the first
+language in name order; repeated rows are answered each; other columns are ignored; more than
+`most_languages` languages are an error, since the matrix is held whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices
+from twinbuild.llm.common import by_bytes, slices, stored
 
 UNDETERMINED = "und"
-_letter = re.compile(r"[^\W\d_]")
+_word = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits
 _odd = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -34,6 +35,11 @@ class LanguageModel:
     orders: tuple[int, ...]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's letter categories."""
+    return any(map(str.isalpha, (c for m in _word.finditer(text) for c in m.group())))
+
+
 def hashed_ngrams(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
     """Bucket of every character n-gram of the lower-cased text, which is padded with one blank on each side."""
     chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
@@ -48,7 +54,7 @@ def hashed_ngrams(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def fit_language(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", bits: int = 15, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5) -> LanguageModel | None:
+def fit_language(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", bits: int = 15, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, most_languages: int = 400) -> LanguageModel | None:
     """Count n-grams over all documents that pass `usable` and have text and language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.lit(True) if usable is None else usable)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
 
@@ -65,7 +71,9 @@ def fit_language(docs: DataFrame, usable: Column | None = None, text: str = "tex
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], documents[x]))], names=["lang", "bucket", "n"])
 
-    sums = rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = stored(by_bytes(rows).mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    if (found := sums.where("bucket = -1").count()) > most_languages:
+        raise ValueError(f"{found} languages; at most {most_languages} fit the matrix that tasks hold")
     got = sums.toPandas()  # at most languages x buckets rows, however many documents there are
     if got.empty:
         return None
@@ -93,7 +101,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
             names, scores = [], []
             for (texts,) in slices([batch], "_text", rows=128):
                 for x in texts:
-                    if x is None or not _letter.search(x):
+                    if x is None or not has_letter(x):
                         names.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
@@ -105,4 +113,4 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
                     scores.append(float(1 / np.exp((total - total[best]) / np.sqrt(counts[at].sum())).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(predicted, schema)
+    return by_bytes(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(predicted, schema)
