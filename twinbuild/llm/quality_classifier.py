@@ -7,8 +7,8 @@ The model is fitted on a bounded sample of labelled rows (`sample_rows`, in the
 id), which the driver holds as one block of numbers; every document is scored, on its whole text.
 
 Defined cases: a null or empty text has the structure features of an empty text and is scored like any
-other; null or non 0/1 labels, and ids labelled both ways, are not learnt from; repeated rows are scored
-each; other columns are ignored; without usable labels every score is 0.5.
+other; null or non 0/1 labels, and ids labelled both ways, are not learnt from; of rows that share an id one
+is learnt from, whatever the order of rows; repeated rows are scored each; other columns are ignored; without usable labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import hash_sample, slices, stored
+from twinbuild.llm.common import by_bytes, hash_sample, slices, stored
 
 WORD_BUCKETS = 1 << 16
 BINS = 16
@@ -151,7 +151,7 @@ def train(sample: Sample, labels: np.ndarray, rank: int = 8, epochs: int = 8, ra
 
 def _prepared(docs: DataFrame, text: str, metadata: list[str], keep: list[Column]) -> DataFrame:
     numbers = [F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in metadata]
-    return docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"), F.array(*numbers).cast("array<double>").alias("_meta"))
+    return by_bytes(docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"), F.array(*numbers).cast("array<double>").alias("_meta")))
 
 
 def _nan(values) -> list[float]:
@@ -166,18 +166,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
         .select(F.col("doc_id").alias("_labelled"), "_label")
     )
     chosen = hash_sample(chosen, sample_rows, "_labelled")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_labelled"])  # at most sample_rows pairs of numbers
+    own = docs.select("doc_id", *dict.fromkeys((text, *metadata)))  # so that no other column of docs meets one of ours
+    rows = own.join(F.broadcast(chosen), own["doc_id"] == chosen["_labelled"])  # at most sample_rows pairs of numbers
 
     def features(batches):
-        for texts, meta, ids, y in slices(batches, "_text", "_meta", "_labelled", "_label"):
+        for texts, meta, ids, y, at in slices(batches, "_text", "_meta", "_labelled", "_label", "_at"):
             found = [text_features(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary()), pa.array([f[2] + _nan(x) for f, x in zip(found, meta, strict=True)], pa.list_(pa.float64()))],
-                names=["id", "label", "words", "values", "stats"],
+                [pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(y, pa.int32()), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary()), pa.array([f[2] + _nan(x) for f, x in zip(found, meta, strict=True)], pa.list_(pa.float64()))],
+                names=["id", "at", "label", "words", "values", "stats"],
             )
 
-    got = _prepared(rows, text, list(metadata), [F.col("_labelled"), F.col("_label")]).mapInArrow(features, "id long, label int, words binary, values binary, stats array<double>").dropDuplicates(["id"])
-    sample, y = gathered(stored(got, "quality-sample").orderBy("id").toLocalIterator())  # a part at a time
+    keep = [F.col("_labelled"), F.col("_label"), F.xxhash64(text, *metadata).alias("_at")]
+    got = _prepared(rows, text, list(metadata), keep).mapInArrow(features, "id long, at long, label int, words binary, values binary, stats array<double>")
+    one = got.groupBy("id").agg(F.min(F.struct("at", "label", "words", "values", "stats")).alias("x")).select("id", "x.label", "x.words", "x.values", "x.stats")  # of rows that share an id, the same one always
+    sample, y = gathered(stored(one, "quality-sample").orderBy("id").toLocalIterator())  # a part at a time
     return train(sample, y) if len(set(y.tolist())) == 2 else None
 
 
