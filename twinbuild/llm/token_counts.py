@@ -3,7 +3,8 @@
 An Aho-Corasick automaton enumerates every vocabulary piece that ends at each character; dynamic
 programming carries the best score and its number of pieces, no piece list. The rules are those of the
 public unigram tokenizer: a text is cut before every blank, the blank becomes U+2581 and one stands
-before a first word that has none; scores are added as doubles from the left; of equal scores the longer last piece
+before a first word that has none; within a word scores are added as doubles from the left (a text's score is
+the sum over its distinct words, each times its count); of equal scores the longer last piece
 wins; a character that no one-character piece covers costs the lowest score less 10 and counts one token
 for each byte of it.
 
@@ -14,13 +15,14 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices
+from twinbuild.llm.common import by_bytes, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -35,9 +37,9 @@ def piece_scores(model_file: str) -> list[tuple[str, float]]:
 
 
 class Counts:
-    """Viterbi over one vocabulary; counts of words already seen are remembered, up to `remember` words."""
+    """Viterbi over one vocabulary; counts of words already seen are remembered, up to `remember` words while a task runs and `between` after it."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], remember: int = 800_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], remember: int = 800_000, between: int = 200_000):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             if piece:
@@ -46,15 +48,22 @@ class Counts:
         joined = {c for piece, _ in vocabulary if len(piece) > 1 for c in piece}
         self.apart = "" if "\n" in joined else "\n"  # a character that no longer piece holds: the best path has a cut on either side of it
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.remember, self.seen = remember, {}
+        self.remember, self.between, self.seen, self.again = remember, between, {}, {}
+
+    def forget(self) -> None:
+        """At the end of a task: keep words that came again after the text that they were first in."""
+        if len(self.seen) > self.between:
+            self.seen, self.again = dict(islice(self.again.items(), self.between)), {}
 
     def word(self, text: str) -> tuple[int, float]:
         """Tokens and best score of one word (nothing for an empty one)."""
         found = self.seen.get(text)
         if found is None:
             if len(self.seen) >= self.remember:
-                self.seen.clear()
+                self.seen, self.again = dict(self.again), {}
             found = self.seen[text] = self._viterbi(text)
+        else:
+            self.again[text] = found
         return found
 
     def _viterbi(self, text: str) -> tuple[int, float]:
@@ -111,5 +120,6 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], text: str
         for batch in batches:
             rows = [counts.text(x or "") for (texts,) in slices([batch], "_text") for x in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=schema.names)
+        counts.forget()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(counted, schema)
+    return by_bytes(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(counted, schema)
