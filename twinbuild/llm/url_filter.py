@@ -7,6 +7,9 @@ All of it is DataFrame expressions. A list entry is (pattern, action, changed_at
 join meets every capture with the intervals of the patterns that its URL can match, and keeps those that
 hold its fetch time. Of the active entries the most specific pattern decides, and `allow` wins a tie.
 
+Captures are stored under a row key first, so the key is the same when an executor is lost. Of a URL's path only
+as many leading parts are asked for as the longest listed path has.
+
 Hot hosts: a capture asks with its few patterns, and its rows are salted; the intervals are copied to
 each salt, or broadcast where they are few. A pattern's intervals are split at month borders, so that a
 capture meets only those of its own month.
@@ -41,12 +44,12 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def _patterns(host: Column, path: Column) -> Column:
-    """All patterns that cover the URL: the host, its domains, and the host with each leading part of the path."""
+def _patterns(host: Column, path: Column, depth: int) -> Column:
+    """The patterns that cover the URL: the host, its domains, and the host with each of the first `depth` leading parts of the path."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("."), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
+    paths = F.when((F.size(parts) > 0) & (F.lit(depth) > 0), F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(F.array(host), domains, paths))).otherwise(F.array().cast("array<string>"))
 
 
@@ -66,9 +69,10 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def url_verdicts(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at", broadcast_spans: int = 100_000) -> DataFrame:
     """key, host, fetch time, number of active entries, the deciding pattern and action, kept."""
-    rows = captures.select(F.monotonically_increasing_id().alias("_row"), F.col(key), host_of(F.coalesce(url, F.lit(""))).alias("host"), path_of(F.coalesce(url, F.lit(""))).alias("_path"), F.col(fetched).alias("fetched_at"))
+    rows = stored(captures.select(F.monotonically_increasing_id().alias("_row"), F.col(key), host_of(F.coalesce(url, F.lit(""))).alias("host"), path_of(F.coalesce(url, F.lit(""))).alias("_path"), F.col(fetched).alias("fetched_at")), "captures")
     spans = stored(validity(entries), "spans")
-    dates = captures.agg(F.min(fetched).alias("low"), F.max(fetched).alias("high")).first()
+    dates = rows.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high")).first()
+    deepest = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # no listed path has more parts, so none further down can match
     month = lambda at: F.date_trunc("month", at)
     if dates["low"] is None:
         monthly = spans.where("false").withColumn("_month", month(F.col("valid_from")))
@@ -76,7 +80,7 @@ def url_verdicts(captures: DataFrame, entries: DataFrame, key: str = "page_id",
         low, high = F.lit(dates["low"]).cast("timestamp"), F.lit(dates["high"]).cast("timestamp")
         inside = spans.where((F.col("valid_until") > low) & (F.col("valid_from") <= high))
         monthly = inside.withColumn("_month", F.explode(F.sequence(month(F.greatest("valid_from", low)), month(F.least("valid_until", high)), F.expr("interval 1 month"))))
-    asked = rows.select("_row", "fetched_at", month(F.col("fetched_at")).alias("_month"), F.explode(_patterns(F.col("host"), F.col("_path"))).alias("pattern"))
+    asked = rows.select("_row", "fetched_at", month(F.col("fetched_at")).alias("_month"), F.explode(_patterns(F.col("host"), F.col("_path"), deepest)).alias("pattern"))
     if monthly.count() <= broadcast_spans:
         met = asked.join(F.broadcast(monthly), ["pattern", "_month"])
     else:
