@@ -13,7 +13,9 @@ unless what sets each of them apart from the centre already rules a link out. Th
 bit maps of the shingles that a node lacks and of those that it adds: the lacking ones of both nodes are
 missing from the intersection, and added ones are in it only if both nodes add them. The bound is exact.
 So a group of n near copies costs about n pairs, and no pair that shares a band and could join two
-components goes untested.
+components goes untested. The walk over what is left of a bucket is cut into squares of `block` x `block`
+members, each of which is a task's group of its own, however large the bucket; and a node that very many
+pairs name (a centre) meets them by a broadcast of its row.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a text with fewer words
 than a shingle is one shingle; rows without an id are linked with nothing and have no component;
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from twinbuild.llm.common import slices, stored
+from twinbuild.llm.common import by_bytes, keyed, slices, stored
 
 DIFFERENCE_BITS = 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -48,6 +50,7 @@ class Banding:
     rows: int = 6
     miss: float = 1e-7
     seed: int = 9
+    block: int = 1000
 
     @property
     def hashes(self) -> int:
@@ -131,7 +134,7 @@ def with_signatures(docs: DataFrame, how: Banding, text: str = "text") -> DataFr
                 names=["doc_id", "n_shingles", "digest", "bands", "sketch", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).mapInArrow(
+    return by_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))).mapInArrow(
         signed, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, signature binary"
     )
 
@@ -164,12 +167,25 @@ def _most_shared(a: str, b: str) -> Column:
     return F.col(f"{a}.n_centre") - lacking + added + unseen
 
 
+def _met(pairs: DataFrame, rows: DataFrame, key: str, size: Column, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """pairs (stored) with the row of `rows` that has their `key`; keys with more pairs than a task has on average are broadcast, as far as those rows fit."""
+    often = stored(pairs.groupBy(key).count(), "often")
+    total = often.agg(F.sum("count")).first()[0] or 0
+    hot = often.where(F.col("count") > max(1000, total // int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).select(key)
+    hot = rows.join(F.broadcast(hot), key, "left_semi")  # fewer keys than there are partitions
+    if not total or not 0 < (hot.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
+        return pairs.join(rows, key)
+    hot = stored(hot, "hot")
+    rest = pairs.join(F.broadcast(hot.select(key)), key, "left_anti").join(rows, key)
+    return rest.unionByName(pairs.join(F.broadcast(hot), key))
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, how: Banding, batch_hashes: int = 40) -> DataFrame:
     """Sequential verification of pairs (a, b) on 16-bit hash values; gives those that no batch rules out."""
     ends = list(range(batch_hashes, how.hashes + 1, batch_hashes))
     needed = [least_matches(n, how.threshold, how.miss) for n in ends]
     own = nodes.select("node", "signature")
-    both = pairs.join(own.withColumnsRenamed({"node": "a", "signature": "_a"}), "a").join(own.withColumnsRenamed({"node": "b", "signature": "_b"}), "b")
+    both = _met(pairs, own.withColumnsRenamed({"node": "b", "signature": "_b"}), "b", F.length("_b")).join(own.withColumnsRenamed({"node": "a", "signature": "_a"}), "a")
 
     def compared(batches):
         for batch in batches:
@@ -180,7 +196,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, how: Banding, batch_hashes: i
                 alive, equal = alive[equal >= least], equal[equal >= least]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(alive)) for c in ("a", "b")], names=["a", "b"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(compared, "a long, b long")
+    return by_bytes(both.select("a", "b", "_a", "_b")).mapInArrow(compared, "a long, b long")
 
 
 def _small(ids: DataFrame, at_most: int = 2_000_000) -> DataFrame:
@@ -199,15 +215,15 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding,
             sets = [s.tobytes() for s in shingle_sets(rows, how.width)]
             yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    sets = stored(texts.select("_text").mapInArrow(collected, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
+    sets = stored(by_bytes(texts.select("_text")).mapInArrow(collected, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    both = _met(pairs, sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b", F.length("_b")).join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a")
     parts, longs = 100, pa.list_(pa.int64())
     least = round(how.threshold * parts)
 
     def measured(batches):
         for batch in batches:
             link, sizes, lacks, adds, n_adds = [], [], [], [], []
-            for xs, ys in slices([batch], "_a", "_b", rows=256):
+            for xs, ys in slices([batch], "_a", "_b", rows=64):
                 for x, y in zip(xs, ys, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     new = np.setdiff1d(x, y, assume_unique=True)
@@ -220,7 +236,7 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding,
             own = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(link, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(lacks, longs), pa.array(adds, longs), pa.array(n_adds, pa.int32())], names=["a", "b", "linked", "n_centre", "lacks", "adds", "n_adds"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(measured, "a long, b long, linked boolean, n_centre int, lacks array<long>, adds array<long>, n_adds int")
+    return by_bytes(both.select("a", "b", "_a", "_b")).mapInArrow(measured, "a long, b long, linked boolean, n_centre int, lacks array<long>, adds array<long>, n_adds int")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -274,8 +290,8 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
 
     def met(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and sketches allow."""
-        x = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch").alias("_x")), "a")
-        return x.join(facts.select(F.col("node").alias("b"), F.struct("n_shingles", "sketch").alias("_y")), "b").where(_could_link(how, "_x", "_y")).select("a", "b")
+        x = _met(stored(pairs, "pairs"), facts.select(F.col("node").alias("b"), F.struct("n_shingles", "sketch").alias("_y")), "b", F.lit(64))
+        return x.join(facts.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch").alias("_x")), "a").where(_could_link(how, "_x", "_y")).select("a", "b")
 
     def measured(pairs: DataFrame) -> DataFrame:
         likely = stored(_plausible(pairs, nodes, how), "likely")
@@ -294,17 +310,22 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
     left = stored(left.drop("centre"), "open-members")
     keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most as many as there are bands
     left = left.join(keys, "node").join(facts, "node")
-    a, b = left.alias("a"), left.alias("b")
+    cuts = left.groupBy("key").agg(F.ceil(F.count("*") / how.block).cast("int").alias("_cuts")).where("_cuts > 1")
+    left = stored(left.join(_small(stored(cuts, "cuts")), "key", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")), "walked")
+    every = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
+    a, b = left.select("*", F.col("_own").alias("_i"), every.alias("_j")).alias("a"), left.select("*", F.col("_own").alias("_j"), every.alias("_i")).alias("b")
     shared = _most_shared("a", "b")
     near = shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared)
     once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that two nodes share, one makes the pair
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
+    square = (F.col("a.key") == F.col("b.key")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
+    across = a.join(b, square & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
     second = measured(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     roots = components(links(first).unionByName(links(second)))
 
-    named = nodes.select("node", "digest", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_doc = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    known = stored(named.join(least_doc, "root").select("digest", "component_id"), "classes")
+    roots = stored(roots, "roots")
+    least_doc = stored(nodes.select("node", "first_doc").join(roots, "node").groupBy("root").agg(F.min("first_doc").alias("component_id")), "least")
+    named = nodes.select("node", "digest", "first_doc").join(roots, "node", "left").join(_small(least_doc), "root", "left")
+    known = stored(named.select("digest", F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -321,3 +342,17 @@ def one_of_each(docs: DataFrame, judged: DataFrame, text: str = "text") -> DataF
 
     once, again = of(rows.where("_rows = 1").select("doc_id")), of(rows.where("_rows > 1").select("doc_id"))
     return once.unionByName(again.dropDuplicates(["doc_id", text])).unionByName(docs.where("doc_id is null"))
+
+
+def deduplicated(docs: DataFrame, how: Banding = Banding(), text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: of each group of near copies the one with the least doc_id (null last), of equals any.
+
+    Rows are linked and chosen by a key of their own, so rows without an id and rows that share one are judged like all others.
+    """
+    rows = keyed(docs)
+    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(f"row.{text}").alias("text")), how).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    own = stored(judged.join(rows.select("key", F.col("row.doc_id").alias("id")), "key"), "groups")
+    first = own.groupBy("group").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("_first"))
+    stay = stored(first.where("_n > 1").select(F.col("_first.key").alias("key"), "group"), "stay")
+    gone = own.join(_small(stay.select("group")), "group", "left_semi").join(_small(stay.select("key")), "key", "left_anti").select("key")
+    return rows.join(_small(stored(gone, "gone")), "key", "left_anti").select("row.*")
