@@ -2,6 +2,11 @@
 
 Each stage takes what the one before it kept and has its decisions take effect; all but the last return the
 columns of documents. Stages that learn do so from the documents that they are given and `labels`.
+
+Defined cases, in every stage: an empty table gives an empty one; columns beyond those of documents stay, whatever
+their names; rows whose ids are null or repeat are judged one by one, each on its own text. A null or empty text
+is scored by the classifier as an empty one; fails the base rules, which ask for 50 words; would be like nothing and
+hold no benchmark item; and packs as its end token.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group."""
-    return near_dedup.one_of_each(docs, near_dedup.near_duplicates(docs))
+    return near_dedup.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
