@@ -2,9 +2,11 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from twinbuild.llm import quality_classifier
-from twinbuild.llm.decontamination import contaminated
+from twinbuild.llm import near_dedup, quality_classifier
+from twinbuild.llm.decontamination import contaminated, without_leaks
 from twinbuild.llm.near_dedup import near_duplicates
 
 
@@ -43,3 +45,18 @@ def test_classifier_stage_is_the_operator(spark, sf_dir, monkeypatch):
     scored = quality_classifier.score_quality(docs, seen["model"], metadata=("n_chars",)).collect()
     assert seen["least"] == 0.7 and seen["fit"]["metadata"] == seen["kept"]["metadata"] == ("n_chars",)
     assert got == {r["doc_id"] for r in scored if r["score"] >= 0.7}
+
+
+def test_rows_without_their_own_id(spark):
+    """Copies and leaks among rows with null or repeated ids go, too, and only they."""
+    words = [f"w{k}" for k in range(300)]
+    text = lambda at: " ".join(words[at : at + 60])
+    rows = [(None, text(0)), (None, text(0)), (None, text(60)), (7, text(120)), (7, text(120)), (7, text(180)), (8, text(180)), (9, "the item " + text(240))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("row", F.lit("x"))
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(True, None, text(0)), (True, None, text(60)), (False, 7, text(120)), (False, 7, text(180)), (False, 9, "the item " + text(240))], key=str)
+    items = spark.createDataFrame([(1, text(60)), (2, text(240))], "item_id long, text string")
+    left = without_leaks(docs, items)
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t not in (text(60), "the item " + text(240)))
+    assert near_dedup.deduplicated(docs.limit(0)).count() == 0 and without_leaks(docs.limit(0), items).count() == 0
