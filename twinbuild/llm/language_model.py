@@ -3,17 +3,23 @@
 Spark counts every token of the training documents; those counts give the vocabulary, the base score, the
 output classes and the share of rare words, so what is gathered and what the network learns from grow with
 the corpus. The network has its own word for each of the most frequent tokens, as many as make up `coverage`
-of all occurrences. They are split by rank into about the root of their number of classes, each with the
-same sum of roots of counts (classes of frequent words are small). All other tokens fall into `tails` classes
-by a hash of their last two bytes. The network (numpy) has one gated recurrent layer:
+of all occurrences (`most_words` bounds the size of the network, and so of what is broadcast). They are split
+by rank into about the root of their number of classes, each with the same sum of roots of counts (classes of
+frequent words are small). All other tokens fall into `tails` classes by a hash of their last two bytes. The
+classes are factored once more, into the root of their number of groups. The network (numpy) has one gated
+recurrent layer:
 
+    p(class | state) = p(group | state) * p(class | group, state)
     p(token) = p(class | state) * p(token | class, state)   for frequent tokens
     p(token) = p(class | state) * (c + 1) / (N_k + V_k + 1)  for the others, from the counts of tail class k
 
-It is trained by truncated backpropagation: each task runs its documents side by side in lanes, in windows
-whose state carries over, and ends with its own parameters; Spark averages them (in groups first), and the
-next round goes on from there with other documents. Each training document is used in one round. Scoring
-carries the state over the windows of a document from its first token to its last.
+Texts become token ids once, in a stored table that both training and scoring read. Training is truncated
+backpropagation: each task runs its documents side by side in lanes, in windows whose state carries over
+(where few long documents are left, windows are longer), and ends with its own parameters; Spark averages
+them, in two levels of about the root of their number, and the next round goes on from there with other
+documents. Each training document is used in one round; a task trains on about `trainer_tokens`, so the
+networks that are sent grow with the corpus, not with Spark's partitions. Scoring carries the state over the
+windows of a document from its first token to its last.
 
 The counts of very frequent tokens (`held_counts`) are broadcast; the others are joined to the documents'
 rare tokens by a shuffle.
@@ -25,16 +31,17 @@ the network is the untrained one; repeated rows are answered each; other columns
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass, replace
+from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbuild.llm.common import slices, stored
+from twinbuild.llm.common import by_bytes, hash_sample, split_words, stored
 
 END = b""  # no word is empty
 LOG10 = np.log(10.0)
@@ -53,7 +60,9 @@ class Shape:
     window: int = 16
     rounds: int = 3
     rate: float = 0.08
-    held_counts: int = 100_000
+    held_counts: int = 300_000
+    most_words: int = 1 << 18
+    trainer_tokens: int = 4_000_000
     starts: tuple[int, ...] = ()
 
     def fitted(self, corpus: Corpus) -> Shape:
@@ -95,40 +104,61 @@ def tail_class(word: bytes, tails: int) -> int:
     return crc32(word[-2:]) % tails
 
 
-def count_tokens(docs: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
-    """(word, n) over whole texts; the end token is the empty word. Tasks add up what they can hold before the shuffle."""
+@cache
+def _tail_classes(tails: int) -> np.ndarray:
+    """tail_class of every word of two bytes, then of every one-byte word."""
+    return np.array([tail_class(bytes((x >> 8, x & 255)), tails) for x in range(1 << 16)] + [tail_class(bytes((x,)), tails) for x in range(256)], np.int32)
 
-    def counted(batches):
-        total: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+def tail_classes(words: pa.Array, tails: int) -> np.ndarray:
+    """tail_class of each of these words, none of which is empty."""
+    words = pa.array(words, pa.binary()) if words.offset else words.cast(pa.binary())
+    offsets, data = (np.frombuffer(x, t) if x else np.zeros(0, t) for x, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+    ends = offsets[1 : len(words) + 1].astype(np.int64)
+    last = data[ends - 1].astype(np.int64)
+    two = ends - offsets[: len(words)] > 1
+    before = data[np.where(two, ends - 2, ends - 1)].astype(np.int64)
+    return _tail_classes(tails)[np.where(two, before * 256 + last, (1 << 16) + last)]
+
 
-        for (texts,) in slices(batches, "_text"):
-            for x in texts:
-                total.update(x.lower().split())
-            total[END] += len(texts)
-            if len(total) > flush:
-                yield out()
-                total = Counter()
-        yield out()
+def count_tokens(docs: DataFrame, text: str = "text", flush: int = 800_000) -> DataFrame:
+    """(word, n) over whole texts; the end token is the empty word. Tasks add up what they can hold before the shuffle."""
+
+    def summed(parts):
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def counted(batches):
+        ends, held = 0, []
+        for batch in batches:
+            found = split_words(batch.column(0))[0].value_counts()
+            ends += batch.num_rows
+            held.append(pa.table({"word": found.field("values").cast(pa.binary()), "n": found.field("counts")}))
+            if sum(map(len, held)) > flush:
+                yield from summed(held).to_batches()
+                held = []
+        yield from summed([*held, pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())})]).to_batches()
 
     return _texts(docs, text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _texts(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
-    return docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+    return by_bytes(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *keep))
 
 
 def describe(counts: DataFrame, shape: Shape) -> Corpus:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("n"))).alias("e")).first()
-    named = counts.where("length(word) > 0")
-    steps = sorted(((r["n"], r["v"]) for r in named.groupBy("n").agg(F.count("*").alias("v")).collect()), reverse=True)  # at most about the root of all tokens
-    n_frequent = shape.words - 1 if shape.words else _covering(steps, shape.coverage, total["e"] or 0)
-    held = max(shape.held_counts, n_frequent)
-    reached = np.cumsum([v for _, v in steps])
-    least = steps[min(int(np.searchsorted(reached, held)), len(steps) - 1)][0] if steps else 0  # rows below are left out before tasks sort theirs
-    top = [(bytes(r["word"]), r["n"]) for r in named.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(held).collect()]
+    named = counts.where("length(word) > 0").withColumn("_bin", F.floor(F.log2("n") * 64).cast("int"))  # 1.1% wide: 64 for each doubling of a count
+    bins = named.groupBy("_bin").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("_bin")).collect()
+    missing = shape.coverage * (total["n"] or 0) - (total["e"] or 0)
+    n_frequent = 0
+    for b in bins:
+        if missing <= b["n"]:
+            n_frequent += max(0, int(np.ceil(missing / b["least"])))
+            break
+        missing -= b["n"]
+        n_frequent += b["words"]
+    n_frequent = shape.words - 1 if shape.words else min(n_frequent, shape.most_words)
+    top = _most_frequent(named, bins, max(shape.held_counts, n_frequent))
     frequent = [w for w, _ in top[:n_frequent]]
     tail = F.crc32(F.when(F.length("word") < 2, F.col("word")).otherwise(F.expr("substring(word, -2, 2)"))) % shape.tails
     norm = np.ones(shape.tails)
@@ -139,37 +169,55 @@ def describe(counts: DataFrame, shape: Shape) -> Corpus:
     return Corpus(total["n"] or 0, total["v"], total["e"] or 0, frequent, dict(top), norm)
 
 
-def _covering(steps: list[tuple[int, int]], coverage: float, end: int) -> int:
-    """How many of the most frequent words make up, with the end token, this share of all tokens; steps are (count, words), falling."""
-    missing = coverage * (sum(n * v for n, v in steps) + end) - end
-    words = 0
-    for n, v in steps:
-        if missing <= n * v:
-            return words + max(0, int(np.ceil(missing / n)))
-        missing -= n * v
-        words += v
-    return words
+def _most_frequent(named: DataFrame, bins: list, size: int) -> list[tuple[bytes, int]]:
+    """The `size` most frequent words with their counts, most frequent first; of equal bins, those with the least hash."""
+    whole, k = 0, 0
+    while k < len(bins) and whole + bins[k]["words"] <= size:
+        whole += bins[k]["words"]
+        k += 1
+    rows = named.where(F.col("_bin") > bins[k]["_bin"]) if k < len(bins) else named
+    got = rows.select("word", "n").toArrow() if whole else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    if k < len(bins) and size > whole:
+        got = pa.concat_tables([got, hash_sample(named.where(F.col("_bin") == bins[k]["_bin"]).select("word", "n"), size - whole, "word").toArrow().cast(got.schema)])
+    pairs = zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True)
+    return sorted(pairs, key=lambda x: (-x[1], x[0]))
 
 
 class Network:
     """A gated recurrent layer over token ids, and the two softmax levels above it."""
 
-    NAMES = ("gates", "recurrent", "class_weight", "class_bias", "word_weight", "word_bias")
+    NAMES = ("gates", "recurrent", "group_weight", "group_bias", "class_weight", "class_bias", "word_weight", "word_bias")
 
-    def __init__(self, shape: Shape, frequencies: np.ndarray | None = None, seed: int = 7):
+    def __init__(self, shape: Shape, frequencies: np.ndarray | None = None, seed: int = 7, flat: np.ndarray | None = None):
+        """New parameters, from a unigram model if there are frequencies; or those of another network, from its `flat`."""
         self.shape = shape
-        rng = np.random.default_rng(seed)
         h, self.bounds = shape.state, shape.bounds()
         self.class_of = np.concatenate((np.repeat(np.arange(shape.classes), np.diff(self.bounds)), shape.classes + np.arange(shape.tails)))
+        n_classes = shape.classes + shape.tails
+        groups = max(1, round(n_classes**0.5))
+        self.groups = np.linspace(0, n_classes, groups + 1).astype(int)
+        self.group_of = np.repeat(np.arange(groups), np.diff(self.groups))
+        self.sizes = {
+            "gates": (shape.words + shape.tails, 3 * h), "recurrent": (h, 3 * h), "group_weight": (groups, h), "group_bias": (groups,),
+            "class_weight": (n_classes, h), "class_bias": (n_classes,), "word_weight": (shape.words, h), "word_bias": (shape.words,),
+        }
+        if flat is not None:
+            self.load(flat)
+            self.seen = {k: np.full(v, 1e-3, np.float32) for k, v in self.sizes.items()}
+            return
+        rng = np.random.default_rng(seed)
         self.p = {
             "gates": rng.normal(0, 0.1, (shape.words + shape.tails, 3 * h)), "recurrent": rng.normal(0, h**-0.5, (h, 3 * h)),
-            "class_weight": rng.normal(0, 0.1, (h, shape.classes + shape.tails)), "class_bias": np.zeros(shape.classes + shape.tails),
+            "group_weight": rng.normal(0, 0.1, (groups, h)), "group_bias": np.zeros(groups), "class_weight": rng.normal(0, 0.1, (n_classes, h)), "class_bias": np.zeros(n_classes),
             "word_weight": rng.normal(0, 0.1, (shape.words, h)), "word_bias": np.zeros(shape.words),
         }
         if frequencies is not None:  # start from the unigram model
             f = np.maximum(frequencies, 0.5)
             own = np.add.reduceat(f[: shape.words], self.bounds[:-1])
-            self.p["class_bias"] = np.log(np.concatenate((own, f[shape.words :])) / f.sum())
+            of_class = np.concatenate((own, f[shape.words :]))
+            of_group = np.add.reduceat(of_class, self.groups[:-1])
+            self.p["group_bias"] = np.log(of_group / f.sum())
+            self.p["class_bias"] = np.log(of_class / of_group[self.group_of])
             self.p["word_bias"] = np.log(f[: shape.words] / own[self.class_of[: shape.words]])
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
@@ -178,124 +226,182 @@ class Network:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
 
     def load(self, flat: np.ndarray) -> Network:
-        at = 0
+        self.p, at = {}, 0
         for k in self.NAMES:
-            size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            size = int(np.prod(self.sizes[k]))
+            self.p[k] = flat[at : at + size].reshape(self.sizes[k]).astype(np.float32)
             at += size
         return self
 
     def forward(self, h: np.ndarray, ids: np.ndarray, fresh: np.ndarray, keep: bool):
-        """ids and fresh are steps x lanes; gives the states and what backward needs."""
-        n = self.shape.state
-        recurrent, gates = self.p["recurrent"], self.p["gates"]
-        states, memory = np.empty((len(ids), len(h), n), np.float32), []
-        for t in range(len(ids)):
-            if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            x, a = gates[ids[t]], h @ recurrent
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-            if keep:
-                memory.append((h, z, r, a[:, 2 * n :], new))
-            h = new + z * (h - new)
-            states[t] = h
-        return states, memory
+        """ids and fresh are steps x lanes; gives the states and what backward needs: each step's first state, gates and new state.
+
+        Both gates are 1 / (1 + exp(what their weights say)).
+        """
+        n, kind = self.shape.state, self.p["gates"].dtype
+        steps, width = ids.shape
+        x, recurrent = self.p["gates"][ids], self.p["recurrent"]
+        memory = steps if keep else 1
+        states, new = np.empty((steps, width, n), kind), np.empty((memory, width, n), kind)
+        gates, again, change = np.empty((memory, width, 2 * n), kind), np.empty((memory, width, 3 * n), kind), np.empty((width, n), kind)
+        starts = fresh.any(1)
+        for t in range(steps):
+            k = t if keep else 0
+            own = states[t - 1] if t else h
+            if starts[t]:
+                own = np.where(fresh[t][:, None], kind.type(0), own)
+            zr, candidate, a, out = gates[k], new[k], again[k], states[t]
+            np.matmul(own, recurrent, out=a)
+            np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[:, n:], a[:, 2 * n :], out=candidate)
+            candidate += x[t, :, 2 * n :]
+            np.tanh(candidate, out=candidate)
+            np.subtract(own, candidate, out=change)
+            change *= zr[:, :n]
+            np.add(candidate, change, out=out)
+        if not keep:
+            return states, ()
+        before = np.concatenate((h[None], states[:-1]))
+        before[fresh] = 0
+        return states, (before, gates, again[:, :, 2 * n :], new)
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
-        """Log probability of each target (for a tail class, of the class); with learn also the gradients."""
-        s = self.shape
-        n = len(states)
-        of = self.class_of[targets]
-        logits = states @ self.p["class_weight"] + self.p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        sums = e.sum(1)
-        rows = np.arange(n)
-        score = (logits[rows, of] - np.log(sums)).astype(np.float64)
-        grads, back = {}, None
-        if learn:
-            d = e / sums[:, None]
-            d[rows, of] -= 1
-            grads["class_weight"], grads["class_bias"] = states.T @ d, d.sum(0)
-            back = d @ self.p["class_weight"].T
-            grads["word_weight"], grads["word_bias"] = (np.zeros(self.p[k].shape, self.p[k].dtype) for k in ("word_weight", "word_bias"))
-        by = np.flatnonzero(targets < s.words)
-        by = by[np.argsort(of[by], kind="stable")]
-        bounds = np.searchsorted(of[by], np.arange(s.classes + 1))
-        for c in range(s.classes):
-            take = by[bounds[c] : bounds[c + 1]]
-            if not len(take):
-                continue
-            here = slice(self.bounds[c], self.bounds[c + 1])
-            own, w = states[take], self.p["word_weight"][here]
-            logits = own @ w.T + self.p["word_bias"][here]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            sums = e.sum(1)
-            at, rows = targets[take] - self.bounds[c], np.arange(len(take))
-            score[take] += logits[rows, at] - np.log(sums)
-            if learn:
-                d = e / sums[:, None]
-                d[rows, at] -= 1
-                grads["word_weight"][here], grads["word_bias"][here] = d.T @ own, d.sum(0)
-                back[take] += d @ w
-        return score, grads, back
-
-    def backward(self, ids: np.ndarray, fresh: np.ndarray, memory: list, back: np.ndarray) -> dict:
+        """Log probability of each target (for a tail class, of the class); with learn also the gradients.
+
+        Rows are taken in the order of their targets, which is also that of their classes and groups.
+        """
+        order = _in_order(targets, len(self.class_of))
+        target = targets[order]
+        own = states[order].astype(self.p["word_weight"].dtype, copy=False)
+        of, known = self.class_of[target], int(np.searchsorted(target, self.shape.words))
+        score, back, grads = np.zeros(len(own)), np.zeros_like(own), {}
+        for name, rows, item, bounds in (("group", len(own), self.group_of[of], np.array([0, len(self.groups) - 1])), ("class", len(own), of, self.groups), ("word", known, target, self.bounds)):
+            grads |= self._level(name, own[:rows], item[:rows], bounds, score[:rows], back[:rows], learn)
+        placed = np.empty(len(own))
+        placed[order] = score
+        if not learn:
+            return placed, grads, None
+        placed_back = np.empty_like(back)
+        placed_back[order] = back
+        return placed, grads, placed_back
+
+    def _level(self, name: str, own: np.ndarray, item: np.ndarray, bounds: np.ndarray, score: np.ndarray, back: np.ndarray, learn: bool) -> dict:
+        """One factor of the softmax: the log of p(item | its segment of bounds) is added to score, its gradient by the states to back.
+
+        Rows come in the order of their items. The logits of all rows, each over its own segment, lie in one flat array.
+        """
+        weight, bias = self.p[f"{name}_weight"], self.p[f"{name}_bias"]
+        cuts, sizes = np.searchsorted(item, bounds), np.diff(bounds)
+        rows = np.diff(cuts)
+        segment = np.repeat(np.arange(len(sizes)), rows)
+        begin = np.append(0, np.cumsum(rows * sizes))
+        starts = begin[segment] + (np.arange(len(own)) - cuts[segment]) * sizes[segment]
+        picked = starts + item - bounds[segment]
+        flat = np.empty(begin[-1], weight.dtype)
+        live = [(slice(cuts[c], cuts[c + 1]), slice(bounds[c], bounds[c + 1]), flat[begin[c] : begin[c + 1]].reshape(rows[c], sizes[c])) for c in np.flatnonzero(rows).tolist()]
+        for r, here, e in live:
+            np.matmul(own[r], weight[here].T, out=e)
+            e += bias[here]
+        top = 0.0
+        if not _bounded(weight, bias, np.abs(own).max(initial=0)) and len(flat):
+            top = np.maximum.reduceat(flat, starts)
+            flat -= np.repeat(top, sizes[segment])
+        score += flat[picked]
+        np.exp(flat, out=flat)
+        sums = np.add.reduceat(flat, starts) if len(flat) else np.ones(0, weight.dtype)
+        score -= np.log(sums)
+        if not learn:
+            return {}
+        flat[picked] -= sums  # what is expected, less what came
+        scale, n = 1 / sums, own.shape[1]
+        scaled, through, grad = np.empty((len(own), n + 1), own.dtype), np.empty_like(own), np.zeros((len(weight), n + 1), own.dtype)
+        np.multiply(own, scale[:, None], out=scaled[:, :n])
+        scaled[:, n] = scale
+        for r, here, e in live:
+            np.matmul(e, weight[here], out=through[r])
+            np.matmul(e.T, scaled[r], out=grad[here])
+        through *= scale[:, None]
+        back += through
+        return {f"{name}_weight": grad[:, :n], f"{name}_bias": grad[:, n]}
+
+    def backward(self, ids: np.ndarray, fresh: np.ndarray, memory: tuple, back: np.ndarray) -> dict:
         """Gradients of the recurrent part; back is steps x lanes x state. The window's first state is a constant."""
+        rows, sums, g_u = self.backward_rows(ids, fresh, memory, back)
+        g_gates = np.zeros_like(self.p["gates"])
+        g_gates[rows] = sums
+        return {"gates": g_gates, "recurrent": g_u}
+
+    def backward_rows(self, ids: np.ndarray, fresh: np.ndarray, memory: tuple, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """backward, with the gradient of `gates` as the rows that have one and their values."""
         n, u = self.shape.state, self.p["recurrent"]
-        inputs = np.empty((*ids.shape, 3 * n), np.float32)
-        g_u, d = np.zeros_like(u), np.zeros_like(back[0])
+        before, gates, inner, new = memory
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        of_new = (1 - z) * (1 - new * new)
+        of_z = (new - before) * z * (1 - z)
+        of_r = inner * r * (r - 1)
+        inputs = np.empty((*ids.shape, 4 * n), u.dtype)  # of the gates, of what the reset gate lets through, of the new state
+        back_u, d = np.ascontiguousarray(u.T), np.zeros_like(back[0])
+        starts = fresh.any(1)
         for t in range(len(ids) - 1, -1, -1):
-            h, z, r, a, new = memory[t]
-            d = d + back[t]
-            g_new = d * (1 - z) * (1 - new * new)
+            d += back[t]
             g = inputs[t]
-            g[:, :n] = d * (h - new) * z * (1 - z)
-            g[:, n : 2 * n] = g_new * a * r * (1 - r)
-            g[:, 2 * n :] = g_new
-            inner = g.copy()
-            inner[:, 2 * n :] *= r
-            g_u += h.T @ inner
-            d = d * z + inner @ u.T
-            if fresh[t].any():
-                d = d * ~fresh[t][:, None]
-        flat, g = ids.ravel(), inputs.reshape(-1, 3 * n)
-        by = np.argsort(flat, kind="stable")
-        unique, first = np.unique(flat[by], return_index=True)
-        g_gates = np.zeros(self.p["gates"].shape, self.p["gates"].dtype)
-        g_gates[unique] = np.add.reduceat(g[by], first)
-        return {"gates": g_gates, "recurrent": g_u}
-
-    def step(self, grads: dict, ids: np.ndarray, targets: np.ndarray) -> None:
-        """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little.
-
-        Of the tables with a row a word, only the rows that ids and the classes of targets reach have a gradient.
-        """
-        n = np.float32(self.shape.lanes * self.shape.window)
-        reached = np.zeros(len(self.class_of), bool)
-        reached[self.class_of[targets]] = True
-        of_words = np.flatnonzero(reached[self.class_of[: self.shape.words]])
-        if 2 * len(of_words) > self.shape.words:
-            of_words = slice(None)
-        at = {"gates": np.unique(ids), "word_weight": of_words, "word_bias": of_words}
-        for k, g in grads.items():
-            rows = at.get(k, slice(None))
-            g = g[rows] / n
-            seen = self.seen[k][rows] + g * g
-            self.seen[k][rows] = seen
-            self.p[k][rows] -= np.float32(self.shape.rate) * g / np.sqrt(seen)
-
-
-def lanes(documents: list[np.ndarray], shape: Shape):
+            g_new = g[:, 3 * n :]
+            np.multiply(d, of_new[t], out=g_new)
+            np.multiply(d, of_z[t], out=g[:, :n])
+            np.multiply(g_new, of_r[t], out=g[:, n : 2 * n])
+            np.multiply(g_new, r[t], out=g[:, 2 * n : 3 * n])
+            d *= z[t]
+            d += g[:, : 3 * n] @ back_u
+            if starts[t]:
+                d[fresh[t]] = 0
+        flat = inputs.reshape(-1, 4 * n)
+        g_u = before.reshape(-1, n).T @ flat[:, : 3 * n]
+        by = _in_order(ids.ravel(), len(self.class_of))
+        unique, first = np.unique(ids.ravel()[by], return_index=True)
+        sums = np.add.reduceat(flat[by], first)
+        return unique, np.concatenate((sums[:, : 2 * n], sums[:, 3 * n :]), axis=1), g_u
+
+    def step(self, grads: dict, rows: np.ndarray, values: np.ndarray, block: int = 1024) -> None:
+        """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little; rows and values: of `gates`."""
+        n, rate = np.float32(1 / (self.shape.lanes * self.shape.window)), np.float32(self.shape.rate)
+        for k, whole in grads.items():
+            for at in range(0, len(whole), block):
+                g, seen = whole[at : at + block] * n, self.seen[k][at : at + block]
+                square = g * g
+                seen += square
+                np.sqrt(seen, out=square)
+                g /= square
+                g *= rate
+                self.p[k][at : at + block] -= g
+        values *= n
+        seen = self.seen["gates"][rows] + values * values
+        self.seen["gates"][rows] = seen
+        self.p["gates"][rows] -= rate * values / np.sqrt(seen)
+
+
+def _in_order(ids: np.ndarray, size: int) -> np.ndarray:
+    """Places of the ids (below size), by id; numpy sorts 16 bits by their digits."""
+    return np.argsort(ids.astype(np.uint16) if size < 1 << 16 else ids, kind="stable")
+
+
+def _bounded(weight: np.ndarray, bias: np.ndarray, span: float) -> bool:
+    """No logit of states up to `span` is so large that its exponential needs the row's maximum taken off first."""
+    return bool(max(weight.max(), -weight.min()) * weight.shape[1] * span + max(bias.max(), -bias.min()) < 60)
+
+
+def lanes(documents: list[np.ndarray], shape: Shape, wider: int = 1):
     """Windows over the documents laid end to end in lanes: (ids, fresh, targets, valid, document, live lanes).
 
     Longest documents are dealt first, each to the shortest lane; lanes are in order of length, so the live
-    ones are always the first. Windows are cut from the lanes as they are needed.
+    ones are always the first. Windows are cut from the lanes as they are needed: `window` places where all
+    lanes are live, more where fewer are, so that a window holds about as many tokens (`wider` times as many).
+    A long document is one lane, so there are no more lanes than make all of them about as long.
     """
-    count = min(shape.lanes, max(len(documents), 1))
+    total, longest = sum(map(len, documents)), max(map(len, documents), default=0)
+    count = max(1, min(shape.lanes, len(documents), max(64, -(-total // max(longest, 1)))))
     heap = [(0, k) for k in range(count)]
     dealt: list[list[int]] = [[] for _ in range(count)]
     for k in sorted(range(len(documents)), key=lambda k: -len(documents[k])):
@@ -306,19 +412,24 @@ def lanes(documents: list[np.ndarray], shape: Shape):
     sizes = np.array([sum(len(documents[k]) for k in own) for own in dealt])
     order = [k for own in dealt for k in own]
     target = np.concatenate([documents[k] for k in order])
-    of = np.repeat(order, [len(documents[k]) for k in order])
+    of = np.repeat(np.array(order, np.int32), [len(documents[k]) for k in order])
     first = np.zeros(len(target), bool)
     first[np.cumsum([0, *(len(documents[k]) for k in order)])[:-1]] = True
     end = shape.words - 1
-    source = np.concatenate(([end], target[:-1]))
+    source = np.roll(target, 1)
     source[first] = end
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    for at in range(0, int(sizes[0]), shape.window):
+    at = 0
+    while at < sizes[0]:
         live = int(np.searchsorted(-sizes, -at, side="left"))
-        place = np.arange(at, min(at + shape.window, int(sizes[0])))[:, None]
+        to = min(at + max(shape.window, shape.lanes * shape.window * wider // live), int(sizes[0]))
+        if live > 1:  # to where half of the lanes end, or at least one window
+            to = min(to, max(int(sizes[live // 2]), at + shape.window))
+        place = np.arange(at, to)[:, None]
         valid = place < sizes[None, :live]
         where = np.minimum(starts[None, :live] + place, len(target) - 1)
         yield source[where], first[where] & valid, target[where], valid, of[where], live
+        at = to
 
 
 def run(network: Network, documents: list[np.ndarray], learn: bool) -> np.ndarray:
@@ -327,79 +438,109 @@ def run(network: Network, documents: list[np.ndarray], learn: bool) -> np.ndarra
     if not documents:
         return total
     h = None
-    for ids, fresh, targets, valid, of, live in lanes(documents, network.shape):
-        h = np.zeros((live, network.shape.state), np.float32) if h is None else h[:live]
+    for ids, fresh, targets, valid, of, live in lanes(documents, network.shape, 1 if learn else 2):
+        h = np.zeros((live, network.shape.state), network.p["gates"].dtype) if h is None else h[:live]
         states, memory = network.forward(h, ids, fresh, learn)
         h = states[-1]
-        score, grads, back = network.outputs(states[valid], targets[valid], learn)
-        total += np.bincount(of[valid], score, len(documents))
+        full = bool(valid.all())
+        picked = (lambda x: x.reshape(-1, *x.shape[2:])) if full else (lambda x, valid=valid: x[valid])
+        score, grads, back = network.outputs(picked(states), picked(targets), learn)
+        total += np.bincount(picked(of), score, len(documents))
         if learn:
-            whole = np.zeros_like(states)
-            whole[valid] = back
-            network.step(grads | network.backward(ids, fresh, memory, whole), ids, targets[valid])
+            whole = back.reshape(states.shape) if full else np.zeros_like(states)
+            if not full:
+                whole[valid] = back
+            rows, values, grads["recurrent"] = network.backward_rows(ids, fresh, memory, whole)
+            network.step(grads, rows, values)
     return total
 
 
-def token_ids(words: list[bytes], number: dict[bytes, int], shape: Shape, seen: dict[bytes, int]) -> np.ndarray:
-    """Ids of a document's words and its end: frequent words by rank, then the tail classes."""
-    out = []
-    for w in words:
-        k = number.get(w)
-        if k is None:
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = shape.words + tail_class(w, shape.tails)
-        out.append(k)
-    out.append(shape.words - 1)
-    return np.array(out, np.int32)
+def _start(corpus: Corpus, shape: Shape) -> Network:
+    return Network(shape, np.concatenate((corpus.frequencies(shape.words), corpus.tail_norm)))
 
 
-def _chunks(texts, number: dict, shape: Shape, look=lambda words, ids: None, most_tokens: int = 4_000_000):
-    """Lists of the ids of whole documents, about most_tokens together; `look` sees each document's words as it passes."""
-    seen: dict[bytes, int] = {}
-    ids, n = [], 0
-    for x in texts:
-        if len(seen) > 400_000:
-            seen.clear()
-        words = x.lower().split()
-        own = token_ids(words, number, shape, seen)
-        look(words, own)
-        ids.append(own)
-        n += len(own)
-        if n >= most_tokens:
-            yield ids
-            ids, n = [], 0
-    if ids:
-        yield ids
+def encode(docs: DataFrame, corpus: Corpus, shape: Shape, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A stored table: `keep`, _row, _ids (of the tokens, 32 bits each: frequent words by rank, end, tail classes), and what the counts say of them.
 
+    _known: tokens with a held count; _base: the sum of their log10(c + 1); _tail: of tail tokens, the known
+    part of log10(p | class); _rare: words whose count is not held, and how often they stand in the text.
+    """
+    held = sorted(corpus.held, key=lambda w: (-corpus.held[w], w))  # frequent words first
+    known = docs.sparkSession.sparkContext.broadcast((pa.array(held, pa.binary()), np.array([corpus.held[w] for w in held], np.float64)))
+    words, tails, end, tail_norm = shape.words, shape.tails, corpus.end, corpus.tail_norm
+    n_frequent = len(corpus.frequent)
+    kept = docs.select(*keep).schema
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+
+    def encoded(batches):
+        values, held_n = known.value
+        logs, tail_log = np.log10(held_n + 1), np.log10(tail_norm)
+        for batch in batches:
+            flat, sizes = split_words(batch.column(0))
+            coded = flat.cast(pa.binary()).dictionary_encode()
+            local, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            at = pc.index_in(unique, value_set=values).fill_null(-1).to_numpy().astype(np.int64)
+            tail = tail_classes(unique, tails)
+            ids_of = np.where((at >= 0) & (at < n_frequent), at, words + tail).astype(np.int32)
+            base_of = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
+            tail_of = np.where(ids_of >= words, base_of - tail_log[tail], 0.0)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            sums = lambda x, doc=doc, n=len(sizes): np.bincount(doc, x, n).astype(np.float64)
+            hits = sums((at >= 0)[local].astype(np.float64)).astype(np.int64)
+            base, of_tail = sums(base_of[local]), sums(tail_of[local])
+            ids = np.full(len(local) + len(sizes), words - 1, "<i4")  # an end after each text
+            ids[np.arange(len(local)) + doc] = ids_of[local]
+            cuts = np.append(0, np.cumsum(sizes + 1))
+            rare = np.flatnonzero((at < 0)[local])
+            pair, times = np.unique(doc[rare] * max(len(unique), 1) + local[rare], return_counts=True)
+            of_rare, word = np.divmod(pair, max(len(unique), 1))
+            ends = np.searchsorted(of_rare, np.arange(len(sizes) + 1)).astype(np.int32)
+            rows = pa.StructArray.from_arrays([unique.take(pa.array(word)), pa.array(times.astype(np.int32))], names=["word", "times"])
+            whole = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(sizes + 1), pa.array(hits + (end > 0)), pa.array(base + np.log10(end + 1)), pa.array(of_tail), whole, pa.ListArray.from_arrays(pa.array(ends), rows)],
+                names=[*keep, "n_tokens", "_known", "_base", "_tail", "_ids", "_rare"],
+            )
 
-def _each(batches):
-    for (texts,) in slices(batches, "_text"):
-        yield from texts
+    made = _texts(docs, text, *map(F.col, keep)).mapInArrow(encoded, f"{own}n_tokens long, _known long, _base double, _tail double, _ids binary, _rare array<struct<word:binary,times:int>>")
+    return stored(made.withColumn("_row", F.monotonically_increasing_id()), "lm-ids")
 
 
-def _start(corpus: Corpus, shape: Shape) -> Network:
-    return Network(shape, np.concatenate((corpus.frequencies(shape.words), corpus.tail_norm)))
+def _documents(batches, name: str = "_ids", most_tokens: int = 4_000_000):
+    """Lists of whole documents' ids, about most_tokens together."""
+    ids, n = [], 0
+    for batch in batches:
+        for x in batch.column(batch.schema.get_field_index(name)):
+            ids.append(np.frombuffer(x.as_buffer(), "<i4"))
+            n += len(ids[-1])
+            if n >= most_tokens:
+                yield ids
+                ids, n = [], 0
+    if ids:
+        yield ids
 
 
-def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Shape(), group: int = 32) -> Network:
-    """Rounds of local training and averaging over all of docs, each document in the round that its hash says."""
+def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Shape()) -> Network:
+    """A network trained on all of docs."""
     shape = shape.fitted(corpus)
+    return train_encoded(encode(docs, corpus, shape, text, ()), corpus, shape) if corpus.total else _start(corpus, shape)
+
+
+def train_encoded(encoded: DataFrame, corpus: Corpus, shape: Shape) -> Network:
+    """Rounds of local training and averaging over a table of `encode`, each document in the round that its hash says."""
     network = _start(corpus, shape)
-    if not corpus.total:
-        return network
-    number = {w: k for k, w in enumerate(corpus.frequent)}
-    context = docs.sparkSession.sparkContext
+    context = encoded.sparkSession.sparkContext
     size = 1 << 14
+    trainers = max(1, round(corpus.total / shape.rounds / shape.trainer_tokens))
+    group = max(1, round(trainers**0.5))
     for k in range(shape.rounds):
-        now = context.broadcast((network.flat(), number))
+        now = context.broadcast(network.flat())
 
         def trained(batches, now=now):
             from pyspark import TaskContext
 
-            flat, known = now.value
-            own, n = Network(shape).load(flat), 0
-            for ids in _chunks(_each(batches), known, shape):
+            own, n = Network(shape, flat=now.value), 0
+            for ids in _documents(batches, most_tokens=shape.trainer_tokens):
                 run(own, ids, learn=True)
                 n += sum(map(len, ids))
             if n:
@@ -413,8 +554,8 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Sh
             return pa.table({"part": table.column("part")[:1], "grp": pa.array([0], pa.int32()), "weight": pa.array([weight.sum()]), "value": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         kind = "part int, grp int, weight double, value binary"
-        here = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(shape.rounds)) == k)
-        local = _texts(here, text).mapInArrow(trained, kind)
+        here = encoded.where(F.pmod(F.xxhash64("_ids"), F.lit(shape.rounds)) == k).select("_ids").coalesce(trainers)
+        local = by_bytes(here).mapInArrow(trained, kind)
         rows = local.groupBy("part", "grp").applyInArrow(mean, kind).groupBy("part").applyInArrow(mean, kind).orderBy("part").collect()  # the size of the network
         if rows:
             network.load(np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows]))
@@ -423,50 +564,27 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Sh
 
 def score_texts(docs: DataFrame, counts: DataFrame, corpus: Corpus, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_tokens, n_known, base_score and score of every row of docs."""
+    return score_encoded(encode(docs, corpus, network.shape, text, keep), counts, corpus, network, keep)
+
+
+def score_encoded(encoded: DataFrame, counts: DataFrame, corpus: Corpus, network: Network, keep: tuple[str, ...]) -> DataFrame:
+    """score_texts on a table of `encode`."""
     shape = network.shape
-    known = docs.sparkSession.sparkContext.broadcast((network.flat(), {w: k for k, w in enumerate(corpus.frequent)}, corpus))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    known = encoded.sparkSession.sparkContext.broadcast(network.flat())
+    facts = ["_row", "n_tokens", "_known", "_base"]
+    schema = encoded.select(*keep, *facts).schema.add("_score", "double")
 
     def scored(batches):
-        flat, number, corpus = known.value
-        net = Network(shape).load(flat)
-        logs = {w: float(np.log10(n + 1)) for w, n in corpus.held.items()}
-        log_of = np.log10(corpus.frequencies(shape.words) + 1)
-        tail_log = np.log10(corpus.tail_norm)
+        net = Network(shape, flat=known.value)
         for batch in batches:
-            n_tokens, n_known, base, score, known_part, rare, times, ends = [], [], [], [], [], [], [], [0]
-
-            def look(words, ids, n_tokens=n_tokens, n_known=n_known, base=base, known_part=known_part, rare=rare, times=times, ends=ends):
-                hits, others, of_tail = len(words) + (corpus.end > 0), {}, 0.0
-                for k in np.flatnonzero(ids >= shape.words).tolist():
-                    w = words[k]
-                    x = logs.get(w)
-                    if x is None:
-                        hits -= 1
-                        others[w] = others.get(w, 0) + 1
-                    else:
-                        of_tail += x
-                n_tokens.append(len(ids))
-                n_known.append(hits)
-                base.append(log_of[ids[ids < shape.words]].sum() + of_tail)
-                known_part.append(of_tail - tail_log[ids[ids >= shape.words] - shape.words].sum())
-                rare.extend(others)
-                times.extend(others.values())
-                ends.append(len(rare))
-
-            for ids in _chunks(_each([batch]), number, shape, look):
-                score += (run(net, ids, learn=False) / LOG10).tolist()
-            score = [a + b for a, b in zip(score, known_part, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"]))],
-                names=[*keep, "n_tokens", "_known", "_base", "_score", "_rare"],
-            )
+            found = [run(net, ids, learn=False) for ids in _documents([batch])]
+            tail = batch.column(batch.schema.get_field_index("_tail")).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in schema.names[:-1]), pa.array(np.concatenate(found) / LOG10 + tail if found else tail)], names=schema.names)
 
-    first = _texts(docs, text, *map(F.col, keep)).mapInArrow(scored, f"{own}, n_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,times:int>>")
-    first = stored(first.withColumn("_row", F.monotonically_increasing_id()), "lm-first")
-    rare = first.select("_row", F.explode("_rare").alias("_w")).select("_row", "_w.word", "_w.times")
+    first = by_bytes(encoded.drop("_rare")).mapInArrow(scored, schema)
+    rare = encoded.select("_row", F.explode("_rare").alias("_w")).select("_row", "_w.word", "_w.times")
     found = rare.join(counts, "word").groupBy("_row").agg(F.sum("times").alias("_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_log"))
-    out = first.drop("_rare").join(found, "_row", "left").withColumn("_log", F.coalesce("_log", F.lit(0.0)))
+    out = first.join(found, "_row", "left").withColumn("_log", F.coalesce("_log", F.lit(0.0)))
     whole = float(np.log10(corpus.total + corpus.distinct + 1))
     return out.select(
         *keep, "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(corpus.total).cast("long").alias("train_tokens"),
@@ -476,7 +594,10 @@ def score_texts(docs: DataFrame, counts: DataFrame, corpus: Corpus, network: Net
 
 def score_documents(docs: DataFrame, usable: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shape: Shape = Shape()) -> DataFrame:
     """Count and train on the documents that pass `usable`, then score all of them."""
-    learnt = docs.where(usable)
-    counts = stored(count_tokens(learnt, text).where("n > 0"), "token-counts")
+    counts = stored(count_tokens(docs.where(usable), text).where("n > 0"), "token-counts")
     corpus = describe(counts, shape)
-    return score_texts(docs, counts, corpus, train(learnt, corpus, text, shape), text, keep)
+    shape = shape.fitted(corpus)
+    rows = docs.select(*keep, F.col(text).alias("_whole"), F.coalesce(usable, F.lit(False)).alias("_learnt"))
+    encoded = encode(rows, corpus, shape, "_whole", (*keep, "_learnt"))
+    network = train_encoded(encoded.where("_learnt"), corpus, shape)
+    return score_encoded(encoded, counts, corpus, network, keep)
