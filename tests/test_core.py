@@ -238,12 +238,24 @@ def test_streams(spark, tmp_path):
         (tmp_path / f"edits/{k}.json").write_text(json.dumps({"program_id": "a", "edit_seq": k, "target": 1, "kind": "rename", "value": f"v{k}", "author": "me"}))
         jobs.stream_edits(spark, f"{tmp_path}/edits", f"{tmp_path}/now", f"{tmp_path}/c2").awaitTermination()
     assert [r["value"] for r in jobs.current_edits(spark, f"{tmp_path}/now").collect()] == ["v2"]
+    assert [tuple(r) for r in jobs.high_water(spark, f"{tmp_path}/now").collect()] == [("a", 2)]
+    again = [{"program_id": "a", "edit_seq": n, "target": t, "kind": "rename", "value": v, "author": "me"} for n, t, v in ((1, 1, "v1"), (3, 1, " "), (4, 9, "x"), (5, 2, "new"))]
+    (tmp_path / "edits/3.json").write_text("\n".join(map(json.dumps, again)))  # an edit that was taken before, a blank one, one on nothing, and a new one
+    jobs.stream_edits(spark, f"{tmp_path}/edits", f"{tmp_path}/now", f"{tmp_path}/c2", m).awaitTermination()
+    assert {(r["target"], r["value"]) for r in jobs.current_edits(spark, f"{tmp_path}/now").collect()} == {(1, "v2"), (2, "new")}
+    assert {(r["edit_seq"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/now/rejected").collect()} == {(3, "invalid_input"), (4, "no_such_function")}
+    (tmp_path / "logs/a/run2").write_bytes(frame(GOOD))
+    jobs.stream_observations(spark, f"{tmp_path}/logs/*", m, f"{tmp_path}/out", f"{tmp_path}/c1").awaitTermination()
+    stamped = jobs.stamped_model(spark, m, f"{tmp_path}/out").edge_provenance
+    assert [(r["src_id"], r["dst_id"], r["producer"], r["confidence"]) for r in stamped.collect()] == [(1, 2, "dynamic", 90)]
     (tmp_path / "ev").mkdir()
     lines = [{"program_id": p, "seq": 1, "kind": "function", "f": fn("1", "f", ["A"] * n)} for p, n in (("x", 1), ("y", 9), ("z", 1))] + [{"program_id": p, "seq": 2, "kind": "end"} for p in "xy"]
     (tmp_path / "ev/1.json").write_text("\n".join(map(json.dumps, lines)))
     jobs.stream_events(spark, f"{tmp_path}/ev", f"{tmp_path}/raw", f"{tmp_path}/c3").awaitTermination()
     ok, refused = jobs.accepted_events(spark, f"{tmp_path}/raw", mnemonics=5)
     assert {r["program_id"] for r in ok.collect()} == {"x"} and [r["program_id"] for r in refused.collect()] == ["y"]
+    built, _ = jobs.ingested_model(spark, f"{tmp_path}/raw", mnemonics=5)
+    assert [(r["program_id"], r["func_id"], r["name"]) for r in built.functions.collect()] == [("x", 1, "f")] and built.programs.collect()[0]["name"] == "program"
 
 
 def test_guards(spark):

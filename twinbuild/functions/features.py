@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -35,20 +36,40 @@ def with_counts(rows: DataFrame, mnemonics: str = "ordered", key: tuple[str, ...
     return out.withColumns({"mnemonics": F.coalesce("mnemonics", none), "trigrams": F.coalesce("trigrams", none)})
 
 
-def _fingerprint(entries) -> int:
-    h = FNV_START
-    for e in entries:
-        for b in e["mnemonic"].encode():
-            h = ((h ^ b) * FNV_PRIME) & WORD
-        h = ((h ^ e["count"]) * FNV_PRIME) & WORD
-    h = (h or 1) if len(entries) else 0
-    return h - (1 << 64) if h >> 63 else h
-
-
-@F.pandas_udf(LongType())
-def histogram_fingerprint(hist: pd.Series) -> pd.Series:
+def _fingerprints(lists: pa.Array) -> np.ndarray:
+    """FNV-1a over each list's (mnemonic, count) entries, one byte of all lists at a time: unsigned, 0 for an empty or null list."""
+    sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+    entries = lists.flatten()  # null lists have none
+    words, counts = entries.field("mnemonic").cast(pa.binary()), entries.field("count").to_numpy().astype(np.uint64)
+    offsets, data = (np.frombuffer(x, t) if x else np.zeros(1, t) for x, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+    starts, ends = offsets[words.offset : words.offset + len(words)].astype(np.int64), offsets[words.offset + 1 : words.offset + len(words) + 1].astype(np.int64)
+    # each list as one run of numbers: the bytes of a mnemonic, then its count
+    of_entry = ends - starts + 1
+    last = np.cumsum(of_entry)
+    numbers = np.zeros(last[-1] if len(last) else 0, np.uint64)
+    own = np.ones(len(numbers), bool)
+    own[last - 1] = False
+    numbers[own] = data[np.repeat(starts - (last - of_entry), of_entry)[own] + np.flatnonzero(own)]
+    numbers[last - 1] = counts
+    end_of_list = np.append(0, last)[np.cumsum(sizes)]
+    start_of_list = np.append(0, last)[np.cumsum(sizes) - sizes]
+    hashes = np.full(len(sizes), FNV_START, np.uint64)
+    longest_first = np.argsort(start_of_list - end_of_list, kind="stable")
+    lengths = (end_of_list - start_of_list)[longest_first]
+    at = start_of_list[longest_first]
+    running = hashes[longest_first]
+    for k in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -k, side="left"))  # lists with more than k numbers
+        running[:n] = (running[:n] ^ numbers[at[:n] + k]) * np.uint64(FNV_PRIME)
+    hashes[longest_first] = np.where(running == 0, np.uint64(1), running)
+    hashes[sizes == 0] = 0
+    return hashes
+
+
+@F.arrow_udf(LongType())
+def histogram_fingerprint(hist: pa.Array) -> pa.Array:
     """64-bit hash of a counted list as a signed number; 0 for an empty one. (BIGINT arithmetic does not wrap under ANSI rules.)"""
-    return hist.map(lambda x: 0 if x is None else _fingerprint(x)).astype("int64")
+    return pa.array(_fingerprints(hist).view(np.int64))
 
 
 SIGNATURE = ("bb_count", "size", "out_degree", "fingerprint")

@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from twinbuild.plans.model import DEFAULT_CONFIDENCE, DEFAULT_PRODUCER, KINDS, Model
 
 
-def annotate(model: Model, edits: DataFrame) -> tuple[Model, DataFrame]:
-    """Apply edits (program_id, edit_seq, target, kind, value, author); gives the model and the rejected edits.
+def judge_edits(model: Model, edits: DataFrame) -> DataFrame:
+    """edits (program_id, edit_seq, target, kind, value, author) with `reason`: why one is turned down, null for one that stands.
 
-    The last edit of a (target, kind) replaces every fact of that kind on it and comes after all facts that
-    stay. An unknown target or kind, or a blank rename or retype, is rejected with its reason.
+    An unknown target or kind, or a blank rename or retype, is turned down.
     """
     known = model.functions.select("program_id", F.col("func_id").alias("target"), F.lit(True).alias("_known")).distinct()
     blank = F.col("kind").isin("rename", "retype") & (F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s", " ")) == "")
     bad = F.when(F.col("_known").isNull(), "no_such_function").when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) | blank, "invalid_input")
-    judged = edits.join(known, ["program_id", "target"], "left").withColumn("reason", bad).drop("_known")
+    return edits.join(known, ["program_id", "target"], "left").withColumn("reason", bad).drop("_known")
+
+
+def annotate(model: Model, edits: DataFrame) -> tuple[Model, DataFrame]:
+    """Apply edits (program_id, edit_seq, target, kind, value, author); gives the model and the rejected edits.
+
+    The last edit of a (target, kind) replaces every fact of that kind on it and comes after all facts that
+    stay. What `judge_edits` turns down is rejected with its reason.
+    """
+    judged = judge_edits(model, edits)
     rejected = judged.where("reason is not null")
     key = ["program_id", "target", "kind"]
     last = judged.where("reason is null").groupBy(*key).agg(F.max(F.struct("edit_seq", F.coalesce("value", F.lit("")).alias("value"), "author")).alias("e"))

@@ -26,13 +26,14 @@ def with_vector(functions: DataFrame) -> DataFrame:
     return functions if "vector" in functions.columns else functions.withColumn("vector", vector_weights(F.col("bsim_vector")))
 
 
-def two_sides(model: Model, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The functions of prog_a and of prog_b with their pair_id."""
-    functions = with_vector(model.functions).withColumn("anchors", anchor_set())
+def two_sides(model: Model, pairs: DataFrame, wanted: tuple[str, ...] = WANTED) -> tuple[DataFrame, DataFrame]:
+    """The functions of prog_a and of prog_b with their pair_id and the wanted columns."""
+    functions = with_vector(model.functions) if "vector" in wanted else model.functions
+    functions = functions.withColumn("anchors", anchor_set()) if "anchors" in wanted else functions
     out = []
     for program in ("prog_a", "prog_b"):
         p = pairs.select("pair_id", F.col(program).alias("program_id"))
-        out.append(functions.join(p, "program_id").select("pair_id", *WANTED))
+        out.append(functions.join(p, "program_id").select("pair_id", *wanted))
     return tuple(out)
 
 
@@ -116,40 +117,59 @@ def vector_scores(a: DataFrame, b: DataFrame, least: float = S.VECTOR_THRESHOLD
     return _scored(found, a, b, ["vector"], S.vector_cosine(F.col("x.vector"), F.col("y.vector")), least)
 
 
-def _unit_rows(counts: pd.Series, number: dict) -> np.ndarray:
-    out = np.zeros((len(counts), len(number)))
-    for k, own in enumerate(counts):
-        for e in own:
-            out[k, number[e["mnemonic"]]] = e["count"]
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
-
-
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    number: dict = {}
-    for own in (*a, *b):
-        for e in own:
-            number.setdefault(e["mnemonic"], len(number))
-    return _unit_rows(a, number) @ _unit_rows(b, number).T
+class _Rows:
+    """Counted lists as compressed rows: row k has ids[starts[k]:starts[k + 1]] with counts alike, and a length."""
+
+    def __init__(self, lists: pd.Series, number: dict):
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.ids = np.fromiter((number.setdefault(e["mnemonic"], len(number)) for own in lists for e in own), np.int64, self.starts[-1])
+        self.counts = np.fromiter((e["count"] for own in lists for e in own), float, self.starts[-1])
+        of = np.repeat(np.arange(len(lists)), sizes)
+        self.norms = np.sqrt(np.bincount(of, self.counts * self.counts, len(lists)))
+
+    def dense(self, rows: slice, width: int) -> np.ndarray:
+        out = np.zeros((rows.stop - rows.start, width))
+        here = slice(self.starts[rows.start], self.starts[rows.stop])
+        out[np.repeat(np.arange(len(out)), np.diff(self.starts[rows.start : rows.stop + 1])), self.ids[here]] = self.counts[here]
+        return np.divide(out, self.norms[rows, None], out=out, where=self.norms[rows, None] > 0)
+
+    def cosines(self, row: int, other: _Rows, rows: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Of one row with some rows of another table; room is all zeros, and is left so."""
+        own = slice(self.starts[row], self.starts[row + 1])
+        room[self.ids[own]] = self.counts[own]
+        sizes = other.starts[rows + 1] - other.starts[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(other.starts[rows] - (ends - sizes), sizes)
+        dots = np.bincount(np.repeat(np.arange(len(rows)), sizes), room[other.ids[at]] * other.counts[at], len(rows))
+        room[self.ids[own]] = 0
+        both = self.norms[row] * other.norms[rows]
+        return np.divide(dots, both, out=np.zeros(len(rows)), where=both > 0)
 
 
 def _block_scores(a: pd.DataFrame, b: pd.DataFrame, least: float, chunk: int = 500) -> pd.DataFrame:
-    """All pairs of two blocks by matrix product, of which those with enough come back."""
-    out = []
+    """The pairs of two blocks with enough: histograms meet by matrix product, trigrams only where the rest may still do."""
+    mnemonics, trigrams, out = {}, {}, []
+    (hist_a, hist_b), (gram_a, gram_b) = ([_Rows(side[c], n) for side in (a, b)] for c, n in (("mnemonics", mnemonics), ("trigrams", trigrams)))
+    room = np.zeros(len(trigrams))
+    numbers = {c: (a[c].to_numpy(float), b[c].to_numpy(float)) for c in ("bb_count", "out_degree")}
     for at in range(0, len(a), chunk):
-        x = a.iloc[at : at + chunk]
+        x = slice(at, min(at + chunk, len(a)))
+        mine = hist_a.dense(x, len(mnemonics))
         for to in range(0, len(b), chunk):
-            y = b.iloc[to : to + chunk]
-            hist = _cosines(x["mnemonics"], y["mnemonics"])
-            grams = _cosines(x["trigrams"], y["trigrams"])
-            no_order = (x["trigrams"].map(len).to_numpy() == 0)[:, None] | (y["trigrams"].map(len).to_numpy() == 0)[None, :]
-            score = np.where(no_order, 0.60 * hist, 0.35 * hist + 0.25 * grams)
-            for c, weight in (("bb_count", 0.25), ("out_degree", 0.15)):
-                p, q = x[c].to_numpy(float)[:, None], y[c].to_numpy(float)[None, :]
-                score = score + weight * (1.0 - np.abs(p - q) / np.maximum(p + q, 1))
+            y = slice(to, min(to + chunk, len(b)))
+            hist = mine @ hist_b.dense(y, len(mnemonics)).T
+            rest = sum(w * (1.0 - np.abs(p[x, None] - q[None, y]) / np.maximum(p[x, None] + q[None, y], 1)) for (p, q), w in zip(numbers.values(), (0.25, 0.15), strict=True))
+            no_order = (gram_a.norms[x] == 0)[:, None] | (gram_b.norms[y] == 0)[None, :]
+            score = np.where(no_order, 0.60 * hist, 0.35 * hist) + rest
+            open_ = ~no_order & (score + 0.25 >= least - S.SLACK)
+            for i in np.flatnonzero(open_.any(1)):
+                j = np.flatnonzero(open_[i])
+                score[i, j] += 0.25 * gram_a.cosines(at + i, gram_b, to + j, room)
             i, j = np.nonzero(score >= least - S.SLACK)
-            out.append(pd.DataFrame({"pair_id": x["pair_id"].to_numpy()[i], "a_id": x["func_id"].to_numpy()[i], "b_id": y["func_id"].to_numpy()[j], "score": score[i, j]}))
-    return pd.concat(out) if out else pd.DataFrame({"pair_id": [], "a_id": [], "b_id": [], "score": []})
+            out.append((a["func_id"].to_numpy()[x][i], b["func_id"].to_numpy()[y][j], score[i, j]))
+    a_id, b_id, score = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 3))
+    return pd.DataFrame({"pair_id": [a["pair_id"].iloc[0]] * len(score) if out else [], "a_id": a_id, "b_id": b_id, "score": score})  # one pair a group
 
 
 def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD - S.FUZZY_MARGIN, block: int = 2_000) -> DataFrame:
@@ -178,8 +198,23 @@ def eligible(side: DataFrame, kind: str) -> DataFrame:
 RUNGS = {"anchor": (anchor_scores, S.ANCHOR_THRESHOLD, S.ANCHOR_MARGIN), "bsim": (vector_scores, S.VECTOR_THRESHOLD, S.VECTOR_MARGIN), "fuzzy": (fuzzy_scores, S.FUZZY_THRESHOLD, S.FUZZY_MARGIN)}
 
 
+ALIKE = {"anchor": ("anchors",), "bsim": ("vector",), "fuzzy": ("mnemonics", "trigrams", "bb_count", "out_degree")}
+
+
+def two_of_each(side: DataFrame, kind: str) -> DataFrame:
+    """The side without the third and further function of the same features.
+
+    Functions alike tie for whatever they are compared with, so none of them is a unique best; two are enough
+    to show that. A group of n equal ones then costs two rows, not n for each function that comes near it.
+    """
+    alike = side.groupBy("pair_id", *(F.array_sort(c).alias(c) if c in ("anchors", "vector") else c for c in ALIKE[kind])).agg(F.min("func_id").alias("_x"), F.max("func_id").alias("_y"))
+    kept = alike.select("pair_id", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("func_id"))
+    return side.join(kept, ["pair_id", "func_id"], "left_semi")
+
+
 def feature_round(left_a: DataFrame, left_b: DataFrame, kind: str) -> DataFrame:
     """Leftovers that are each other's unique best by one feature."""
     scores, threshold, margin = RUNGS[kind]
-    table = stored(scores(eligible(left_a, kind), eligible(left_b, kind)), f"{kind}-scores")
+    a, b = (stored(two_of_each(eligible(side, kind), kind), f"{kind}-side") for side in (left_a, left_b))
+    table = stored(scores(a, b), f"{kind}-scores")
     return S.reciprocal(table, threshold, margin).select("pair_id", "a_id", "b_id", F.lit(kind).alias("method"), "score")

@@ -115,20 +115,24 @@ def neighbourhood(model: Model, ids: DataFrame) -> DataFrame:
 def call_depth(model: Model, most_rounds: int = 100_000) -> DataFrame:
     """(program_id, func_id, depth, cyclic): longest call path from a function that none calls.
 
-    Functions are peeled: each round takes those that no unpeeled function calls. What is on a cycle or
-    behind one is never peeled; it has no depth and cyclic = true. Self-calls do not count.
+    Functions are peeled: each function waits for its callers, and each round frees those whose last caller the
+    round before took; one table is written a round, of the functions that still wait and those just freed. What
+    is on a cycle or behind one is never freed; it has no depth and cyclic = true. Self-calls do not count.
     """
     calls = stored(model.call_edges.where("src_id <> dst_id").select("program_id", "src_id", "dst_id").distinct(), "calls")
-    left, done = stored(model.functions.select(*KEY), "unpeeled"), None
+    waits = calls.groupBy("program_id", F.col("dst_id").alias("func_id")).agg(F.count("*").alias("waits"))
+    here = model.functions.select(*KEY).join(waits, KEY, "left").select(*KEY, F.coalesce("waits", F.lit(0)).alias("waits"))
+    here, done = stored(here.withColumn("depth", F.when(F.col("waits") == 0, 0)), "waiting"), None
     for depth in range(most_rounds):
-        held = calls.select("program_id", F.col("dst_id").alias("func_id"))
-        free = stored(left.join(held, KEY, "left_anti").withColumn("depth", F.lit(depth)), "peeled")
+        free = here.where("depth is not null")
         if free.isEmpty():
             break
-        done = free if done is None else stored(done.unionByName(free), "depths") if depth % 20 == 19 else done.unionByName(free)
-        left = stored(left.join(free, KEY, "left_anti"), "unpeeled")
-        calls = stored(calls.join(free.select("program_id", F.col("func_id").alias("src_id")), ["program_id", "src_id"], "left_anti"), "calls")
+        own = free.select(*KEY, "depth")
+        done = own if done is None else stored(done.unionByName(own), "depths") if depth % 20 == 19 else done.unionByName(own)
+        heard = calls.join(free.select("program_id", F.col("func_id").alias("src_id")), ["program_id", "src_id"]).groupBy("program_id", F.col("dst_id").alias("func_id")).agg(F.count("*").alias("heard"))
+        left = here.where("depth is null").drop("depth").join(heard, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("heard", F.lit(0))).alias("waits"))
+        here = stored(left.withColumn("depth", F.when(F.col("waits") == 0, depth + 1)), "waiting")
     else:
         raise RuntimeError("peeling did not end")
-    rest = left.select(*KEY, F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
+    rest = here.select(*KEY, F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
     return rest if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(rest)

@@ -47,6 +47,13 @@ def classify_observed_edges(model: Model, observed: DataFrame) -> DataFrame:
     return ends.join(static, ["program_id", "src_id", "dst_id"], "left").withColumn("edge_status", status).drop("_static")
 
 
+def new_stamps(model: Model, rows: DataFrame) -> DataFrame:
+    """Provenance rows for the edges of classify_observed_edges that have none in the model."""
+    key = ["program_id", "src_id", "dst_id"]
+    new = rows.where("edge_status <> 'unmatched'").select(*key).distinct().join(model.edge_provenance.select(*key), key, "left_anti")
+    return new.select(*key, F.lit(0).cast("bigint").alias("ep_seq"), F.lit(DYNAMIC).alias("producer"), F.lit(OBSERVED_CONFIDENCE).alias("confidence"))
+
+
 def stamp_edges(model: Model, observed: DataFrame) -> tuple[Model, DataFrame]:
     """Give observed edges the dynamic producer where they have none; calls stay as they are.
 
@@ -54,9 +61,7 @@ def stamp_edges(model: Model, observed: DataFrame) -> tuple[Model, DataFrame]:
     an edge that only the run saw does not survive validation, which counts it.
     """
     rows = classify_observed_edges(model, observed)
-    key = ["program_id", "src_id", "dst_id"]
-    new = rows.where("edge_status <> 'unmatched'").select(*key).distinct().join(model.edge_provenance.select(*key), key, "left_anti")
-    stamps = new.select(*key, F.lit(0).cast("bigint").alias("ep_seq"), F.lit(DYNAMIC).alias("producer"), F.lit(OBSERVED_CONFIDENCE).alias("confidence"))
+    stamps = new_stamps(model, rows)
     report = stamps.groupBy("program_id").agg(F.count("*").alias("stamped")).join(rows.where("edge_status = 'unmatched'").groupBy("program_id").agg(F.count("*").alias("unmatched")), "program_id", "full").fillna(0)
     return model.with_(edge_provenance=model.edge_provenance.unionByName(stamps)), report
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from twinbuild.functions import guards
 from twinbuild.functions import similarity as S
-from twinbuild.functions.features import squared_norm, with_baseline_features
+from twinbuild.functions.features import SIGNATURE, anchor_set, squared_norm, with_baseline_features
 from twinbuild.operators import diff, evaluate, facts, matching, merge, navigate, observe
 from twinbuild.operators.validate import validate_model
 from twinbuild.plans.model import Model
+from twinbuild.plans.store import stored
 from twinbuild.sources import snapshots, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +29,17 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[Model, DataFrame]:
     return model, tables.pairs(model)
 
 
-def _leftovers(spark: SparkSession, sf_dir: str):
-    model, pairs = _both(spark, sf_dir)
-    a, b = matching.two_sides(model, pairs)
-    found = matching.match_exact(a, b)
-    return model, pairs, found, matching.left_over(a, found, "a_id"), matching.left_over(b, found, "b_id")
+def _leftovers(spark: SparkSession, sf_dir: str, *features: str):
+    """Both builds with these features of the functions, stored once; their exact matches, and what those leave on each side."""
+    model, _ = _both(spark, sf_dir)
+    functions = model.functions.withColumn("anchors", anchor_set()) if "anchors" in features else model.functions
+    functions = stored(functions.select("program_id", "func_id", "func_seq", "name", *SIGNATURE, *features), "functions")
+    programs = functions.select("program_id").distinct().select("program_id", F.col("program_id").alias("name"), F.lit("text").alias("language"))
+    model = model.with_(programs=stored(programs, "programs"), functions=functions, call_edges=stored(model.call_edges, "edges"))
+    pairs = tables.pairs(model)
+    sides = [functions.join(pairs.select("pair_id", F.col(p).alias("program_id")), "program_id").drop("program_id") for p in ("prog_a", "prog_b")]
+    found = stored(matching.match_exact(*sides), "exact")
+    return model, pairs, found, *(matching.left_over(side, found, i) for side, i in zip(sides, ("a_id", "b_id"), strict=True))
 
 
 @query
@@ -69,8 +76,6 @@ def signatures(spark, sf_dir):
 
 @query
 def anchor_sets(spark, sf_dir):
-    from twinbuild.functions.features import anchor_set
-
     rows = _both(spark, sf_dir)[0].functions.select("program_id", "func_id", F.array_sort(anchor_set()).alias("a"))
     return rows.select("program_id", "func_id", F.size("a").cast("bigint").alias("n_anchors"), F.array_join("a", " ").alias("anchors"))
 
@@ -149,6 +154,35 @@ def annotate(spark, sf_dir):
     return facts.annotate(model, edits)[0].facts.select("program_id", "target", "kind", "value")
 
 
+@query
+def annotate_rejected(spark, sf_dir):
+    """Turns as edits of one program: of functions that it has not, of a kind that there is not, or blank, they are turned down."""
+    kind = F.when(F.col("turn") % 3 == 2, "note").when(F.col("turn") % 3 == 1, "comment").otherwise("rename")
+    edits = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.lit("A.src0").alias("program_id"), F.col("turn").alias("edit_seq"), (F.col("conv_id") + 1).alias("target"), kind.alias("kind"), F.col("text").alias("value"), F.col("role").alias("author"))
+    return facts.annotate(tables.build_a(spark, sf_dir), edits)[1].select("program_id", "target", "edit_seq", "kind", "reason")
+
+
+@query
+def function_features(spark, sf_dir):
+    """Features of functions from rows of instructions and references; every 25th function is a thunk and has none."""
+    rows = snapshots.function_features(*tables.feature_rows(spark, sf_dir))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("program_id", "func_entry", F.size("mnemonics").cast("bigint").alias("n_mnemonics"), F.array_join(F.slice("mnemonics", 1, 5), " ").alias("first_mnemonics"), joined("callees"), joined("imports"), F.size("string_refs").cast("bigint").alias("n_strings"), joined("callee_names"))
+
+
+@query
+def event_model(spark, sf_dir):
+    """Build A once more, from the events that a materializing engine sends (a header for each program, then its functions)."""
+    model = snapshots.model_from_events(tables.engine_events(spark, sf_dir))
+    names = model.programs.select("program_id", F.col("name").alias("program"))
+    return model.functions.join(names, "program_id").select("program_id", "program", "func_id", F.col("addr").cast("bigint").alias("addr"), "name", "size", "bb_count", "out_degree", "fingerprint")
+
+
+@query
+def event_edges(spark, sf_dir):
+    return snapshots.model_from_events(tables.engine_events(spark, sf_dir)).call_edges.drop("edge_seq")
+
+
 @query
 def exact_matches(spark, sf_dir):
     model, pairs = _both(spark, sf_dir)
@@ -170,12 +204,35 @@ def address_diff(spark, sf_dir):
     return diff.diff_addresses(model, pairs).withColumn("addr", F.col("addr").cast("bigint"))
 
 
+def _with_next(spark, sf_dir, *columns):
+    """Every function of build A (x) with that of build B (y) made of the document 20 ids on in the same source."""
+    model, pairs = _both(spark, sf_dir)
+    a, b = matching.two_sides(model, pairs, ("func_id", *columns))
+    x = a.select("pair_id", (F.col("func_id") - 1).alias("doc"), F.col("func_id").alias("a_id"), F.struct(*columns).alias("x"))
+    y = b.where(F.col("func_id") < tables.NEW).select("pair_id", (F.col("func_id") - tables.SHIFT - 20).alias("doc"), F.col("func_id").alias("b_id"), F.struct(*columns).alias("y"))
+    return x.join(y, ["pair_id", "doc"])
+
+
 @query
 def pair_jaccard(spark, sf_dir):
+    return _with_next(spark, sf_dir, "anchors").select("pair_id", "a_id", "b_id", F.round(S.jaccard(F.col("x.anchors"), F.col("y.anchors")), 9).alias("jaccard"))
+
+
+@query
+def pair_vector_cosine(spark, sf_dir):
+    rows = _with_next(spark, sf_dir, "vector").where("x.vector is not null and y.vector is not null")
+    return rows.select("pair_id", "a_id", "b_id", F.round(S.vector_cosine(F.col("x.vector"), F.col("y.vector")), 9).alias("cosine"))
+
+
+@query
+def baseline_similarity(spark, sf_dir):
+    """Every function of build A with the one made of the same document, by the structural baseline's score."""
     model, pairs = _both(spark, sf_dir)
-    a, b = matching.two_sides(model, pairs)
-    rows = matching.match_exact(a, b).join(a.select("pair_id", F.col("func_id").alias("a_id"), F.col("anchors").alias("x")), ["pair_id", "a_id"]).join(b.select("pair_id", F.col("func_id").alias("b_id"), F.col("anchors").alias("y")), ["pair_id", "b_id"])
-    return rows.select("pair_id", "a_id", "b_id", F.round(S.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    functions = with_baseline_features(model.functions, model.call_edges)
+    columns = ("mnemonics", "trigram_set", "bb_count", "out_degree", "in_degree")
+    of = lambda program, start, id_name, out: functions.join(pairs.select("pair_id", F.col(program).alias("program_id")), "program_id").where(F.col("func_id") < tables.NEW).select("pair_id", (F.col("func_id") - start).alias("doc"), F.col("func_id").alias(id_name), F.struct(*columns).alias(out))
+    both = of("prog_a", 1, "a_id", "x").join(of("prog_b", tables.SHIFT, "b_id", "y"), ["pair_id", "doc"])
+    return both.select("pair_id", "a_id", "b_id", F.round(S.baseline_similarity("x", "y"), 9).alias("similarity"))
 
 
 @query
@@ -195,15 +252,15 @@ def propagation_round(spark, sf_dir):
     return new.select("pair_id", "a_id", "b_id")
 
 
-def _round(kind: str):
+def _round(kind: str, *features: str):
     def run(spark, sf_dir):
-        *_, left_a, left_b = _leftovers(spark, sf_dir)
+        *_, left_a, left_b = _leftovers(spark, sf_dir, *features)
         return matching.feature_round(left_a, left_b, kind).select("pair_id", "a_id", "b_id", F.round("score", 9).alias("score"))
 
     return run
 
 
-QUERIES |= {"anchor_round": _round("anchor"), "vector_round": _round("bsim"), "fuzzy_round": _round("fuzzy")}
+QUERIES |= {"anchor_round": _round("anchor", "anchors"), "vector_round": _round("bsim", "vector"), "fuzzy_round": _round("fuzzy", "mnemonics", "trigrams")}
 
 
 def _diffed(spark, sf_dir):
@@ -307,6 +364,21 @@ def validated_model(spark, sf_dir):
     return validate_model(model.with_(functions=functions, call_edges=edges))[1]
 
 
+@query
+def load_report(spark, sf_dir):
+    """All repairs of the loader: build A with functions twice, calls and stamps to nowhere, long names, notes on nothing, confidence beyond 100."""
+    model = tables.build_a(spark, sf_dir)
+    functions = model.functions.drop("vector").withColumn("bsim_vector", F.array().cast("array<struct<hash:bigint,weight_bits:bigint>>"))
+    functions = functions.withColumn("name", F.when(F.col("func_id") % 97 == 0, F.repeat(F.lit("é"), 40_000)).otherwise(F.col("name")))
+    functions = functions.unionByName(functions.where("func_id % 100 = 0").withColumns({"func_seq": F.col("func_seq") + 10_000_000_000, "name": F.lit("twin")}))
+    edges = model.call_edges.withColumn("dst_id", F.when(F.col("src_id") % 50 == 0, -1).otherwise(F.col("dst_id")))
+    stamp = lambda dst: model.call_edges.where("src_id % 30 = 1").select("program_id", "src_id", dst.alias("dst_id"), F.lit(0).cast("bigint").alias("ep_seq"), F.lit("dynamic").alias("producer"), F.lit(200).alias("confidence"))
+    notes = model.facts.withColumns({"target": F.when(F.col("fact_seq") % 5 == 0, -F.col("target")).otherwise(F.col("target")), "confidence": F.lit(200)})
+    loaded, report = validate_model(model.with_(functions=functions, call_edges=edges, facts=notes, edge_provenance=stamp(F.col("dst_id")).unionByName(stamp(F.col("dst_id") + 7_777_777))))
+    most = loaded.facts.unionByName(loaded.edge_provenance, allowMissingColumns=True).groupBy("program_id").agg(F.max("confidence").alias("most_confidence"))
+    return report.join(most, "program_id", "left")
+
+
 @query
 def program_caps(spark, sf_dir):
     functions = tables.build_a(spark, sf_dir).functions
@@ -325,7 +397,7 @@ def survival_scoreboard(spark, sf_dir):
 @query
 def similarity_matrix(spark, sf_dir):
     model, pairs = _both(spark, sf_dir)
-    return evaluate.similarity_matrix(*matching.two_sides(model, pairs))
+    return evaluate.similarity_matrix(*matching.two_sides(model, pairs, ("func_id", "vector"))).withColumn("score", F.round("score", 9))
 
 
 @query

@@ -136,6 +136,35 @@ def pairs(model: Model, old: str = "A", new: str = "B") -> DataFrame:
     return sources.select("pair_id", F.concat(F.lit(f"{old}."), "pair_id").alias("prog_a"), F.concat(F.lit(f"{new}."), "pair_id").alias("prog_b"))
 
 
+def feature_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(functions, instructions, refs) as rows, for `snapshots.function_features`: a document's tokens, long tokens, calls and language."""
+    docs = _documents(spark, sf_dir)
+    key = (F.concat(F.lit("A."), "source").alias("program_id"), F.col("doc_id").cast("string").alias("func_entry"))
+    functions = docs.select(*key, F.lit(False).alias("external"), (F.col("doc_id") % 25 == 24).alias("thunk"))
+    instructions = docs.select(*key, F.posexplode("ordered").alias("ord", "mnemonic"))
+    blank = F.lit(None).cast("string")
+    ref = lambda kind, entry, name, external, text: (F.lit(0).alias("ord"), F.lit(kind).alias("ref_kind"), entry.alias("target_entry"), name.alias("target_name"), F.lit(external).alias("target_external"), text.alias("string_value"))
+    calls = _edges(docs).select(F.concat(F.lit("A."), "source").alias("program_id"), F.col("src").cast("string").alias("func_entry"), *ref("call", F.col("dst").cast("string"), F.concat("source", F.lit(".f"), "dst"), False, blank))
+    imports = docs.select(*key, F.explode("imports").alias("_i")).select("program_id", "func_entry", *ref("call", blank, F.col("_i"), True, blank))
+    strings = docs.select(*key, F.explode("string_refs").alias("_s")).select("program_id", "func_entry", *ref("data", blank, blank, False, F.col("_s")))
+    return functions, instructions, calls.unionByName(imports).unionByName(strings)
+
+
+def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build A as materialize events: for each program a header, then one event a function with its callees' addresses."""
+    docs, none = _documents(spark, sf_dir), F.array().cast("array<string>")
+    at = lambda doc: F.concat(F.lit("0x"), F.lower(F.hex(4096 + 16 * doc)))
+    calls = _edges(docs).groupBy("source", F.col("src").alias("doc_id")).agg(F.array_sort(F.collect_list(at(F.col("dst")))).alias("callees"))  # a document has three at most
+    program = F.concat(F.lit("A."), F.col("source")).alias("program_id")
+    function = F.struct(
+        at(F.col("doc_id")).alias("entry"), F.concat("source", F.lit(".f"), "doc_id").alias("name"), "size", "bb_count", F.size("ordered").cast("bigint").alias("mnemonic_count"), F.coalesce("callees", none).alias("callees"),
+        "imports", "string_refs", none.alias("callee_names"), F.array().cast("array<array<bigint>>").alias("bsim_vector"), F.col("ordered").alias("mnemonics"),
+    )
+    functions = docs.join(calls, ["source", "doc_id"], "left").select(program, F.col("doc_id").alias("seq"), F.lit("function").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("language"), function.alias("f"))
+    heads = docs.select("source").distinct().select(program, F.lit(-1).cast("bigint").alias("seq"), F.lit("info").alias("kind"), F.upper("source").alias("name"), F.lit("text").alias("language"))
+    return functions.unionByName(heads, allowMissingColumns=True)
+
+
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with the document (doc_id, source) each is about: the event's number among the documents' ids, round and round."""
     docs = _table(spark, sf_dir, "documents").where("doc_id is not null and source is not null").select("doc_id", "source")
