@@ -7,7 +7,7 @@ Every rung takes `sides`: the functions of a pair's two programs (see `two_sides
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,13 +120,20 @@ def vector_scores(a: DataFrame, b: DataFrame, least: float = S.VECTOR_THRESHOLD
 class _Rows:
     """Counted lists as compressed rows: row k has ids[starts[k]:starts[k + 1]] with counts alike, and a length."""
 
-    def __init__(self, lists: pd.Series, number: dict):
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate(([0], np.cumsum(sizes)))
-        self.ids = np.fromiter((number.setdefault(e["mnemonic"], len(number)) for own in lists for e in own), np.int64, self.starts[-1])
-        self.counts = np.fromiter((e["count"] for own in lists for e in own), float, self.starts[-1])
-        of = np.repeat(np.arange(len(lists)), sizes)
-        self.norms = np.sqrt(np.bincount(of, self.counts * self.counts, len(lists)))
+    def __init__(self, lists: pa.ListArray, ids: np.ndarray, counts: np.ndarray):
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        self.starts, self.ids, self.counts = np.concatenate(([0], np.cumsum(sizes))), ids, counts
+        self.norms = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), counts * counts, len(sizes)).astype(float))
+
+    @staticmethod
+    def of(a: pa.Table, b: pa.Table, column: str) -> tuple[_Rows, _Rows, int]:
+        """A column of both tables with the same numbers for the same items, and how many items there are."""
+        lists = [t.column(column).combine_chunks() for t in (a, b)]
+        flat = [x.flatten() for x in lists]
+        coded = pa.chunked_array([x.field("mnemonic") for x in flat]).combine_chunks().dictionary_encode()
+        ids, cut = coded.indices.to_numpy().astype(np.int64), len(flat[0])
+        counts = [x.field("count").to_numpy().astype(float) for x in flat]
+        return _Rows(lists[0], ids[:cut], counts[0]), _Rows(lists[1], ids[cut:], counts[1]), len(coded.dictionary)
 
     def dense(self, rows: slice, width: int) -> np.ndarray:
         out = np.zeros((rows.stop - rows.start, width))
@@ -147,18 +154,23 @@ class _Rows:
         return np.divide(dots, both, out=np.zeros(len(rows)), where=both > 0)
 
 
-def _block_scores(a: pd.DataFrame, b: pd.DataFrame, least: float, chunk: int = 500) -> pd.DataFrame:
+SCORES = "pair_id string, a_id bigint, b_id bigint, score double"
+
+
+def _block_scores(a: pa.Table, b: pa.Table, least: float, chunk: int = 500) -> pa.Table:
     """The pairs of two blocks with enough: histograms meet by matrix product, trigrams only where the rest may still do."""
-    mnemonics, trigrams, out = {}, {}, []
-    (hist_a, hist_b), (gram_a, gram_b) = ([_Rows(side[c], n) for side in (a, b)] for c, n in (("mnemonics", mnemonics), ("trigrams", trigrams)))
-    room = np.zeros(len(trigrams))
-    numbers = {c: (a[c].to_numpy(float), b[c].to_numpy(float)) for c in ("bb_count", "out_degree")}
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    hist_a, hist_b, width = _Rows.of(a, b, "mnemonics")
+    gram_a, gram_b, n_grams = _Rows.of(a, b, "trigrams")
+    room = np.zeros(n_grams)
+    numbers = {c: (a.column(c).to_numpy().astype(float), b.column(c).to_numpy().astype(float)) for c in ("bb_count", "out_degree")}
+    own, other = a.column("func_id").to_numpy(), b.column("func_id").to_numpy()
     for at in range(0, len(a), chunk):
         x = slice(at, min(at + chunk, len(a)))
-        mine = hist_a.dense(x, len(mnemonics))
+        mine = hist_a.dense(x, width)
         for to in range(0, len(b), chunk):
             y = slice(to, min(to + chunk, len(b)))
-            hist = mine @ hist_b.dense(y, len(mnemonics)).T
+            hist = mine @ hist_b.dense(y, width).T
             rest = sum(w * (1.0 - np.abs(p[x, None] - q[None, y]) / np.maximum(p[x, None] + q[None, y], 1)) for (p, q), w in zip(numbers.values(), (0.25, 0.15), strict=True))
             no_order = (gram_a.norms[x] == 0)[:, None] | (gram_b.norms[y] == 0)[None, :]
             score = np.where(no_order, 0.60 * hist, 0.35 * hist) + rest
@@ -167,9 +179,10 @@ def _block_scores(a: pd.DataFrame, b: pd.DataFrame, least: float, chunk: int = 5
                 j = np.flatnonzero(open_[i])
                 score[i, j] += 0.25 * gram_a.cosines(at + i, gram_b, to + j, room)
             i, j = np.nonzero(score >= least - S.SLACK)
-            out.append((a["func_id"].to_numpy()[x][i], b["func_id"].to_numpy()[y][j], score[i, j]))
-    a_id, b_id, score = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 3))
-    return pd.DataFrame({"pair_id": [a["pair_id"].iloc[0]] * len(score) if out else [], "a_id": a_id, "b_id": b_id, "score": score})  # one pair a group
+            out.append((own[x][i], other[y][j], score[i, j]))
+    a_id, b_id, score = (np.concatenate(c) for c in zip(*out, strict=True))
+    pair = a.column("pair_id")[0].as_py() if len(score) else ""  # one pair a group
+    return pa.table({"pair_id": pa.array([pair] * len(score), pa.string()), "a_id": a_id, "b_id": b_id, "score": score})
 
 
 def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD - S.FUZZY_MARGIN, block: int = 2_000) -> DataFrame:
@@ -186,7 +199,7 @@ def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD -
     left = fresh(a).join(sizes, "pair_id").withColumn("ka", deal("na")).withColumn("kb", each("nb")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
     right = fresh(b).join(sizes, "pair_id").withColumn("kb", deal("nb")).withColumn("ka", each("na")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
     key = ["pair_id", "ka", "kb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: _block_scores(x, y, least), "pair_id string, a_id bigint, b_id bigint, score double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda x, y: _block_scores(x, y, least), SCORES)
 
 
 def eligible(side: DataFrame, kind: str) -> DataFrame:
