@@ -1,14 +1,15 @@
 """Notes carried between builds of small programs, from snapshot files to scores, and the rules of the diff ladder on them."""
 
 import json
+import os
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinbuild.functions import similarity
-from twinbuild.operators import diff, evaluate, matching, navigate
-from twinbuild.plans.queries import QUERIES
+from twinbuild.operators import diff, evaluate, matching, merge, navigate
+from twinbuild.plans.queries import QUERIES, _both
 from twinbuild.sources import observations, snapshots
 
 TRUTH = ("main", "gcd", "fib", "fact", "sum")
@@ -172,3 +173,24 @@ def test_scores_do_not_depend_on_blocks(spark, loaded):
         .select("pair_id", "a_id", "b_id", similarity.similarity("x", "y").alias("s")).where("s >= 0.5 - 1e-9").collect()
     }
     assert rows(2) == rows(1000) == want
+
+
+def test_queries_without_sql_add_up(spark):
+    """Each function is in a diff once, each fact in a merge once, and the counts are those of the rows."""
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("the driver's tables are not here")
+    model, pairs = _both(spark, sf_dir)
+    functions = {r["program_id"]: r["count"] for r in model.functions.groupBy("program_id").count().collect()}
+    rows = QUERIES["diff_rows"](spark, sf_dir).cache()
+    for side, gone in (("a", "added"), ("b", "removed")):
+        own = rows.where(F.col("kind") != gone)
+        assert own.where(f"{side}_id is null").isEmpty() and own.groupBy("pair_id", f"{side}_id").count().where("count > 1").isEmpty()
+        assert {r["pair_id"]: r["count"] for r in own.groupBy("pair_id").count().collect()} == {p[2:]: n for p, n in functions.items() if p.startswith(f"{side.upper()}.")}
+    kinds = {(r["pair_id"], r["kind"]): r["count"] for r in rows.groupBy("pair_id", "kind").count().collect()}
+    for r in diff.diff_summary(rows).collect():
+        assert all(r[k] == kinds.get((r["pair_id"], k), 0) for k in ("unchanged", "renamed", "modified", "added", "removed"))
+    facts = {r["pair_id"]: r["count"] for r in model.facts.groupBy(F.expr("substring(program_id, 3)").alias("pair_id")).count().collect()}
+    merged, flagged, _ = merge.reanchor_facts(model, pairs)
+    assert {r["pair_id"]: r["count"] for r in merged.select("pair_id").unionByName(flagged.select("pair_id")).groupBy("pair_id").count().collect()} == facts
+    assert merged.groupBy("pair_id", "fact_seq").count().where("count > 1").isEmpty()
