@@ -16,7 +16,7 @@ _own_folder: dict[str, str] = {}
 _made: dict[str, list[str]] = {}  # by application: the tables that `stored` wrote
 
 
-BATCH_BYTES = 16 << 20  # of a batch that goes to Python, whole rows and one at least
+BATCH_BYTES = 4 << 20  # of a batch that goes to Python, whole rows and one at least
 
 
 def shared_folder(spark: SparkSession) -> str:

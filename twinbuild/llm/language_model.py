@@ -59,7 +59,7 @@ class Shape:
     lanes: int = 512
     window: int = 16
     rounds: int = 3
-    rate: float = 0.08
+    rate: float = 0.12
     held_counts: int = 300_000
     most_words: int = 1 << 18
     trainer_tokens: int = 4_000_000

@@ -54,7 +54,7 @@ class WordIds:
     when a task ends, words beyond `remember` are forgotten.
     """
 
-    def __init__(self, file: str, remember: int = 700_000):
+    def __init__(self, file: str, remember: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -184,6 +184,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", capac
             table = np.array(rows, np.int64).reshape(len(rows), 6)
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).cast(t) for c, t in zip(table.T, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=schema.names)
         ids_of.forget()
+        pa.default_memory_pool().release_unused()
 
     return by_bytes(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *keep)).mapInArrow(cut, schema)
 
