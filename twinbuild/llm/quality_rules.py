@@ -62,17 +62,21 @@ def rule_statistics(text: bytes) -> list[int]:
     ]
 
 
-def with_rule_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` and one long column for each of COUNTS and EXTRA."""
+def with_rule_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), forest: Forest | None = None) -> DataFrame:
+    """The columns in `keep` and one long column for each of COUNTS and EXTRA; with a forest also the anomaly, in the same pass over the texts."""
     schema = docs.select(*keep).schema
     for c in (*COUNTS, *EXTRA):
         schema = schema.add(c, "long")
+    known = None
+    if forest is not None:
+        schema, known = schema.add("anomaly", "double"), docs.sparkSession.sparkContext.broadcast(forest)
 
     def counted(batches):
         for batch in batches:
             rows = [rule_statistics(x) for (texts,) in slices([batch], "_text") for x in texts]
             table = np.array(rows, np.int64).reshape(len(rows), len(COUNTS) + len(EXTRA))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *map(pa.array, table.T)], names=schema.names)
+            more = [] if known is None else [pa.array(_anomalies(known.value, dict(zip((*COUNTS, *EXTRA), table.T, strict=True))))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *map(pa.array, table.T), *more], names=schema.names)
 
     return by_bytes(docs.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))).mapInArrow(counted, schema)
 
@@ -137,6 +141,11 @@ def anomaly(forest: Forest, rows: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest.feature) / max(_expected(forest.tree_rows), 1e-9))
 
 
+def _anomalies(forest: Forest, columns: dict[str, np.ndarray]) -> np.ndarray:
+    rows = _rates(columns)
+    return np.concatenate([anomaly(forest, rows[k : k + 1024]) for k in range(0, len(rows), 1024)] or [np.zeros(0)])
+
+
 def fit_forest(stats: DataFrame, trees: int = 100, tree_rows: int = 256) -> Forest | None:
     """Grow the forest on trees x tree_rows documents, in the order of a hash of their statistics and id."""
     names = [*COUNTS, *EXTRA]
@@ -152,8 +161,7 @@ def with_anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            rows = _rates({c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (*COUNTS, *EXTRA)})
-            found = np.concatenate([anomaly(known.value, rows[k : k + 1024]) for k in range(0, len(rows), 1024)] or [np.zeros(0)])
+            found = _anomalies(known.value, {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (*COUNTS, *EXTRA)})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=schema.names)
 
     return stats.mapInArrow(scored, schema)
@@ -173,9 +181,9 @@ def calibrate(scored: DataFrame, labels: DataFrame, label: str = "quality", most
     return float(np.flatnonzero(gain == gain.max())[-1]) / steps if gain.max() > 0 else 2.0
 
 
-def _judged(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+def _judged(docs: DataFrame, text: str, keep: tuple[str, ...], forest: Forest | None = None) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return with_rule_statistics(docs, text, keep).withColumn("base_failed", failed)
+    return with_rule_statistics(docs, text, keep, forest).withColumn("base_failed", failed)
 
 
 def _passes(limit: float):
@@ -195,4 +203,5 @@ def kept_by_rules(docs: DataFrame, labels: DataFrame, text: str = "text", trees:
     forest = fit_forest(stats, trees, tree_rows)
     limit = calibrate(with_anomaly(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), forest), labels, most_good=most_good)
     rows = docs.select(F.struct(*docs.columns).alias("row"), text)  # so that no column of docs meets one of ours
-    return with_anomaly(_judged(rows, text, ("row",)), forest).where(_passes(limit)).select("row.*")
+    judged = _judged(rows, text, ("row",), forest)  # without a forest no row is odd
+    return (judged if forest is not None else judged.withColumn("anomaly", F.lit(0.0))).where(_passes(limit)).select("row.*")
