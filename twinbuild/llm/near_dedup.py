@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
         return x.join(facts.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch").alias("_x")), "a").where(_could_link(how, "_x", "_y")).select("a", "b")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        likely = stored(_plausible(pairs, nodes, how), "likely")
+        likely = stored(_plausible(stored(pairs, "met"), nodes, how), "likely")  # the walk over buckets goes once
         return stored(_measured(likely, nodes, docs, how, text), "links")
 
     links = lambda x: x.where("linked").select("a", "b")
