@@ -68,9 +68,9 @@ def by_bytes(df: DataFrame) -> DataFrame:
     return df
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words (between ASCII blanks, A-Z in lower case) of some texts, in order, and how many each text has."""
-    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words (between ASCII blanks, A-Z in lower case if asked) of some texts, in order, and how many each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     sizes = np.diff(found.offsets.to_numpy()).astype(np.int64)
     flat = found.flatten()
     whole = pc.greater(pc.binary_length(flat), 0)  # a blank at either end of a text leaves an empty word there

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinbuild.llm import decontamination, language_id, language_model, license_scan, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filter
+from twinbuild.llm import decontamination, language_id, language_model, license_scan, merkle_manifest, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from twinbuild.llm.common import held_out
 
 
@@ -134,6 +134,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", held_out(F.col("doc_id"), 4))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    known = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4))
+    scored = toxicity.score_toxicity(docs, known)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose crc32 7 divides are held against their proofs with one more character than they have."""
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle_manifest.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    return merkle_manifest.verified(*merkle_manifest.manifest(docs, claimed=F.when(hit, tampered))).withColumnRenamed("id", "doc_id")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = periodic_runs.repeated_from(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(turned))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -142,6 +162,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_counts, op3_packing, op4_decontamination, op5_quality, op6_quality_rules, op7_language_model, op8_licenses, op9_near_duplicates, op10_language, pipeline)
+    for f in (op1_url_filter, op2_token_counts, op3_packing, op4_decontamination, op5_quality, op6_quality_rules, op7_language_model, op8_licenses, op9_near_duplicates, op10_language, op11_toxicity, op12_merkle_manifest, op13_periodic_runs, pipeline)
 }
 ORACLES = {"op1_url_filter": OP1_ORACLE, "op4_decontamination": decontamination.ORACLE}
