@@ -243,3 +243,39 @@ def verified(leaves: DataFrame, log: DataFrame, top: DataFrame, levels: int = LE
     found = proofs(rows, log.where("tree <> ''"), top.select("tree", "way"), ("id", "leaf", "tree"), whole=False, levels=levels)
     known = found.join(top.select("tree", "subroot", "root"), "tree")
     return known.select("id", "leaf", "subroot", "root", F.col("proof_digest").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def verified_with(docs: DataFrame, claimed: Column | None = None, levels: int = LEVELS) -> DataFrame:
+    """A manifest of docs (HASHED columns), and each row's proof held against `claimed` (a hash; where it is null or not given, the leaf)."""
+    return verified(*manifest(docs, claimed=claimed, levels=levels), levels=levels)
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+# the query op12 over documents; crc32 goes byte by byte and bit by bit, since there is no such function
+ORACLE = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="n_chars + 1")} AS other,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x % 2) * 3988292384::BIGINT))), 4294967295::BIGINT) AS h
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, leaf, CASE WHEN h % 7 = 0 THEN other ELSE leaf END AS claimed FROM raw)),
+nodes(lang, level, k, n, d) AS (
+  SELECT lang, 0, k, n, leaf FROM leaves UNION ALL
+  SELECT lang, level + 1, k // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY k)) FROM nodes WHERE n > 1 GROUP BY lang, level + 1, k // 2, (n + 1) // 2),
+sub AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, k, n, d) AS (
+  SELECT 0, k, n, d FROM sub UNION ALL
+  SELECT level + 1, k // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY k)) FROM tops WHERE n > 1 GROUP BY level + 1, k // 2, (n + 1) // 2),
+climb(doc_id, leaf, lang, level, k, n, folded, proof) AS (
+  SELECT doc_id, leaf, lang, 0, k, n, claimed, '' FROM leaves UNION ALL
+  SELECT u.doc_id, u.leaf, u.lang, u.level + 1, u.k // 2, (u.n + 1) // 2, sha256(CASE WHEN u.k % 2 = 1 THEN s.d || u.folded ELSE u.folded || coalesce(s.d, '') END), u.proof || coalesce(s.d, '')
+  FROM climb u LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM u.lang AND s.level = u.level AND s.k = xor(u.k, 1) WHERE u.n > 1),
+onward(doc_id, leaf, subroot, level, k, n, folded, proof) AS (
+  SELECT u.doc_id, u.leaf, s.d, 0, s.k, s.n, u.folded, u.proof FROM climb u JOIN sub s ON s.lang IS NOT DISTINCT FROM u.lang WHERE u.n = 1 UNION ALL
+  SELECT o.doc_id, o.leaf, o.subroot, o.level + 1, o.k // 2, (o.n + 1) // 2, sha256(CASE WHEN o.k % 2 = 1 THEN s.d || o.folded ELSE o.folded || coalesce(s.d, '') END), o.proof || coalesce(s.d, '')
+  FROM onward o LEFT JOIN tops s ON s.level = o.level AND s.k = xor(o.k, 1) WHERE o.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT d FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT d FROM tops WHERE n = 1) AS verified FROM onward WHERE n = 1
+"""

@@ -164,4 +164,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filter, op2_token_counts, op3_packing, op4_decontamination, op5_quality, op6_quality_rules, op7_language_model, op8_licenses, op9_near_duplicates, op10_language, op11_toxicity, op12_merkle_manifest, op13_periodic_runs, pipeline)
 }
-ORACLES = {"op1_url_filter": OP1_ORACLE, "op4_decontamination": decontamination.ORACLE}
+ORACLES = {"op1_url_filter": OP1_ORACLE, "op4_decontamination": decontamination.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE}
