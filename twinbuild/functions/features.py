@@ -4,36 +4,57 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-KEY = ("program_id", "func_id")
 # The FNV-1a parameters for 64 bits.
 FNV_START, FNV_PRIME, WORD = 14695981039346656037, 1099511628211, (1 << 64) - 1
 
 
-def trigram_windows(mnemonics: Column) -> Column:
-    """Every window of three, joined by blanks; none for a shorter list."""
-    at = F.sequence(F.lit(1), F.size(mnemonics) - 2)
-    return F.when(F.size(mnemonics) >= 3, F.transform(at, lambda k: F.concat_ws(" ", F.element_at(mnemonics, k), F.element_at(mnemonics, k + 1), F.element_at(mnemonics, k + 2)))).otherwise(F.array().cast("array<string>"))
+COUNTED = ArrayType(StructType([StructField("mnemonic", StringType()), StructField("count", LongType())]))
 
 
-def counted(rows: DataFrame, items: str, out: str, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Per key the items with their counts, in order of item. Items are added up before they move."""
-    one = rows.select(*key, F.explode(items).alias("mnemonic")).groupBy(*key, "mnemonic").agg(F.count("*").alias("count"))
-    return one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("mnemonic", "count"))).alias(out))
+def _counted_lists(rows: np.ndarray, ids: np.ndarray, names: pa.Array, n_rows: int) -> pa.Array:
+    """For each row its names with their counts, in order of name; rows[k] has names[ids[k]]."""
+    order = pc.sort_indices(names).to_numpy().astype(np.int64)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    found, counts = np.unique(rows * max(len(names), 1) + rank[ids], return_counts=True)
+    row, place = np.divmod(found, max(len(names), 1))
+    entries = pa.StructArray.from_arrays([names.take(pa.array(order[place])), pa.array(counts.astype(np.int64))], ["mnemonic", "count"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n_rows + 1)), pa.int32()), entries)
 
 
-def with_counts(rows: DataFrame, mnemonics: str = "ordered", key: tuple[str, ...] = KEY) -> DataFrame:
-    """Add mnemonics and trigrams (counted) for the ordered list in `mnemonics`."""
-    # the list goes through explode so that it is made once a row, not once for each of its windows
-    lists = rows.select(*key, F.explode(F.array(mnemonics)).alias("_m"))
-    hist = counted(lists, "_m", "mnemonics", key)
-    grams = counted(lists.withColumn("_t", trigram_windows(F.col("_m"))), "_t", "trigrams", key)
-    none = F.array().cast("array<struct<mnemonic:string,count:bigint>>")
-    out = rows.join(hist, list(key), "left").join(grams, list(key), "left")
-    return out.withColumns({"mnemonics": F.coalesce("mnemonics", none), "trigrams": F.coalesce("trigrams", none)})
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of each item of some lists (null ones are empty), and the different items by number."""
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64) * lists.is_valid().to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(lists)), sizes), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+@F.arrow_udf(COUNTED)
+def counted_items(lists: pa.Array) -> pa.Array:
+    """The items of each list with their counts, in order of item; none for a null list."""
+    return _counted_lists(*_flat(lists), len(lists))
+
+
+@F.arrow_udf(COUNTED)
+def counted_trigrams(lists: pa.Array) -> pa.Array:
+    """Every window of three items, joined by blanks, with its count, in order of window; none for shorter lists."""
+    rows, ids, names = _flat(lists)
+    at = np.flatnonzero(rows[:-2] == rows[2:]) if len(rows) > 2 else np.zeros(0, np.int64)
+    width = max(len(names), 1)
+    windows, of = np.unique((ids[at] * width + ids[at + 1]) * width + ids[at + 2], return_inverse=True)
+    parts = (windows // width // width, windows // width % width, windows % width)
+    joined = pc.binary_join_element_wise(*(names.take(pa.array(p)) for p in parts), " ").dictionary_encode()
+    return _counted_lists(rows[at], joined.indices.to_numpy().astype(np.int64)[of.reshape(-1)], joined.dictionary, len(lists))
+
+
+def with_counts(rows: DataFrame, mnemonics: str = "ordered") -> DataFrame:
+    """Add mnemonics and trigrams (counted) for the ordered list in `mnemonics`. A list is counted where it lies; nothing moves."""
+    return rows.withColumns({"mnemonics": counted_items(F.col(mnemonics)), "trigrams": counted_trigrams(F.col(mnemonics))})
 
 
 def _fingerprints(lists: pa.Array) -> np.ndarray:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbuild.functions import similarity as S
 from twinbuild.functions.features import SIGNATURE, anchor_set, squared_norm
 from twinbuild.plans.model import Model
-from twinbuild.plans.store import stored
+from twinbuild.plans.store import stored, stored_together
 
 WANTED = ("func_id", "func_seq", "name", *SIGNATURE, "mnemonics", "trigrams", "anchors", "vector")
 
@@ -29,7 +29,7 @@ def with_vector(functions: DataFrame) -> DataFrame:
 def two_sides(model: Model, pairs: DataFrame, wanted: tuple[str, ...] = WANTED) -> tuple[DataFrame, DataFrame]:
     """The functions of prog_a and of prog_b with their pair_id and the wanted columns."""
     functions = with_vector(model.functions) if "vector" in wanted else model.functions
-    functions = functions.withColumn("anchors", anchor_set()) if "anchors" in wanted else functions
+    functions = functions.withColumn("anchors", anchor_set()) if "anchors" in wanted and "anchors" not in functions.columns else functions
     out = []
     for program in ("prog_a", "prog_b"):
         p = pairs.select("pair_id", F.col(program).alias("program_id"))
@@ -37,6 +37,15 @@ def two_sides(model: Model, pairs: DataFrame, wanted: tuple[str, ...] = WANTED)
     return tuple(out)
 
 
+def stored_sides(model: Model, pairs: DataFrame, wanted: tuple[str, ...] = WANTED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides and the pairs; functions of either side are made and stored once."""
+    pairs = stored(pairs, "pairs")
+    programs = pairs.select(F.explode(F.array("prog_a", "prog_b")).alias("program_id")).distinct()
+    functions = with_vector(model.functions).join(programs, "program_id", "left_semi").withColumn("anchors", anchor_set())
+    a, b = two_sides(model.with_(functions=stored(functions.select("program_id", *wanted), "functions")), pairs, wanted)
+    return a, b, pairs
+
+
 def edges_of(model: Model, pairs: DataFrame, program: str) -> DataFrame:
     return model.call_edges.join(pairs.select("pair_id", F.col(program).alias("program_id")), "program_id").select("pair_id", "src_id", "dst_id")
 
@@ -157,8 +166,21 @@ class _Rows:
 SCORES = "pair_id string, a_id bigint, b_id bigint, score double"
 
 
-def _block_scores(a: pa.Table, b: pa.Table, least: float, chunk: int = 500) -> pa.Table:
-    """The pairs of two blocks with enough: histograms meet by matrix product, trigrams only where the rest may still do."""
+def _leaders(groups: np.ndarray, score: np.ndarray, others: np.ndarray, best: int) -> np.ndarray:
+    """Which rows are among the `best` of their group by score, then by the other's id."""
+    order = np.lexsort((others, -score, groups))
+    of = groups[order]
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], of[1:] != of[:-1])), np.arange(len(of)), 0))
+    out = np.zeros(len(groups), bool)
+    out[order] = np.arange(len(of)) - first < best
+    return out
+
+
+def _block_scores(a: pa.Table, b: pa.Table, least: float, best: int | None = None, chunk: int = 500) -> pa.Table:
+    """The pairs of two blocks with enough: histograms meet by matrix product, trigrams only where the rest may still do.
+
+    With `best`, only pairs that are among so many for their function on either side.
+    """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     hist_a, hist_b, width = _Rows.of(a, b, "mnemonics")
     gram_a, gram_b, n_grams = _Rows.of(a, b, "trigrams")
@@ -181,25 +203,86 @@ def _block_scores(a: pa.Table, b: pa.Table, least: float, chunk: int = 500) -> p
             i, j = np.nonzero(score >= least - S.SLACK)
             out.append((own[x][i], other[y][j], score[i, j]))
     a_id, b_id, score = (np.concatenate(c) for c in zip(*out, strict=True))
+    if best is not None and len(score):
+        kept = _leaders(a_id, score, b_id, best) | _leaders(b_id, score, a_id, best)
+        a_id, b_id, score = a_id[kept], b_id[kept], score[kept]
     pair = a.column("pair_id")[0].as_py() if len(score) else ""  # one pair a group
     return pa.table({"pair_id": pa.array([pair] * len(score), pa.string()), "a_id": a_id, "b_id": b_id, "score": score})
 
 
-def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD - S.FUZZY_MARGIN, block: int = 2_000) -> DataFrame:
-    """Instruction-mix similarity of every pair; common mnemonics leave no index to use, so blocks of rows meet.
+def _with_range(side: DataFrame) -> DataFrame:
+    """side with `range`, a class of functions of like size, and what bounds their scores.
+
+    kinds and peak, for mnemonics (m) and trigrams (g): how many different ones a function has, and the share of its norm that one may make up.
+    """
+    total = F.aggregate("trigrams", F.lit(0).cast("bigint"), lambda acc, e: acc + e["count"])
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, e: acc + e["count"] * e["count"]))
+    peak = lambda c: F.coalesce(F.array_max(F.transform(c, lambda e: e["count"])) / F.nullif(norm(c), F.lit(0.0)), F.lit(0.0))
+    size = F.floor(F.log2(1.0 + total)).cast("int")
+    return side.withColumns({"range": size, "_km": F.size("mnemonics"), "_kg": F.size("trigrams"), "_pm": peak("mnemonics"), "_pg": peak("trigrams")})
+
+
+def _ranges(side: DataFrame, block: int, name: str) -> DataFrame:
+    """(pair_id, range_<name>, <name>): for each range of functions, how many blocks it makes and the bounds of what is in it."""
+    bounds = [F.ceil(F.count("*") / block).cast("int").alias("blocks")]
+    for c in ("bb_count", "out_degree"):
+        bounds += [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
+    bounds += [F.max(c).alias(c) for c in ("_km", "_kg", "_pm", "_pg")]
+    return side.groupBy("pair_id", F.col("range").alias(f"range_{name}")).agg(F.struct(*bounds).alias(name))
+
+
+def range_bound() -> Column:
+    """No function of range x and none of range y have a greater similarity.
 
-    Each side is dealt into blocks of about `block` rows; a row goes to each block of the other side. No task
-    gets more than one block of each.
+    A cosine is at most what y has of its norm on the entries of x: sqrt(entries of x) times y's greatest entry, over y's norm.
+    Closeness grows as the smaller number comes near the greater one. Without trigrams the mix weighs 0.60, and 0.35 + 0.25 with them.
     """
-    sizes = a.groupBy("pair_id").count().withColumnRenamed("count", "_a").join(b.groupBy("pair_id").count().withColumnRenamed("count", "_b"), "pair_id").select("pair_id", F.ceil(F.col("_a") / block).cast("int").alias("na"), F.ceil(F.col("_b") / block).cast("int").alias("nb"))
-    columns = ["pair_id", "func_id", "bb_count", "out_degree", "mnemonics", "trigrams"]
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    cosine = lambda k, p: F.least(F.lit(1.0), F.sqrt(x(k)) * y(p), F.sqrt(y(k)) * x(p))
+
+    def close(c: str) -> Column:
+        low, high = (F.when(x(f"{c}_high") < y(f"{c}_low"), v).when(y(f"{c}_high") < x(f"{c}_low"), w) for v, w in ((x(f"{c}_high"), y(f"{c}_high")), (y(f"{c}_low"), x(f"{c}_low"))))
+        return F.coalesce(S.closeness(low, high), F.lit(1.0))
+
+    mix, order = cosine("_km", "_pm"), cosine("_kg", "_pg")
+    one_without = F.col("range_x") * F.col("range_y") == 0  # range 0: no trigrams
+    return F.when(one_without, 0.60 * mix).otherwise(0.35 * mix + 0.25 * order) + 0.25 * close("bb_count") + 0.15 * close("out_degree")
+
+
+def range_pairs(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFrame:
+    """(pair_id, range_x, range_y, x, y, meets): all pairs of ranges, and whether two of their functions may reach `least`."""
+    both = _ranges(a, block, "x").join(_ranges(b, block, "y"), "pair_id")
+    return both.withColumn("meets", range_bound() >= least - S.SLACK)
+
+
+FUZZY = ["pair_id", "func_id", "bb_count", "out_degree", "mnemonics", "trigrams"]
+
+
+def _dealt(a: DataFrame, b: DataFrame, least: float, block: int):
+    """Both sides as blocks of functions, grouped by the pairs of blocks that have to meet."""
+    fresh = lambda side: _with_range(side.select(*(F.col(c).alias(c) for c in FUZZY)))  # noqa: E731  columns of its own: both sides may come from one table
+    a, b = fresh(a), fresh(b)
+    meeting = stored(range_pairs(a, b, least, block).where("meets").select("pair_id", "range_x", "range_y", F.col("x.blocks").alias("nx"), F.col("y.blocks").alias("ny")), "block-pairs")
     deal = lambda n: F.pmod(F.xxhash64("func_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fresh = lambda side: side.select(*(F.col(c).alias(c) for c in columns))  # noqa: E731  columns of its own: both sides may come from one table
-    left = fresh(a).join(sizes, "pair_id").withColumn("ka", deal("na")).withColumn("kb", each("nb")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
-    right = fresh(b).join(sizes, "pair_id").withColumn("kb", deal("nb")).withColumn("ka", each("na")).select(*(F.col(c).alias(c) for c in (*columns, "ka", "kb")))
-    key = ["pair_id", "ka", "kb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda x, y: _block_scores(x, y, least), SCORES)
+    key = ["pair_id", "range_x", "range_y", "kx", "ky"]
+    out = []
+    for side, own, mine, other in ((a, "range_x", "x", "y"), (b, "range_y", "y", "x")):
+        rows = side.withColumnRenamed("range", own).join(meeting, ["pair_id", own])
+        rows = rows.withColumn(f"k{mine}", deal(f"n{mine}")).withColumn(f"k{other}", each(f"n{other}"))
+        out.append(rows.select(*(F.col(c).alias(c) for c in (*FUZZY, *key[1:]))).groupBy(*key))
+    return out
+
+
+def fuzzy_scores(a: DataFrame, b: DataFrame, least: float = S.FUZZY_THRESHOLD - S.FUZZY_MARGIN, block: int = 2_000, best: int | None = None) -> DataFrame:
+    """Instruction-mix similarity of every pair that has `least`; common mnemonics leave no index to use, so blocks of rows meet.
+
+    Functions are classed by size (trigrams, in powers of two), and classes that can't reach `least` by their bounds do
+    not meet. Each class is dealt into blocks of about `block` rows; no task gets more than one block of each side.
+    With `best`, pairs beyond so many on both of their sides are left out within each pair of blocks.
+    """
+    left, right = _dealt(a, b, least, block)
+    return left.cogroup(right).applyInArrow(lambda x, y: _block_scores(x, y, least, best), SCORES)
 
 
 def eligible(side: DataFrame, kind: str) -> DataFrame:
@@ -225,6 +308,143 @@ def two_of_each(side: DataFrame, kind: str) -> DataFrame:
     return side.join(kept, ["pair_id", "func_id"], "left_semi")
 
 
+LIST = "pair_id string, a_id bigint, b_id bigint, score double, ra int, rb int"
+
+
+def score_lists(kind: str, a: DataFrame, b: DataFrame, best: int) -> DataFrame:
+    """Scores with their ranks ra and rb in a's and in b's list. Fuzzy lists hold best + 1 rows at most: rank best + 1 says that a list was cut there.
+
+    Anchor and vector lists come from an index, hold all rows, and have no ranks to speak of (1).
+    """
+    scores, _, _ = RUNGS[kind]
+    if kind != "fuzzy":
+        return scores(a, b).withColumns({"ra": F.lit(1), "rb": F.lit(1)})
+    table = stored(fuzzy_scores(a, b, best=best + 1), "fuzzy-blocks")  # a row has best + 1 a block pair at most
+    for own, other, rank in (("a_id", "b_id", "ra"), ("b_id", "a_id", "rb")):
+        table = table.withColumn(rank, F.row_number().over(Window.partitionBy("pair_id", own).orderBy(F.desc("score"), other)))
+    kept = table.where((F.col("ra") <= best + 1) | (F.col("rb") <= best + 1))
+    within = lambda c: F.when(F.col(c) <= best + 1, F.col(c)).alias(c)
+    return kept.select("pair_id", "a_id", "b_id", "score", within("ra"), within("rb"))
+
+
+class Rung:
+    """One feature rung over several rounds: scores are made once, and made again only for functions whose list ran out.
+
+    Functions of the same features are one class with one score. A list that was cut at `best` and of which fewer than two live
+    functions are left says no longer who is best and by how much: its function is scored again, with all that live then.
+    """
+
+    def __init__(self, kind: str, a: DataFrame, b: DataFrame, best: int = 16):
+        self.kind, self.best, self.sides, self.lists = kind, best, (a, b), None
+        self.rescored: list[int] = []  # by round: classes whose scores were made
+
+    def _start(self, left_a: DataFrame, left_b: DataFrame) -> None:
+        sides = []
+        for side, left in zip(self.sides, (left_a, left_b), strict=True):
+            own = eligible(side.join(left, ["pair_id", "func_id"], "left_semi"), self.kind)
+            alike = [F.array_sort(c) if c in ("anchors", "vector") else F.col(c) for c in ALIKE[self.kind]]
+            marks = {"_mark": F.xxhash64(*alike), "_mark2": F.xxhash64(F.lit(2), *alike)}
+            sides.append((own.select("pair_id", "func_id", *ALIKE[self.kind]).withColumns(marks), f"{self.kind}-features"))
+        sides = stored_together(*sides)
+        named = []
+        for own in sides:
+            first = own.groupBy("pair_id", "_mark", "_mark2").agg(F.min("func_id").alias("class"))
+            named.append((own.select("pair_id", "func_id", "_mark", "_mark2").join(first, ["pair_id", "_mark", "_mark2"]).select("pair_id", "func_id", "class"), f"{self.kind}-classes"))
+        self.classes = stored_together(*named)
+        self.features = [own.join(c.where("func_id = class").select("pair_id", "func_id"), ["pair_id", "func_id"], "left_semi") for own, c in zip(sides, self.classes, strict=True)]
+        self.lists = stored(score_lists(self.kind, *self.features, self.best), f"{self.kind}-lists")
+        self.rescored.append(sum(c.where("func_id = class").count() for c in self.classes))
+
+    def _live(self, left_a: DataFrame, left_b: DataFrame) -> list[DataFrame]:
+        """For each side (pair_id, class, low, high): classes with the least and the greatest of their functions that are left."""
+        ends = [F.min("func_id").alias("low"), F.max("func_id").alias("high")]
+        return [c.join(left, ["pair_id", "func_id"], "left_semi").groupBy("pair_id", "class").agg(*ends) for c, left in zip(self.classes, (left_a, left_b), strict=True)]
+
+    def _ran_out(self, own: str, other: str, rank: str, live: DataFrame, live_other: DataFrame) -> DataFrame:
+        """(pair_id, func_id): live classes with a cut list of which fewer than two live functions are left."""
+        rows = self.lists.where(f"{rank} is not null").join(live.select("pair_id", F.col("class").alias(own)), ["pair_id", own], "left_semi")
+        count = F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)
+        rows = rows.join(live_other.withColumnRenamed("class", other), ["pair_id", other], "left").withColumn("_n", F.when(F.col(rank) <= self.best, count).otherwise(0))
+        out = rows.groupBy("pair_id", own).agg(F.sum("_n").alias("_n"), F.max(rank).alias("_last")).where((F.col("_last") > self.best) & (F.col("_n") < 2))
+        return out.select("pair_id", F.col(own).alias("func_id"))
+
+    def round(self, left_a: DataFrame, left_b: DataFrame) -> DataFrame:
+        """New matches (pair_id, a_id, b_id, method, score) among what is left (pair_id, func_id on each side)."""
+        first = self.lists is None
+        if first:
+            self._start(left_a, left_b)
+        a, b = self._live(left_a, left_b)
+        if not first:
+            if self.kind == "fuzzy":
+                a, b = stored_together((a, "live"), (b, "live"))
+            self.rescored.append(self._renew(a, b) if self.kind == "fuzzy" else 0)
+        rows = self.lists.join(a.select("pair_id", F.col("class").alias("a_id"), F.array("low", "high").alias("_a")), ["pair_id", "a_id"])
+        rows = rows.join(b.select("pair_id", F.col("class").alias("b_id"), F.array("low", "high").alias("_b")), ["pair_id", "b_id"])
+        each = lambda c: F.explode(F.array_distinct(c))  # noqa: E731  of functions alike two are enough to show a tie
+        table = stored(rows.select("pair_id", each("_a").alias("a_id"), "_b", "score").select("pair_id", "a_id", each("_b").alias("b_id"), "score"), f"{self.kind}-live-scores")
+        _, threshold, margin = RUNGS[self.kind]
+        return S.reciprocal(table, threshold, margin).select("pair_id", "a_id", "b_id", F.lit(self.kind).alias("method"), "score")
+
+    def _renew(self, live_a: DataFrame, live_b: DataFrame) -> int:
+        """Score classes again whose lists ran out; gives how many those are."""
+        both = [self._ran_out(*x).withColumn("side", F.lit(k)) for k, x in enumerate((("a_id", "b_id", "ra", live_a, live_b), ("b_id", "a_id", "rb", live_b, live_a)))]
+        both = stored(both[0].unionByName(both[1]), "ran-out")
+        sizes = dict(both.groupBy("side").count().collect())
+        gone, n = [both.where(f"side = {k}").drop("side") for k in (0, 1)], [sizes.get(k, 0) for k in (0, 1)]
+        if not sum(n):
+            return 0
+        now = [f.join(x.select("pair_id", F.col("class").alias("func_id")), ["pair_id", "func_id"], "left_semi") for f, x in zip(self.features, (live_a, live_b), strict=True)]
+        dirty = [f.join(x, ["pair_id", "func_id"], "left_semi") for f, x in zip(now, gone, strict=True)]
+        old = self.lists
+        for x, own, rank in zip(gone, ("a_id", "b_id"), ("ra", "rb"), strict=True):
+            mark = x.select("pair_id", F.col("func_id").alias(own), F.lit(True).alias("_gone"))
+            old = old.join(mark, ["pair_id", own], "left").withColumn(rank, F.when(F.col("_gone").isNull(), F.col(rank))).drop("_gone")
+        own = lambda rank: lambda rows: rows.where(f"{rank} is not null").withColumn({"ra": "rb", "rb": "ra"}[rank], F.lit(None).cast("int"))
+        parts = [old.select("pair_id", "a_id", "b_id", "score", "ra", "rb")]
+        if n[0]:
+            parts.append(own("ra")(score_lists(self.kind, dirty[0], now[1], self.best)))
+        if n[1]:
+            parts.append(own("rb")(score_lists(self.kind, now[0], dirty[1], self.best)))
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        once = rows.groupBy("pair_id", "a_id", "b_id").agg(F.max("score").alias("score"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
+        self.lists = stored(once.where("ra is not null or rb is not null"), f"{self.kind}-lists")
+        return sum(n)
+
+
+class Propagation:
+    """Propagation over several rounds: each match that is new adds to what is around its callers and callees, and nothing else is gone through.
+
+    What is around a function is the set of its matched callers' and callees' images, as a count and two 64-bit hashes (xor
+    over the set). Every neighbour is matched once, so rounds add up, and a hub is summed up in parts.
+    """
+
+    def __init__(self, edges_a: DataFrame, edges_b: DataFrame):
+        self.edges, self.around = (edges_a, edges_b), [None, None]
+        self.rescored: list[int] = []  # by round: functions that got neighbours
+
+    def round(self, left_a: DataFrame, left_b: DataFrame, fresh: DataFrame) -> DataFrame:
+        """fresh: the matches that were made since the last round."""
+        tables = []
+        for k, (edges, own, left) in enumerate(zip(self.edges, ("a_id", "b_id"), (left_a, left_b), strict=True)):
+            image = fresh.select("pair_id", F.col(own).alias("n"), F.col("b_id").alias("image"))
+            out = edges.select("pair_id", F.col("src_id").alias("func_id"), F.lit(0).alias("d"), F.col("dst_id").alias("n"))
+            into = edges.select("pair_id", F.col("dst_id").alias("func_id"), F.lit(1).alias("d"), F.col("src_id").alias("n"))
+            rows = out.unionByName(into).join(image, ["pair_id", "n"]).select("pair_id", "func_id", "d", "image").distinct()
+            of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "d", "image"))
+            new = rows.groupBy("pair_id", "func_id").agg(F.count("*").alias("n"), of(1).alias("h1"), of(2).alias("h2"), F.lit(1).alias("fresh"))
+            if self.around[k] is not None:
+                new = self.around[k].withColumn("fresh", F.lit(0)).unionByName(new)
+            whole = new.join(left, ["pair_id", "func_id"], "left_semi").groupBy("pair_id", "func_id")
+            tables.append((whole.agg(F.sum("n").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.max("fresh").alias("fresh")), "around"))
+        self.around = stored_together(*tables)
+        self.rescored.append(sum(x.where("fresh = 1").count() for x in self.around))
+        marks = [unique_on(x, ["n", "h1", "h2"], own) for x, own in zip(self.around, ("a_id", "b_id"), strict=True)]
+        both = marks[0].join(marks[1], ["pair_id", "n", "h1", "h2"])
+        return both.select("pair_id", "a_id", "b_id", F.lit("propagation").alias("method"), F.lit(1.0).alias("score"))
+
+
 def feature_round(left_a: DataFrame, left_b: DataFrame, kind: str) -> DataFrame:
     """Leftovers that are each other's unique best by one feature."""
     scores, threshold, margin = RUNGS[kind]

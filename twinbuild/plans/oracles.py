@@ -70,6 +70,15 @@ _PARTS = """
         d2 AS (SELECT p, a_id, b_id, sum(x.n * y.n) AS d FROM both_ JOIN gram x ON x.program_id = p AND x.func_id = a_id JOIN gram y ON y.program_id = q AND y.func_id = b_id AND x.g = y.g GROUP BY ALL),
         parts AS (SELECT b.*, coalesce(d1.d / (h1.l * h2.l), 0) AS hist_cos, coalesce(d2.d / (g1.l * g2.l), 0) AS gram_cos, g1.l IS NULL OR g2.l IS NULL AS no_order FROM both_ b LEFT JOIN d1 USING (p, a_id, b_id) LEFT JOIN d2 USING (p, a_id, b_id)
           LEFT JOIN n1 h1 ON h1.program_id = p AND h1.func_id = a_id LEFT JOIN n1 h2 ON h2.program_id = q AND h2.func_id = b_id LEFT JOIN n2 g1 ON g1.program_id = p AND g1.func_id = a_id LEFT JOIN n2 g2 ON g2.program_id = q AND g2.func_id = b_id)"""
+# trigram sets and in-degrees of the pairs in parts, and the structural baseline's score of them
+_SETS = """,
+        grams AS (SELECT program_id, func_id, list(g) AS t FROM gram GROUP BY ALL),
+        tset AS (SELECT fn.program_id, fn.func_id, coalesce(g.t, CASE WHEN len(m) > 0 THEN [array_to_string(list_sort(m), ' ')] ELSE [] END) AS t FROM fn LEFT JOIN grams g USING (program_id, func_id)),
+        calls AS (SELECT program_id, dst_id AS func_id, count(DISTINCT src_id) AS n FROM edges GROUP BY ALL),
+        j AS (SELECT parts.*, x.t AS t1, y.t AS t2, len(list_intersect(x.t, y.t)) AS shared, coalesce(i1.n, 0) AS i1, coalesce(i2.n, 0) AS i2 FROM parts JOIN tset x ON x.program_id = p AND x.func_id = a_id JOIN tset y ON y.program_id = q AND y.func_id = b_id
+          LEFT JOIN calls i1 ON i1.program_id = p AND i1.func_id = a_id LEFT JOIN calls i2 ON i2.program_id = q AND i2.func_id = b_id)"""
+_BASELINE = """round(0.40 * hist_cos + 0.30 * CASE WHEN len(t1) + len(t2) = 0 THEN 1 ELSE shared / (len(t1) + len(t2) - shared) END
+          + 0.15 * (1 - abs(b1 - b2) / greatest(b1 + b2, 1)) + 0.10 * (1 - abs(o1 - o2) / greatest(o1 + o2, 1)) + 0.05 * (1 - abs(i1 - i2) / greatest(i1 + i2, 1)), 9)"""
 _SCORE = "CASE WHEN no_order THEN 0.60 * hist_cos ELSE 0.35 * hist_cos + 0.25 * gram_cos END + 0.25 * (1 - abs(b1 - b2) / greatest(b1 + b2, 1)) + 0.15 * (1 - abs(o1 - o2) / greatest(o1 + o2, 1))"
 _INCOMING = """, fi AS (SELECT substr(program_id, 3) AS pair_id, fact_seq, target, CASE WHEN (target - 1) % 11 = 0 THEN 'retype' ELSE kind END AS kind, CASE WHEN (target - 1) % 7 = 0 THEN value || '_2' ELSE value END AS value, CASE WHEN (target - 1) % 14 = 0 THEN 100 ELSE confidence END AS confidence FROM facts),
         ours AS (SELECT substr(program_id, 3) AS pair_id, target, kind, arg_min(value, fact_seq) AS v, arg_min(confidence, fact_seq) AS c FROM facts GROUP BY ALL),
@@ -113,14 +122,12 @@ ORACLES = {
     "pair_vector_cosine": """, x AS (SELECT pair_id, func_id AS a_id, func_id - 1 AS doc, v FROM pa WHERE v IS NOT NULL), y AS (SELECT pair_id, func_id AS b_id, func_id - 1000020 AS doc, v FROM pb WHERE func_id < 2000000000 AND v IS NOT NULL),
         xy AS (SELECT pair_id, a_id, b_id, list_transform(range(128), lambda k: coalesce(list_sum(list_transform(list_filter(x.v, lambda e: e.h = k), lambda e: e.w)), 0)) AS p, list_transform(range(128), lambda k: coalesce(list_sum(list_transform(list_filter(y.v, lambda e: e.h = k), lambda e: e.w)), 0)) AS q FROM x JOIN y USING (pair_id, doc))
         SELECT pair_id, a_id, b_id, round(CASE WHEN list_sum(p) = 0 OR list_sum(q) = 0 THEN 0 ELSE list_cosine_similarity(p::DOUBLE[], q::DOUBLE[]) END, 9) AS cosine FROM xy""",
-    "baseline_similarity": """, both_ AS (SELECT pa.pair_id, pa.program_id AS p, pb.program_id AS q, pa.func_id AS a_id, pb.func_id AS b_id, pa.bb_count AS b1, pb.bb_count AS b2, pa.out_degree AS o1, pb.out_degree AS o2 FROM pa JOIN pb ON pa.pair_id = pb.pair_id AND pb.func_id < 2000000000 AND pa.func_id - 1 = pb.func_id - 1000000),""" + _PARTS + """,
-        grams AS (SELECT program_id, func_id, list(g) AS t FROM gram GROUP BY ALL),
-        tset AS (SELECT fn.program_id, fn.func_id, coalesce(g.t, CASE WHEN len(m) > 0 THEN [array_to_string(list_sort(m), ' ')] ELSE [] END) AS t FROM fn LEFT JOIN grams g USING (program_id, func_id)),
-        calls AS (SELECT program_id, dst_id AS func_id, count(DISTINCT src_id) AS n FROM edges GROUP BY ALL),
-        j AS (SELECT parts.*, x.t AS t1, y.t AS t2, len(list_intersect(x.t, y.t)) AS shared, coalesce(i1.n, 0) AS i1, coalesce(i2.n, 0) AS i2 FROM parts JOIN tset x ON x.program_id = p AND x.func_id = a_id JOIN tset y ON y.program_id = q AND y.func_id = b_id
-          LEFT JOIN calls i1 ON i1.program_id = p AND i1.func_id = a_id LEFT JOIN calls i2 ON i2.program_id = q AND i2.func_id = b_id)
-        SELECT pair_id, a_id, b_id, round(0.40 * hist_cos + 0.30 * CASE WHEN len(t1) + len(t2) = 0 THEN 1 ELSE shared / (len(t1) + len(t2) - shared) END
-          + 0.15 * (1 - abs(b1 - b2) / greatest(b1 + b2, 1)) + 0.10 * (1 - abs(o1 - o2) / greatest(o1 + o2, 1)) + 0.05 * (1 - abs(i1 - i2) / greatest(i1 + i2, 1)), 9) AS similarity FROM j""",
+    "baseline_similarity": """, both_ AS (SELECT pa.pair_id, pa.program_id AS p, pb.program_id AS q, pa.func_id AS a_id, pb.func_id AS b_id, pa.bb_count AS b1, pb.bb_count AS b2, pa.out_degree AS o1, pb.out_degree AS o2 FROM pa JOIN pb ON pa.pair_id = pb.pair_id AND pb.func_id < 2000000000 AND pa.func_id - 1 = pb.func_id - 1000000),""" + _PARTS + """""" + _SETS + """
+        SELECT pair_id, a_id, b_id, """ + _BASELINE + """ AS similarity FROM j""",
+    "baseline_scoreboard": """, both_ AS (SELECT pa.pair_id, pa.program_id AS p, pb.program_id AS q, pa.func_id AS a_id, pb.func_id AS b_id, pa.bb_count AS b1, pb.bb_count AS b2, pa.out_degree AS o1, pb.out_degree AS o2 FROM pa JOIN pb ON pa.pair_id = pb.pair_id AND NOT starts_with(pb.name, '_')),""" + _PARTS + _SETS + """,
+        best AS (SELECT pair_id, a_id, first(b_id ORDER BY similarity DESC, b_id) AS b_id, max(similarity) AS score FROM (SELECT pair_id, a_id, b_id, """ + _BASELINE + """ AS similarity FROM j) GROUP BY ALL HAVING max(similarity) >= 0.55),
+        o AS (SELECT pa.pair_id, CASE WHEN best.b_id IS NULL THEN 'orphan' WHEN pb.name = pa.name THEN 'ok' ELSE 'wrong' END AS o FROM pa LEFT JOIN best ON best.pair_id = pa.pair_id AND best.a_id = pa.func_id LEFT JOIN pb ON pb.pair_id = best.pair_id AND pb.func_id = best.b_id)
+        SELECT pair_id, count_if(o = 'ok') AS ok, count_if(o = 'wrong') AS wrong, count_if(o = 'orphan') AS orphan, round(count_if(o = 'ok') / count(*), 9) AS survival, count_if(o = 'wrong') = 0 AS gate_ok FROM o GROUP BY pair_id""",
     "fuzzy_round": """, both_ AS (SELECT la.pair_id, la.program_id AS p, lb.program_id AS q, la.func_id AS a_id, lb.func_id AS b_id, la.bb_count AS b1, lb.bb_count AS b2, la.out_degree AS o1, lb.out_degree AS o2 FROM la JOIN lb USING (pair_id) WHERE len(la.m) > 0 AND len(lb.m) > 0),""" + _PARTS + f""",
         s AS (SELECT pair_id, a_id, b_id, {_SCORE} AS score FROM parts), """ + _BEST.format(threshold=0.55, margin=0.05),
     "similarity_matrix": """, dense AS (SELECT pair_id, program_id, func_id, list_transform(range(128), lambda k: coalesce(list_sum(list_transform(list_filter(v, lambda e: e.h = k), lambda e: e.w)), 0))::DOUBLE[] AS d FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) WHERE len(v) > 0),
@@ -176,6 +183,16 @@ ORACLES = {
         s AS (SELECT pair_id, xa.func_id AS a_id, xb.func_id AS b_id, count(*) / (any_value(xa.n) + any_value(xb.n) - count(*)) AS score FROM xa JOIN xb USING (pair_id, w) GROUP BY ALL), """ + _BEST.format(threshold=0.5, margin=0.25),
     "vector_round": """, xa AS (SELECT pair_id, func_id, unnest(v) AS e, sqrt(list_sum(list_transform(v, lambda e: e.w * e.w))) AS l FROM la WHERE len(v) >= 4), xb AS (SELECT pair_id, func_id, unnest(v) AS e, sqrt(list_sum(list_transform(v, lambda e: e.w * e.w))) AS l FROM lb WHERE len(v) >= 4),
         s AS (SELECT xa.pair_id, xa.func_id AS a_id, xb.func_id AS b_id, sum(xa.e.w * xb.e.w) / (any_value(xa.l) * any_value(xb.l)) AS score FROM xa JOIN xb ON xa.pair_id = xb.pair_id AND xa.e.h = xb.e.h GROUP BY ALL), """ + _BEST.format(threshold=0.7, margin=0.05),
+    "merge_propagation_round": """, known AS (SELECT * FROM exact WHERE a_id % 3 <> 1),
+        calls AS (SELECT DISTINCT substr(program_id, 3) AS pair_id, program_id[1] AS side, src_id, dst_id FROM edges),
+        ta AS (SELECT c.pair_id, src_id AS a_id, 0 AS d, b_id AS n FROM calls c JOIN known e ON c.pair_id = e.pair_id AND dst_id = a_id WHERE side = 'A' UNION ALL SELECT c.pair_id, dst_id, 1, b_id FROM calls c JOIN known e ON c.pair_id = e.pair_id AND src_id = a_id WHERE side = 'A'),
+        tb AS (SELECT pair_id, src_id AS b_id, 0 AS d, dst_id AS n FROM calls WHERE side = 'B' UNION ALL SELECT pair_id, dst_id, 1, src_id FROM calls WHERE side = 'B'),
+        loops AS (SELECT pair_id, side, src_id AS id FROM calls WHERE src_id = dst_id),
+        agree AS (SELECT pair_id, a_id, b_id, count(*) AS n FROM ta JOIN tb USING (pair_id, d, n) GROUP BY pair_id, a_id, b_id),
+        s AS (SELECT g.pair_id, a_id, b_id, g.n + CASE WHEN x.id IS NOT NULL AND y.id IS NOT NULL THEN 2 ELSE 0 END AS score FROM agree g LEFT JOIN loops x ON x.pair_id = g.pair_id AND x.side = 'A' AND x.id = a_id LEFT JOIN loops y ON y.pair_id = g.pair_id AND y.side = 'B' AND y.id = b_id),
+        there AS (SELECT pair_id, a_id, arg_max(b_id, score) AS b_id, list_sort(list(score), 'DESC') AS l FROM s ANTI JOIN (SELECT pair_id, a_id FROM known) USING (pair_id, a_id) ANTI JOIN (SELECT pair_id, b_id FROM known) USING (pair_id, b_id) GROUP BY ALL),
+        back AS (SELECT pair_id, b_id, arg_max(a_id, score) AS a_id, list_sort(list(score), 'DESC') AS l FROM s GROUP BY ALL)
+        SELECT t.pair_id, t.a_id, t.b_id FROM there t JOIN back k USING (pair_id, a_id, b_id) WHERE t.l[1] >= 2 AND (len(t.l) = 1 OR t.l[1] - t.l[2] >= 1) AND (len(k.l) = 1 OR k.l[1] - k.l[2] >= 1)""",
     "reanchor_exact": "SELECT DISTINCT e.pair_id, a_id, b_id FROM exact e JOIN facts t ON t.program_id = 'A.' || e.pair_id AND t.target = e.a_id",
     "observed_edges": """SELECT 'A.' || b.source AS program_id, user_id AS run_id, b.source || '.f' || b.doc_id AS from_name, CASE WHEN event_type = 'error' THEN 'unknown' ELSE b.source || '.f' || (b.doc_id + 20) END AS to_name, count(*) AS n,
         CASE WHEN event_type = 'error' OR t.func_id IS NULL THEN 'unmatched' WHEN s.src_id IS NOT NULL THEN 'confirmed' ELSE 'added' END AS edge_status

@@ -34,8 +34,7 @@ def _leftovers(spark: SparkSession, sf_dir: str, *features: str):
     model, _ = _both(spark, sf_dir)
     functions = model.functions.withColumn("anchors", anchor_set()) if "anchors" in features else model.functions
     functions = stored(functions.select("program_id", "func_id", "func_seq", "name", *SIGNATURE, *features), "functions")
-    programs = functions.select("program_id").distinct().select("program_id", F.col("program_id").alias("name"), F.lit("text").alias("language"))
-    model = model.with_(programs=stored(programs, "programs"), functions=functions, call_edges=stored(model.call_edges, "edges"))
+    model = model.with_(programs=stored(model.programs, "programs"), functions=functions, call_edges=stored(model.call_edges, "edges"))
     pairs = tables.pairs(model)
     sides = [functions.join(pairs.select("pair_id", F.col(p).alias("program_id")), "program_id").drop("program_id") for p in ("prog_a", "prog_b")]
     found = stored(matching.match_exact(*sides), "exact")
@@ -307,6 +306,15 @@ def reanchored_facts(spark, sf_dir):
     return merge.reanchor_facts(*_both(spark, sf_dir))[0]
 
 
+@query
+def merge_propagation_round(spark, sf_dir):
+    """Of every three exact matches two are taken as known; one round of scored propagation looks for the rest of the functions."""
+    model, pairs, found, *_ = _leftovers(spark, sf_dir)
+    targets = model.functions.join(pairs.withColumnRenamed("prog_a", "program_id"), "program_id").select("pair_id", "func_id")
+    edges_a, edges_b = (stored(matching.edges_of(model, pairs, p), "edges") for p in ("prog_a", "prog_b"))
+    return merge.propagate_scored(targets, edges_a, edges_b, found.where("a_id % 3 <> 1")).select("pair_id", "a_id", "b_id")
+
+
 @query
 def merge_report(spark, sf_dir):
     return merge.merge_facts(*_both(spark, sf_dir))[1]
@@ -394,6 +402,17 @@ def survival_scoreboard(spark, sf_dir):
     return evaluate.score_reanchoring(model, pairs, model.functions.select("name").distinct())
 
 
+@query
+def baseline_scoreboard(spark, sf_dir):
+    """How many functions keep their name by the structural baseline, which takes the best match and asks for no margin."""
+    model, pairs = _both(spark, sf_dir)
+    functions = stored(model.functions.drop("vector", "string_refs", "imports", "callee_names"), "functions")
+    model = model.with_(functions=functions, call_edges=stored(model.call_edges, "edges"))
+    names = functions.where("program_id like 'A.%'").select("name").distinct()
+    scores = evaluate.score_matches(model, pairs, names, evaluate.baseline_reanchor(model, pairs, names))
+    return scores.select("pair_id", "ok", "wrong", "orphan", F.round("survival", 9).alias("survival"), "gate_ok")
+
+
 @query
 def similarity_matrix(spark, sf_dir):
     model, pairs = _both(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Several tables that do not need each other, written at the same time."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda t: stored(*t), tables))
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, when nothing reads them any more."""
     for path in _made.pop(spark.sparkContext.applicationId, []):

@@ -47,8 +47,8 @@ def _edges(docs: DataFrame) -> DataFrame:
     return following.unionByName(first).unionByName(itself).distinct()
 
 
-def _finished(rows: DataFrame, edges: DataFrame, build: str) -> Model:
-    """rows: func_id, source, name, addr, size, bb_count, ordered, string_refs, imports, vector; edges by func_id."""
+def _finished(rows: DataFrame, edges: DataFrame, build: str, sources: DataFrame) -> Model:
+    """rows: func_id, source, name, addr, size, bb_count, ordered, string_refs, imports, vector; edges by func_id; sources that have rows."""
     program = F.concat(F.lit(f"{build}."), F.col("source")).alias("program_id")
     calls = edges.select(program, F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.col("dst").alias("edge_seq"))
     degree = calls.groupBy("program_id", F.col("src_id").alias("func_id")).agg(F.count("*").cast("int").alias("out_degree"))
@@ -59,7 +59,7 @@ def _finished(rows: DataFrame, edges: DataFrame, build: str) -> Model:
         "string_refs", "imports", F.array().cast("array<string>").alias("callee_names"), "vector",
     )
     spark = rows.sparkSession
-    programs = functions.select("program_id").distinct().select("program_id", F.col("program_id").alias("name"), F.lit("text").alias("language"))
+    programs = sources.select("source").distinct().select(program).select("program_id", F.col("program_id").alias("name"), F.lit("text").alias("language"))
     return Model(programs, functions, calls, empty(spark, "facts"), empty(spark, "edge_provenance"))
 
 
@@ -69,7 +69,7 @@ def build_a(spark: SparkSession, sf_dir: str) -> Model:
         (F.col("doc_id") + 1).alias("func_id"), "source", F.concat("source", F.lit(".f"), F.col("doc_id")).alias("name"), (4096 + 16 * F.col("doc_id")).alias("addr"), "size", "bb_count", "ordered", "string_refs", "imports", "vector",
     )
     edges = _edges(docs).select("source", (F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"))
-    model = _finished(rows, edges, "A")
+    model = _finished(rows, edges, "A", docs)
     labels = _table(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id")
     third = F.col("doc_id") % 3
     producer = F.when(third == 0, "user").otherwise("engine").alias("producer")
@@ -89,7 +89,8 @@ def build_b(spark: SparkSession, sf_dir: str) -> Model:
     calls gone; 11 mnemonics reversed, anchors, vector and calls gone; 13 renamed; 17 changed in every way. By
     doc_id % 50: 1 also adds a function. Every function has a new id.
     """
-    docs = _documents(spark, sf_dir).join(_vectors(spark, sf_dir), "doc_id", "left").withColumn("r", F.col("doc_id") % 20)
+    plain = _documents(spark, sf_dir)
+    docs = plain.join(_vectors(spark, sf_dir), "doc_id", "left").withColumn("r", F.col("doc_id") % 20)
     r, none = F.col("r"), F.array().cast("array<string>")
     n = F.size("ordered")
     ordered = (
@@ -109,7 +110,7 @@ def build_b(spark: SparkSession, sf_dir: str) -> Model:
     )
     kept = F.when((F.col("src") % 20).isin(9, 11, 17), False).when(F.col("src") % 20 == 7, F.col("src") == F.col("dst")).otherwise(True)
     edges = _edges(docs).where(kept & (F.col("src") % 20 != 3) & (F.col("dst") % 20 != 3)).select("source", (F.col("src") + SHIFT).alias("src"), (F.col("dst") + SHIFT).alias("dst"))
-    return _finished(rows.unionByName(added), edges, "B")
+    return _finished(rows.unionByName(added), edges, "B", plain.where("doc_id % 20 <> 3 or doc_id % 50 = 1"))
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> Model:
