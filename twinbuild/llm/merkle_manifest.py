@@ -250,7 +250,7 @@ def verified_with(docs: DataFrame, claimed: Column | None = None, levels: int =
     return verified(*manifest(docs, claimed=claimed, levels=levels), levels=levels)
 
 
-_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
 # the query op12 over documents; crc32 goes byte by byte and bit by bit, since there is no such function
 ORACLE = f"""
