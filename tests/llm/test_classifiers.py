@@ -158,3 +158,24 @@ def test_ids_that_repeat_and_names_that_clash(spark):
     first = quality_classifier.fit_quality(docs, labels)
     again = quality_classifier.fit_quality(docs.orderBy(F.rand(3)).repartition(7), labels)
     assert np.array_equal(first.linear, again.linear) and np.array_equal(first.factors, again.factors)
+
+
+def test_samples_hold_repeated_rows_by_their_share(spark):
+    from twinbuild.llm.common import hash_sample
+
+    many = spark.range(150_300).select(F.when(F.col("id") < 150_000, F.lit(0)).otherwise(F.col("id")).alias("x"), F.lit("a").alias("y"))
+    for parts in (3, 17):
+        got = [r["x"] for r in hash_sample(many.repartition(parts), 25_600, "x", "y").collect()]
+        assert len(got) == 25_600 and 25_450 < got.count(0) < 25_600
+        again = sorted(got) if parts == 3 else again
+        assert sorted(got) == again
+    three = spark.range(60_000).select((F.col("id") % 3).alias("x"))
+    got = [r["x"] for r in hash_sample(three, 1_000, "x").collect()]
+    assert len(got) == 1_000 and all(300 < got.count(k) < 370 for k in range(3))
+    assert hash_sample(three, 60_000, "x").count() == 60_000 and hash_sample(three.limit(0), 5, "x").count() == 0
+
+
+def test_forest_sees_rows_that_repeat(spark):
+    stats = spark.range(30_000).select(F.lit(1).alias("doc_id"), *((F.lit(100) if c == "n_words" else F.when(F.col("id") < 29_900, F.lit(7)).otherwise(F.col("id"))).cast("long").alias(c) for c in (*COUNTS, *rules.EXTRA)))
+    forest = rules.fit_forest(stats, trees=10, tree_rows=256)
+    assert forest is not None and forest.tree_rows == 256

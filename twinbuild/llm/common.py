@@ -89,12 +89,21 @@ def slices(batches, *columns: str, rows: int = 512) -> Iterator[list[list]]:
 
 
 def hash_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
-    """`size` rows of a table, those with the least hash of `by`: the same ones wherever the rows lie.
+    """`size` rows of a table (all, if it has no more), the same ones wherever the rows lie; `by` are columns that tell rows apart.
 
-    Rows far above the hash that so many rows reach are left out first, so that no task hands over `size` rows.
+    Equal rows are counted first, and a row that stands m times is drawn floor(m p + u) times, where p is the share that is wanted and
+    u, from 0 to 1, a hash of the row. So a row that repeats gets its share, not all or none, and no task hands over more rows than are drawn.
     """
     n = rows.count()
-    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(*by), F.lit(1_000_000_007)))
-    if n > 4 * size:
-        hashed = hashed.where(F.col("_hash") < int(1_000_000_007 * (2 * size + 1_000) / n))
-    return hashed.orderBy("_hash", *by).limit(size).drop("_hash")
+    if n <= size:
+        return rows
+    counted = rows.groupBy(*(F.col(c) for c in rows.columns)).agg(F.count("*").alias("_m"))
+    share = min(1.0, (size + 6 * size**0.5 + 10) / n)  # some more than are needed: so many that hardly ever too few are drawn
+    uniform = F.pmod(F.xxhash64(F.lit(7), *by), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    while True:
+        times = counted.withColumn("_k", F.floor(F.col("_m") * F.lit(share) + uniform))
+        drawn = times.where("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_k", "_m"))))
+        if share >= 1.0 or drawn.count() >= size:
+            break
+        share = min(1.0, 2 * share)
+    return drawn.withColumn("_hash", F.xxhash64(*by, "_k")).orderBy("_hash", *by).limit(size).select(*rows.columns)
