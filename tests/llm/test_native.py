@@ -6,11 +6,21 @@ from twinbuild.llm.decontamination import contaminated, without_leaks
 from twinbuild.llm.url_filter import url_verdicts, validity
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
 def shingles(text):
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    w = words_of(text)
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def shared(text, item):
+    """The item's shingles that a text holds: windows of five words, or of the item's own length where that is less."""
+    w, n = words_of(text), min(len(words_of(item)), 5)
+    return shingles(item) & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(1)
     word = lambda: f"w{rng.randint(0, 300)}"
@@ -26,7 +36,7 @@ def test_leaks_against_brute_force(spark):
             words[at:at] = piece
         docs.append((k, ("  ".join(words)).upper() if k % 2 else ", ".join(words)))
     docs.append((200, items[0][1]))
-    want = {(d, i): len(shingles(t) & shingles(x)) for d, t in docs for i, x in items if shingles(x) and 5 * len(shingles(t) & shingles(x)) >= 4 * len(shingles(x))}
+    want = {(d, i): len(shared(t, x)) for d, t in docs for i, x in items if shingles(x) and 5 * len(shared(t, x)) >= 4 * len(shingles(x))}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for few in (100_000, 0):
         assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in contaminated(d, b, broadcast_items=few).collect()} == want
@@ -82,3 +92,27 @@ def test_verdict_cases(spark):
     got = [(r["page_id"], r["kept"], r["n_active"]) for r in url_verdicts(c, e).collect()]
     assert sorted(got, key=str) == sorted([(1, True, 0), (2, True, 0), (3, True, 0), (4, True, 0), (None, False, 1), (5, False, 1), (5, False, 1)], key=str)
     assert all(r["kept"] for r in url_verdicts(c, e.limit(0)).collect()) and url_verdicts(c.limit(0), e).collect() == [] and validity(e).count() == 1
+
+
+def test_short_items_inside_documents(spark):
+    """Items of one to four words are found wherever they stand, against a search through every document."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choice("abcdefgh") + rng.choice(["", ",", ". "]) for _ in range(rng.choice([0, 1, 2, 4, 30])))) for k in range(40)] + [(40, "well, What is two plus? yes"), (41, None)]
+    items = [(1, "What is two plus"), (2, "a b"), (3, "c"), (4, "h g f"), (5, "zebra"), (6, "two  plus"), (7, ""), (8, "a b c d e f g")]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = set()
+    for d, t in texts:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            n = min(len(v), 5)
+            windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+            own = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if v else set()
+            if own and 100 * len(own & windows) >= 80 * len(own):
+                want.add((d, i))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    assert found == want and (40, 1) in want and len(want) > 20

@@ -1,9 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
 All of it is DataFrame expressions. A text's words are its runs of letters, digits and characters beyond
-ASCII, in lower case for A-Z; its set holds the distinct shingles of `width` words, or its whole sequence as
-one shingle where it is shorter (so an item of two words is found only where it is all of a document: else
-every document with that pair of words would go).
+ASCII, in lower case for A-Z. An item's set holds its distinct shingles of `width` words, or its whole sequence as
+one shingle where it is shorter; a document's holds its windows of `width` words, and of the lengths of such
+short items as there are. So an item of two words is found in every document in which they stand side by side.
 
 Short items in long documents share few of the documents' shingles, so the search is asymmetric: an
 item's sketch holds the shingles that are least under each of `hashes` hash functions, and a document is a
@@ -41,11 +41,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, GAPS), lambda w: w != "")
 
 
-def shingles_of(words: Column, width: int) -> Column:
+def windows_of(words: Column, length: int) -> Column:
+    """Every window of so many words, as a text; none where there are fewer."""
+    at = F.sequence(F.lit(1), F.size(words) - (length - 1))
+    joined = F.transform(at, lambda k: F.concat_ws(" ", *(F.element_at(words, k + j) for j in range(length))))
+    return F.when(F.size(words) >= length, joined).otherwise(F.array().cast("array<string>"))
+
+
+def item_shingles(words: Column, width: int) -> Column:
     """Distinct shingles; the whole sequence where it is shorter than one."""
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda at: F.concat_ws(" ", *(F.element_at(words, at + k) for k in range(width))))
-    return F.when(n >= width, F.array_distinct(windows)).when(n > 0, F.array(F.concat_ws(" ", words))).otherwise(F.array().cast("array<string>"))
+    short = F.when(F.size(words) > 0, F.array(F.concat_ws(" ", words))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) >= width, F.array_distinct(windows_of(words, width))).otherwise(short)
 
 
 def item_sketches(items: DataFrame, hashes: int, common_items: int = 1000, threshold: float = 0.8) -> DataFrame:
@@ -68,7 +74,8 @@ def item_sketches(items: DataFrame, hashes: int, common_items: int = 1000, thres
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, hashes: int = 12, broadcast_items: int = 100_000, broadcast_bytes: int = 64 << 20, common_items: int = 1000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every item of which a document holds enough."""
     texts = benchmark.where("item_id is not null").select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("words")).distinct()
-    items = stored(texts.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("words").alias("n_words"), shingles_of(F.col("words"), width).alias("shingles")).where("n_words > 0"), "items")
+    items = stored(texts.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("words").alias("n_words"), item_shingles(F.col("words"), width).alias("shingles")).where("n_words > 0"), "items")
+    lengths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(width))).distinct().collect()) or [width]  # width numbers at most
     size = items.agg(F.count("*").alias("items"), F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 40)).alias("bytes")).first()  # of all shingles, as rows
     side = F.broadcast if size["items"] <= broadcast_items and (size["bytes"] or 0) <= broadcast_bytes else (lambda x: x)
     percent = round(threshold * 100)
@@ -80,14 +87,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
     # words go through explode: they are then made once a row, not again for every window
     words = docs.where("doc_id is not null").select("doc_id", F.explode(F.array(words_of(F.col(text)))).alias("words"))
     n = F.size("words")
-    hashed = F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda at: F.xxhash64(F.concat_ws(" ", *(F.element_at("words", at + k) for k in range(width)))))).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", "words"))))
-    probed = words.select("doc_id", F.greatest(n - (width - 1), F.lit(1)).alias("n_doc"), F.explode(hashed).alias("key"))
+    keys = F.concat(*(F.transform(windows_of(F.col("words"), k), lambda w: F.xxhash64(w)) for k in lengths))
+    probed = words.select("doc_id", F.greatest(n - (width - 1), F.lit(1)).alias("n_doc"), F.explode(keys).alias("key"))
     hits = probed.join(side(probes), "key").where("n_doc >= least_doc").select("doc_id", "key").distinct()
     candidates = stored(hits.join(side(sketches.select("key", "item")), "key").select("doc_id", "item").distinct(), "candidates")
 
     ids = candidates.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
-    shingles = words.join(ids, "doc_id", "left_semi").select("doc_id", F.explode(shingles_of(F.col("words"), width)).alias("shingle"))
+    shingles = words.join(ids, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(F.concat(*(windows_of(F.col("words"), k) for k in lengths)))).alias("shingle"))
     wanted = items.select(F.explode("shingles").alias("shingle")).distinct()
     held = shingles.join(side(wanted), "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("held"))  # those of one document
     both = candidates.join(held, "doc_id").join(side(items), "item")
@@ -108,7 +115,8 @@ ORACLE = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 i AS (SELECT row_number() OVER () AS item, item_id, w FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS l FROM i),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + l - 1], ' ') AS s FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, lengths WHERE len(w) >= l)),
 bs AS (SELECT DISTINCT item, item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item, item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i)),
 sizes AS (SELECT item, count(*) AS n_item FROM bs GROUP BY item),
 shared AS (SELECT doc_id, item, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item, item_id)
