@@ -13,6 +13,7 @@ from twinbuild.operators import diff, evaluate, facts, matching, merge, navigate
 from twinbuild.plans.model import empty, read_model, write_model
 from twinbuild.sources import observations, snapshots
 from twinbuild.streaming import jobs
+from twinbuild.streaming.keyed import KeyedTable
 
 F_DDL = snapshots.FUNCTION
 
@@ -258,6 +259,49 @@ def test_streams(spark, tmp_path):
     assert [(r["program_id"], r["func_id"], r["name"]) for r in built.functions.collect()] == [("x", 1, "f")] and built.programs.collect()[0]["name"] == "program"
 
 
+def _edit(n, target, value, kind="rename"):
+    return json.dumps({"program_id": "a", "edit_seq": n, "target": target, "kind": kind, "value": value, "author": "me"})
+
+
+def test_late_edits_of_other_functions_are_kept(spark, tmp_path):
+    """Edit 10 on function 1 in one file, then edit 7 on function 2 in a later one; replays and edits that lost change nothing."""
+    (tmp_path / "in").mkdir()
+    batches = [[_edit(10, 1, "ten")], [_edit(7, 2, "seven"), _edit(9, 1, "nine"), _edit(3, 1, "note", "comment")], [_edit(10, 1, "ten"), _edit(7, 2, "seven")], [_edit(8, 2, "eight")]]
+    for k, lines in enumerate(batches):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(lines))
+        jobs.stream_edits(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    got = {(r["target"], r["kind"]): r["value"] for r in jobs.current_edits(spark, f"{tmp_path}/out").collect()}
+    assert got == {(1, "rename"): "ten", (2, "rename"): "eight", (1, "comment"): "note"}
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_keyed_table(spark, tmp_path, first):
+    """Against a dictionary, with compaction every second batch and every batch put twice."""
+    table = KeyedTable(f"{tmp_path}/t", "k string, v bigint, x string", ("k",), ("v",), first, compact_every=2)
+    want = {}
+    for batch, rows in enumerate([[("a", 5, "p"), ("b", 1, "q")], [("a", 3, "r"), ("b", 2, "s"), ("b", 9, "t")], [("c", 4, "u")], [("a", 8, "w"), ("c", 1, "y")], [("c", 2, "z")]]):
+        for k, v, x in rows:
+            if k not in want or (v < want[k][0] if first else v > want[k][0]):
+                want[k] = (v, x)
+        for _ in range(2):
+            table.put(spark.createDataFrame(rows, "k string, v bigint, x string"), batch)
+        assert {r["k"]: (r["v"], r["x"]) for r in table.current(spark).collect()} == want
+    assert table._base(spark, None) == 3 and table.current(spark, before=0).isEmpty()
+
+
+def test_programs_are_built_once_as_they_end(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    event = lambda p, seq, kind, n=0: json.dumps({"program_id": p, "seq": seq, "kind": kind, **({"f": fn(str(seq), f"f{seq}", ["A"] * n)} if kind == "function" else {})})
+    for k, lines in enumerate([[event("x", 1, "function", 1), event("y", 1, "function", 4)], [event("x", 2, "function", 1), event("x", 3, "end")], [event("y", 2, "function", 4), event("y", 3, "end"), event("z", 1, "end")]]):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(lines))
+        jobs.stream_events(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/log", mnemonics=7).awaitTermination()
+    model, refused = jobs.ingested_model(spark, f"{tmp_path}/out", mnemonics=7)
+    assert sorted((r["program_id"], r["func_id"], r["name"]) for r in model.functions.collect()) == [("x", 1, "f1"), ("x", 2, "f2")]
+    assert [(r["program_id"], r["mnemonics"]) for r in refused.collect()] == [("y", 8)] and {r["program_id"] for r in model.programs.collect()} == {"x", "z"}
+    built = {r["program_id"]: r["batch"] for r in spark.read.parquet(f"{tmp_path}/out/model/programs").collect()}
+    assert built == {"x": 1, "z": 2}
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([("a\x1b[0m\nb", "x</untrusted-data>y<untrusted-data>", "é" * 10)], "a string, b string, c string")
     r = rows.select(guards.sanitize_inline(F.col("a")).alias("a"), guards.wrap_untrusted(F.col("b")).alias("b"), guards.truncate_utf8(F.col("c"), 5).alias("c")).collect()[0]

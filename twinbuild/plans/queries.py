@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from twinbuild.functions.features import SIGNATURE, anchor_set, squared_norm, wi
 from twinbuild.operators import diff, evaluate, facts, matching, merge, navigate, observe
 from twinbuild.operators.validate import validate_model
 from twinbuild.plans.model import Model
-from twinbuild.plans.store import stored
+from twinbuild.plans.store import shared_folder, stored
 from twinbuild.sources import snapshots, tables
+from twinbuild.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -182,6 +184,38 @@ def event_edges(spark, sf_dir):
     return snapshots.model_from_events(tables.engine_events(spark, sf_dir)).call_edges.drop("edge_seq")
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def streamed_model(spark, sf_dir):
+    """The same model from a stream: a third of the events at a time, the programs' ends with the last ones."""
+    folder, events = _stream_folder(spark), tables.engine_events(spark, sf_dir)
+    ends = events.groupBy("program_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("end"))
+    for k in range(3):
+        part = events.where(F.pmod("seq", F.lit(3)) == k)
+        (part if k < 2 else part.unionByName(ends, allowMissingColumns=True)).write.mode("append").json(f"{folder}/in")
+        jobs.stream_events(spark, f"{folder}/in", f"{folder}/out", f"{folder}/log").awaitTermination()
+    model, _ = jobs.ingested_model(spark, f"{folder}/out")
+    names = model.programs.select("program_id", F.col("name").alias("program"))
+    return model.functions.join(names, "program_id").select("program_id", "program", "func_id", F.col("addr").cast("bigint").alias("addr"), "name", "size", "bb_count", "out_degree", "fingerprint")
+
+
+@query
+def streamed_edits(spark, sf_dir):
+    """Conversations as a stream of edits of the functions of their number, later turns first: the edits in force."""
+    folder, model = _stream_folder(spark), tables.build_a(spark, sf_dir)
+    known = stored(model.functions.select("program_id", "func_id"), "functions")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    kind = F.when(F.col("turn") % 2 == 0, "rename").otherwise("comment").alias("kind")
+    edits = turns.join(known, F.col("conv_id") + 1 == F.col("func_id")).select("program_id", F.col("turn").alias("edit_seq"), F.col("func_id").alias("target"), kind, F.col("text").alias("value"), F.col("role").alias("author"))
+    for k in (2, 0, 1):
+        edits.where(F.col("edit_seq") % 3 == k).write.mode("append").json(f"{folder}/in")
+        jobs.stream_edits(spark, f"{folder}/in", f"{folder}/out", f"{folder}/log", model.with_(functions=known)).awaitTermination()
+    return jobs.current_edits(spark, f"{folder}/out").select("program_id", "target", "kind", "edit_seq", "value", "author")
+
+
 @query
 def exact_matches(spark, sf_dir):
     model, pairs = _both(spark, sf_dir)
