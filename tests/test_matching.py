@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinbuild.functions import features, similarity
-from twinbuild.operators import diff, evaluate, matching, merge
+from twinbuild.operators import diff, evaluate, matching, merge, navigate
 from twinbuild.plans.model import Model, empty
 from twinbuild.plans.store import stored
 
@@ -194,3 +194,31 @@ def test_bit_maps():
     assert n.tolist() == [len(s) for s in sets[0]] and m.tolist() == [len(s) for s in sets[1]]
     for i, s in enumerate(sets[0]):
         assert np.bitwise_count(y & x[i]).sum(1).tolist() == [len(set(s) & set(t)) for t in sets[1]]
+
+
+def test_best_two_vectors_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = lambda first: [("p", first + k, None if k == 7 else [(int(h), float(w)) for h, w in zip(rng.permutation(9)[:4], rng.integers(0, 3, 4), strict=True)]) for k in range(40)]
+    a, b = (spark.createDataFrame(rows(first), "pair_id string, func_id bigint, vector array<struct<hash:bigint,weight:double>>") for first in (0, 1000))
+    pairs = a.where("vector is not null").select(F.col("func_id").alias("a"), F.col("vector").alias("x")).join(b.where("vector is not null").select(F.col("func_id").alias("b"), F.col("vector").alias("y")), F.lit(True))
+    scores = {(r["a"], r["b"]): r["s"] for r in pairs.select("a", "b", F.round(similarity.vector_cosine(F.col("x"), F.col("y")), 9).alias("s")).collect() if r["s"] > 0}
+    best = lambda k: {i: sorted((-s, p[1 - k]) for p, s in scores.items() if p[k] == i) for i in {p[k] for p in scores}}
+    rows_a, rows_b = best(0), best(1)
+    want = {i: (x[0][1], -x[0][0], rows_b[x[0][1]][0][1] == i) for i, x in rows_a.items()}
+    clear = lambda x: len(x) == 1 or x[1][0] - x[0][0] >= similarity.VECTOR_MARGIN
+    gated = {i for i, x in rows_a.items() if -x[0][0] >= similarity.VECTOR_THRESHOLD and clear(x) and clear(rows_b[x[0][1]]) and rows_b[x[0][1]][0][1] == i}
+    for block in (6, 1000):
+        got = evaluate.similarity_matrix(a, b, block).collect()
+        assert {r["a_id"]: (r["b_id"], round(r["score"], 9), r["mutual"]) for r in got} == want
+        assert {r["a_id"] for r in got if r["outcome"] == "matched"} == gated
+
+
+def test_places_in_a_large_program(spark):
+    """One program with most of the rows, spread over partitions; places are those of a sort."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("p"), (F.col("id") % 7).cast("string"))).otherwise("big").alias("g"), (F.col("id") * 7919 % 20_011).alias("v"))
+    got = navigate.numbered(rows, "g", ("v",), "place")
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["g"], []).append((r["place"], r["v"]))
+    assert all([p for p, _ in sorted(x)] == list(range(len(x))) and sorted(x) == sorted(x, key=lambda e: e[1]) for x in by.values()) and len(by["big"]) == 18_000
+    assert navigate.numbered(rows.limit(0), "g", ("v",), "place").collect() == []

@@ -83,13 +83,31 @@ def annotated_views(model: Model, zoom: str = "domain") -> DataFrame:
     return function_views(model, zoom).join(first_fact(model, "comment", "comment"), KEY, "left").join(first_fact(model, "retype", "user_type"), KEY, "left")
 
 
+_ROW = (1 << 33) - 1  # of monotonically_increasing_id: the row within its partition
+
+
+def numbered(rows: DataFrame, group: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """rows with their place (from 0) in their group by `order`, which tells the rows of a group apart.
+
+    A range partition of all rows is stored; rows per partition and group, added up, say where each partition's part of a
+    group begins. So a group is spread over as many tasks as it fills, and no window sorts it in one.
+    """
+    table = stored(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(_ROW))
+    sizes = table.groupBy(group, part).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")  # as many rows as a group has partitions
+    skip = stored(sizes.select(group, "_part", (before - F.col("_first")).alias("_skip")), "number-offsets")
+    placed = table.withColumn("_part", part).join(skip, [group, "_part"])
+    return placed.withColumn(name, row + F.col("_skip")).drop("_at", "_part", "_skip")
+
+
 def listing(model: Model) -> DataFrame:
     """(program_id, line, func_id, addr, name, text): functions by address and name, lines from 0."""
     names = model.functions.select(*KEY, "addr").join(display_names(model).select(*KEY, F.col("display_name").alias("name")), KEY)
-    line = F.row_number().over(Window.partitionBy("program_id").orderBy("addr", "name", "func_id")) - 1
+    names = numbered(names, "program_id", ("addr", "name", "func_id"), "line")
     digits = F.lower(F.conv(F.col("addr").cast("string"), 10, 16))
     padded = F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)
-    return names.select("program_id", line.alias("line"), "func_id", "addr", "name", F.concat(F.lit("0x"), padded, F.lit("  "), "name").alias("text"))
+    return names.select("program_id", "line", "func_id", "addr", "name", F.concat(F.lit("0x"), padded, F.lit("  "), "name").alias("text"))
 
 
 def references(model: Model, ids: DataFrame | None = None) -> DataFrame:
