@@ -81,3 +81,16 @@ def test_defined_cases(odd, nothing):
     got = license_digest(scan_licenses(odd)).collect()
     assert len(got) == odd.count() and all(r["labels"] == "" and r["score"] == 0 for r in got)
     assert license_digest(scan_licenses(nothing)).collect() == []
+
+
+def test_many_notices_take_linear_time():
+    """Each is found, and twice as many take about twice as long."""
+    import time
+
+    index, seconds = build_index({}, 0), []
+    for n in (2_000, 8_000):
+        began = time.time()
+        got = matches(index, words_of(b"Released under the MIT License. " * n))
+        seconds.append(time.time() - began)
+        assert sum(label == "mit" for label, *_ in got) >= n
+    assert seconds[1] < 10 * seconds[0] + 0.5

@@ -140,8 +140,11 @@ def matches(index: Index, words: list[bytes], share: float = 0.7, agree: float =
             stretch = words[max(start, 0) : max(start + len(own) + slack(len(own)), 0)]
             if score >= share and all(places(stretch, p) for p in phrases):
                 verified.append((start, score))
+        taken: list[int] = []  # starts, in order: only the neighbours of a place can be too near
         for start, score in sorted(verified, key=lambda x: (-x[1], x[0])):
-            if all(2 * abs(start - other) >= len(own) for kk, other, _ in found if kk == k):
+            at = bisect_left(taken, start)
+            if all(2 * abs(start - other) >= len(own) for other in taken[max(at - 1, 0) : at + 1]):
+                taken.insert(at, start)
                 found.append((k, start, score))
     return [(index.templates[k][0], max(start, 0), len(index.templates[k][1]), score) for k, start, score in sorted(found)]
 
