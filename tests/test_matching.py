@@ -222,3 +222,43 @@ def test_places_in_a_large_program(spark):
         by.setdefault(r["g"], []).append((r["place"], r["v"]))
     assert all([p for p, _ in sorted(x)] == list(range(len(x))) and sorted(x) == sorted(x, key=lambda e: e[1]) for x in by.values()) and len(by["big"]) == 18_000
     assert navigate.numbered(rows.limit(0), "g", ("v",), "place").collect() == []
+
+
+def peeled(n, edges):
+    """Depths by taking off, level by level, what no remaining function calls."""
+    callers = {v: {s for s, d in edges if d == v and s != v} for v in range(n)}
+    depth, left, level = {}, set(range(n)), 0
+    while free := {v for v in left if not callers[v] & left}:
+        depth |= dict.fromkeys(free, level)
+        left -= free
+        level += 1
+    return {v: (depth.get(v), v in left) for v in range(n)}
+
+
+def graph(spark, graphs):
+    """A model with one program for each list of calls."""
+    functions = spark.createDataFrame([(p, k) for p, (n, _) in graphs.items() for k in range(n)], "program_id string, func_id bigint")
+    edges = spark.createDataFrame([(p, s, d, 0) for p, (_, calls) in graphs.items() for s, d in calls], "program_id string, src_id bigint, dst_id bigint, edge_seq bigint")
+    return Model(None, functions, edges, None, None)
+
+
+def test_depths_equal_peeling(spark):
+    rng = random.Random(9)
+    graphs = {"ring": (4, [(0, 1), (1, 2), (2, 0), (2, 3)]), "two": (3, [(0, 1), (0, 2), (1, 2)]), "alone": (2, [(0, 0)]), "tail": (5, [(0, 1), (1, 0), (1, 2), (2, 3), (4, 3)])}
+    for k in range(25):
+        n = rng.randrange(2, 14)
+        calls = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))]
+        graphs[f"g{k}"] = (n, [(min(e), max(e)) for e in calls] if k % 2 else calls)
+    got = {}
+    for r in navigate.call_depth(graph(spark, graphs)).collect():
+        got.setdefault(r["program_id"], {})[r["func_id"]] = (r["depth"], r["cyclic"])
+    assert got == {p: peeled(n, calls) for p, (n, calls) in graphs.items()}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, written = 100_000, []
+    monkeypatch.setattr(navigate, "stored", lambda df, name: written.append(name) or stored(df, name))
+    ids = spark.range(n).select(F.lit("p").alias("program_id"), F.col("id").alias("func_id"))
+    calls = ids.where(F.col("func_id") < n - 1).select("program_id", F.col("func_id").alias("src_id"), (F.col("func_id") + 1).alias("dst_id"), F.lit(0).cast("long").alias("edge_seq"))
+    rows = navigate.call_depth(Model(None, ids, calls, None, None))
+    assert rows.where("depth = func_id and not cyclic").count() == n and len(written) < 40

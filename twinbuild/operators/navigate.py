@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbuild.plans.model import Model
-from twinbuild.plans.store import stored
+from twinbuild.plans.store import stored, stored_together
 
 ZOOMS = ("intent", "domain", "detail")
 KEY = ["program_id", "func_id"]
@@ -130,27 +130,81 @@ def neighbourhood(model: Model, ids: DataFrame) -> DataFrame:
     return near.unionByName(into).distinct().join(of("src"), ["program_id", "src_id"]).join(of("dst"), ["program_id", "dst_id"])
 
 
+ENDLESS = 1 << 50  # the depth of what is on a cycle or behind one; any path added to it stays beyond half of it
+
+
+def _jumped(hung: DataFrame) -> DataFrame:
+    """hung (program_id, id, p, floor, w), where depth(id) = max(floor, depth(p) + w), with p moved up to one that hangs from nothing.
+
+    Pointer doubling: every round each takes over its p's p, so n steps take log n rounds. What still moves then goes round in a cycle.
+    """
+    rounds = max(hung.count(), 1).bit_length() + 1
+    up = ["program_id", F.col("id").alias("p"), F.col("p").alias("_p"), F.col("floor").alias("_floor"), F.col("w").alias("_w")]
+    for _ in range(rounds):
+        moved = hung.join(hung.select(*up), ["program_id", "p"], "left")
+        further = F.col("_p").isNotNull()
+        floor = F.when(further, F.least(F.greatest("floor", F.col("_floor") + F.col("w")), F.lit(ENDLESS))).otherwise(F.col("floor"))
+        hung = stored(moved.select("program_id", "id", F.coalesce("_p", "p").alias("p"), floor.alias("floor"), F.when(further, F.col("w") + F.col("_w")).otherwise(F.col("w")).alias("w"), further.alias("moved")), "hung")
+        if hung.where("moved").isEmpty():
+            return hung.drop("moved")
+        hung = hung.drop("moved")
+    still = hung.join(hung.select("program_id", F.col("id").alias("p"), F.lit(True).alias("_on")), ["program_id", "p"], "left")
+    return stored(still.select("program_id", "id", "p", F.when(F.col("_on"), F.lit(ENDLESS)).otherwise(F.col("floor")).alias("floor"), "w"), "hung")
+
+
 def call_depth(model: Model, most_rounds: int = 100_000) -> DataFrame:
     """(program_id, func_id, depth, cyclic): longest call path from a function that none calls.
 
-    Functions are peeled: each function waits for its callers, and each round frees those whose last caller the
-    round before took; one table is written a round, of the functions that still wait and those just freed. What
-    is on a cycle or behind one is never freed; it has no depth and cyclic = true. Self-calls do not count.
+    Each round takes out functions that wait for no caller (their depth is known) and those that wait for one only:
+    theirs is max(floor, depth of that caller + w), which (max, +) composes along chains by pointer doubling. Calls of both kinds
+    are moved on to what is left, so chains and trees of any length end after a few rounds. What is then left, each with two callers or more that wait
+    too, is on a cycle or behind one, as is a function that its own chain calls; those have no depth and cyclic = true. Self-calls do not count.
     """
-    calls = stored(model.call_edges.where("src_id <> dst_id").select("program_id", "src_id", "dst_id").distinct(), "calls")
-    waits = calls.groupBy("program_id", F.col("dst_id").alias("func_id")).agg(F.count("*").alias("waits"))
-    here = model.functions.select(*KEY).join(waits, KEY, "left").select(*KEY, F.coalesce("waits", F.lit(0)).alias("waits"))
-    here, done = stored(here.withColumn("depth", F.when(F.col("waits") == 0, 0)), "waiting"), None
-    for depth in range(most_rounds):
-        free = here.where("depth is not null")
-        if free.isEmpty():
+    edges = model.call_edges.where("src_id <> dst_id").select("program_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.lit(1).cast("long").alias("w")).distinct()
+    nodes = model.functions.select("program_id", F.col("func_id").alias("id"), F.lit(0).cast("long").alias("floor"))
+    edges, nodes = stored_together((edges, "calls"), (nodes, "waiting"))
+    known, hanging = [], []
+    for _ in range(most_rounds):
+        waits = edges.groupBy("program_id", F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        here = stored(nodes.join(waits, ["program_id", "id"], "left"), "waiting")
+        free = here.where(F.col("n").isNull() | (F.col("floor") >= ENDLESS)).select("program_id", "id", F.col("floor").alias("depth"))
+        if here.isEmpty():
             break
-        own = free.select(*KEY, "depth")
-        done = own if done is None else stored(done.unionByName(own), "depths") if depth % 20 == 19 else done.unionByName(own)
-        heard = calls.join(free.select("program_id", F.col("func_id").alias("src_id")), ["program_id", "src_id"]).groupBy("program_id", F.col("dst_id").alias("func_id")).agg(F.count("*").alias("heard"))
-        left = here.where("depth is null").drop("depth").join(heard, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("heard", F.lit(0))).alias("waits"))
-        here = stored(left.withColumn("depth", F.when(F.col("waits") == 0, depth + 1)), "waiting")
+        known.append(free)
+        # known depths become floors of whom they call
+        ends = free.select("program_id", F.col("id").alias("src"), "depth")
+        given = edges.join(ends, ["program_id", "src"]).groupBy("program_id", F.col("dst").alias("id")).agg(F.max(F.least(F.col("depth") + F.col("w"), F.lit(ENDLESS))).alias("_given"))
+        open_edges = edges.join(ends, ["program_id", "src"], "left_anti").join(free.select("program_id", F.col("id").alias("dst")), ["program_id", "dst"], "left_anti")
+        rest = here.join(free, ["program_id", "id"], "left_anti").join(given, ["program_id", "id"], "left")
+        rest, open_edges = stored_together((rest.select("program_id", "id", F.greatest("floor", "_given").alias("floor")), "waiting"), (open_edges, "calls"))
+        one = open_edges.groupBy("program_id", F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("p"), F.max("w").alias("w")).where("n = 1")
+        hung = stored(rest.join(one, ["program_id", "id"]).select("program_id", "id", "p", "floor", "w"), "hung")
+        if hung.isEmpty():
+            if free.isEmpty():
+                known.append(rest.select("program_id", "id", F.lit(ENDLESS).alias("depth")))
+                break
+            edges, nodes = open_edges, rest
+            continue
+        hung = _jumped(hung)
+        hanging.append(hung)
+        heads = rest.join(hung.select("program_id", "id"), ["program_id", "id"], "left_anti")
+        over = hung.select("program_id", F.col("id").alias("src"), "p", F.col("floor").alias("_floor"), F.col("w").alias("_w"))
+        moved = open_edges.join(heads.select("program_id", F.col("id").alias("dst")), ["program_id", "dst"], "left_semi").join(over, ["program_id", "src"], "left")
+        moved = stored(moved.select("program_id", "dst", F.coalesce("p", "src").alias("src"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), (F.col("_floor") + F.col("w")).alias("_given")), "calls")
+        own = F.when(F.col("src") == F.col("dst"), F.lit(ENDLESS)).when(F.col("_given") > ENDLESS, F.lit(ENDLESS)).otherwise(F.col("_given"))
+        given = moved.groupBy("program_id", F.col("dst").alias("id")).agg(F.max(own).alias("_given"))
+        nodes = heads.join(given, ["program_id", "id"], "left").select("program_id", "id", F.greatest("floor", "_given").alias("floor"))
+        edges = moved.where("src <> dst").groupBy("program_id", "src", "dst").agg(F.max("w").alias("w"))
+        edges, nodes = stored_together((edges, "calls"), (nodes, "waiting"))
     else:
-        raise RuntimeError("peeling did not end")
-    rest = here.select(*KEY, F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
-    return rest if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(rest)
+        raise RuntimeError("the call graph did not settle")
+    depths = nodes.limit(0).select("program_id", "id", F.col("floor").alias("depth"))
+    for part in known:
+        depths = depths.unionByName(part)
+    for hung in reversed(hanging):
+        depths = stored(depths, "depths")
+        above = depths.select("program_id", F.col("id").alias("p"), "depth")
+        mine = hung.join(above, ["program_id", "p"], "left").select("program_id", "id", F.least(F.greatest("floor", F.col("depth") + F.col("w")), F.lit(ENDLESS)).alias("depth"))
+        depths = depths.unionByName(mine)
+    cyclic = F.col("depth") >= ENDLESS
+    return depths.select("program_id", F.col("id").alias("func_id"), F.when(~cyclic, F.col("depth")).cast("int").alias("depth"), cyclic.alias("cyclic"))
