@@ -89,14 +89,14 @@ def slices(batches, *columns: str, rows: int = 512) -> Iterator[list[list]]:
 
 
 def hash_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
-    """`size` rows of a table (all, if it has no more), the same ones wherever the rows lie; `by` are columns that tell rows apart.
+    """`size` rows of a table (all, if it has no more), the same ones in the same order wherever the rows lie; `by` are columns that tell rows apart.
 
     Equal rows are counted first, and a row that stands m times is drawn floor(m p + u) times, where p is the share that is wanted and
     u, from 0 to 1, a hash of the row. So a row that repeats gets its share, not all or none, and no task hands over more rows than are drawn.
     """
     n = rows.count()
     if n <= size:
-        return rows
+        return rows.withColumn("_hash", F.pmod(F.xxhash64(*by), F.lit(1_000_000_007))).orderBy("_hash", *by).drop("_hash")
     counted = rows.groupBy(*(F.col(c) for c in rows.columns)).agg(F.count("*").alias("_m"))
     share = min(1.0, (size + 6 * size**0.5 + 10) / n)  # some more than are needed: so many that hardly ever too few are drawn
     uniform = F.pmod(F.xxhash64(F.lit(7), *by), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
