@@ -3,9 +3,10 @@ from itertools import permutations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from twinbuild.llm.packing import best_fit, pack, plan_bins, reduce_dominated, token_pieces
+from twinbuild.llm.packing import WordIds, best_fit, joined_ids, pack, parts, plan_bins, reduce_dominated, token_pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -98,3 +99,21 @@ def test_defined_cases(odd, nothing):
     got = pack(token_pieces(odd, FILE)).collect()
     assert len([r for r in got if r["doc_id"] == 5]) == 2 and [r["length"] for r in got if r["doc_id"] == 0] == [1]
     assert pack(token_pieces(nothing, FILE)).collect() == []
+
+
+def test_forgetting_between_parts_changes_no_ids():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["".join(rng.choices("abcdeé", k=rng.randint(1, 4))), "don't", "x1.", "漢字!", "..."]) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    batch = pa.record_batch({"text": [*texts, "", "word " * 400]})
+    whole, bounds = joined_ids(batch.column(0), WordIds(FILE), 1)
+    small, got, ends = WordIds(FILE, remember=7), [], []
+    cut = list(parts(batch, most=300))
+    for part in cut:
+        ids, at = joined_ids(part.column(0), small, 1)
+        got += ids.tolist()
+        ends += np.diff(at).tolist()
+        small.forget(above=9)
+        assert len(small.words) <= 9
+    assert len(cut) > 5 and sum(p.num_rows for p in cut) == batch.num_rows
+    assert got == whole.tolist() and ends == np.diff(bounds).tolist()
+    assert list(parts(batch.slice(0, 0))) == []

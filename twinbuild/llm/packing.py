@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from itertools import chain, pairwise
 from zlib import crc32
 
@@ -51,7 +52,7 @@ class WordIds:
     A letter, digit or other run of characters never shares a token with the punctuation after it, so both
     parts are encoded alone; and words of letters end in a token with the word-end mark, so many of them
     are encoded in one call. What is known is held as arrays: words, and where their ids lie in one pool;
-    when a task ends, words beyond `remember` are forgotten.
+    `forget` drops the words beyond `remember`, so that what a worker holds does not grow with its task.
     """
 
     def __init__(self, file: str, remember: int = 150_000):
@@ -128,8 +129,8 @@ class WordIds:
         self.words = pa.concat_arrays([self.words, words])
         self.starts, self.lengths, self.pool = np.append(self.starts, starts), np.append(self.lengths, lengths), np.concatenate(pool)
 
-    def forget(self) -> None:
-        if len(self.words) > self.remember:
+    def forget(self, above: int) -> None:
+        if len(self.words) > above:
             starts, lengths = self.starts[: self.remember], self.lengths[: self.remember].copy()
             self.words, self.pool = pa.concat_arrays([self.words.slice(0, self.remember)]), _gather(self.pool, starts, lengths)
             self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
@@ -145,6 +146,16 @@ def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _loaded: dict[str, WordIds] = {}  # a worker keeps its words from task to task
 
 
+def parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows, with about `most` bytes of its first column each (a longer text is a part alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def joined_ids(texts: pa.Array, ids_of: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, each followed by end_id, and where each text begins (and the last one ends)."""
     flat, sizes = split_words(texts)
@@ -171,8 +182,9 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", capac
         if tokenizer_file not in _loaded:
             _loaded[tokenizer_file] = WordIds(tokenizer_file)
         ids_of, task, ranks = _loaded[tokenizer_file], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             ids, bounds = joined_ids(batch.column(0), ids_of, end_id)
+            ids_of.forget(above=ids_of.remember * 4 // 3)
             rows, of = [], []
             for at, (first, end) in enumerate(pairwise(bounds.tolist())):
                 for piece, start in enumerate(range(first, end, capacity)):
@@ -183,7 +195,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", capac
             own = [c.take(pa.array(of, pa.int64())) for c in batch.columns[1:]]
             table = np.array(rows, np.int64).reshape(len(rows), 6)
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).cast(t) for c, t in zip(table.T, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=schema.names)
-        ids_of.forget()
+        ids_of.forget(above=ids_of.remember)
         pa.default_memory_pool().release_unused()
 
     return by_bytes(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *keep)).mapInArrow(cut, schema)
