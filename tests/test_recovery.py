@@ -194,3 +194,26 @@ def test_queries_without_sql_add_up(spark):
     merged, flagged, _ = merge.reanchor_facts(model, pairs)
     assert {r["pair_id"]: r["count"] for r in merged.select("pair_id").unionByName(flagged.select("pair_id")).groupBy("pair_id").count().collect()} == facts
     assert merged.groupBy("pair_id", "fact_seq").count().where("count > 1").isEmpty()
+
+
+def test_snapshot_and_trace_texts(spark):
+    f = {"entry": "0x10", "name": "main", "size": 3, "bb_count": 1, "callees": ["0x10", "0x99"]}
+    rows = [
+        ("good", json.dumps({"program": "p", "language": "c", "functions": [f]})), ("bare", json.dumps({"program": "p", "functions": []})), ("cut", json.dumps({"program": "p", "functions": [f]})[:-1]),
+        ("nameless", json.dumps({"functions": [f]})), ("negative", json.dumps({"program": "p", "functions": [f | {"size": -1}]})), ("typed", json.dumps({"program": "p", "functions": [f | {"size": "x"}]})), ("null", None), ("empty", ""),
+    ]
+    sound, rejected = snapshots.parse_snapshots(spark.createDataFrame(rows, "program_id string, text string"))
+    assert {r["program_id"]: r["language"] for r in sound.collect()} == {"good": "c", "bare": ""}
+    assert {r["program_id"]: r["reason"] for r in rejected.collect()} == {"cut": "malformed", "nameless": "missing_field", "negative": "bad_function", "typed": "malformed", "null": "missing_field", "empty": "missing_field"}
+    assert [tuple(r) for r in snapshots.build_model(sound).call_edges.select("program_id", "src_id", "dst_id").collect()] == [("good", 1, 1)]
+    traces = [("a", json.dumps({"resolved_imports": [{"function": "f", "import": "i"}, {"function": "g"}, None]})), ("b", '{"resolved_imports":[{"fun'), ("c", None), ("d", "[]")]
+    assert [tuple(r) for r in observations.parse_import_traces(spark.createDataFrame(traces, "program_id string, text string")).collect()] == [("a", "f", "i")]
+
+
+def test_checksums_together_are_those_of_each():
+    import random
+
+    rng = random.Random(2)
+    values = [rng.randbytes(rng.choice((0, 1, 7, 300))) for _ in range(120)] + [rng.randbytes(5_000)]
+    assert observations.checksums(values) == [observations.checksum(v) for v in values]
+    assert observations.checksums([]) == [] and observations.checksums([b"a"]) == [0xAF63DC4C8601EC8C]

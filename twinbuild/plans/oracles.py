@@ -56,6 +56,13 @@ la AS (SELECT * FROM pa WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.pair_id
 lb AS (SELECT * FROM pb WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.pair_id = pb.pair_id AND e.b_id = pb.func_id))
 """
 
+_TRACED = """, traced AS (SELECT 'A.' || b.source AS program_id, b.source || '.f' || b.doc_id || CASE WHEN b.doc_id % 17 = 5 THEN '?' ELSE '' END AS function, event_type AS import
+    FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base) WHERE event_id // 500 % 8 <> 7)"""
+
+_SUMMARY = """, into_it AS (SELECT program_id, dst_id AS func_id, count(*) AS n FROM edges GROUP BY ALL),
+summed AS (SELECT f.program_id, f.func_id, display_name AS name, coalesce(i.n, 0) AS n_callers, display_name || ' — ' || bb_count || ' block(s), ' || out_degree || ' out-call(s), ' || coalesce(i.n, 0) || ' caller(s)' AS summary
+    FROM f JOIN names USING (program_id, func_id) LEFT JOIN into_it i USING (program_id, func_id))"""
+
 _BEST = """
 there AS (SELECT pair_id, a_id, arg_max(b_id, score) AS b_id, max(score) AS score, list_sort(list(score), 'DESC') AS all_scores FROM s GROUP BY ALL),
 back AS (SELECT pair_id, b_id, arg_max(a_id, score) AS a_id, max(score) AS score, list_sort(list(score), 'DESC') AS all_scores FROM s GROUP BY ALL)
@@ -199,7 +206,23 @@ ORACLES = {
     "observed_edges": """SELECT 'A.' || b.source AS program_id, user_id AS run_id, b.source || '.f' || b.doc_id AS from_name, CASE WHEN event_type = 'error' THEN 'unknown' ELSE b.source || '.f' || (b.doc_id + 20) END AS to_name, count(*) AS n,
         CASE WHEN event_type = 'error' OR t.func_id IS NULL THEN 'unmatched' WHEN s.src_id IS NOT NULL THEN 'confirmed' ELSE 'added' END AS edge_status
         FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base) LEFT JOIN fa t ON t.program_id = 'A.' || b.source AND t.name = b.source || '.f' || (b.doc_id + 20) LEFT JOIN ea s ON s.program_id = 'A.' || b.source AND s.src_id = b.doc_id + 1 AND s.dst_id = b.doc_id + 21 GROUP BY ALL""",
-    "import_uplift": """SELECT 'A.' || b.source AS program_id, 0 AS unmatched, count_if(list_contains(imports, event_type)) AS already_known, count_if(NOT list_contains(imports, event_type)) AS newly_resolved, count(DISTINCT CASE WHEN NOT list_contains(imports, event_type) THEN doc_id END) AS functions_enriched FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base) GROUP BY ALL""",
+    "import_uplift": """SELECT 'A.' || b.source AS program_id, count_if(doc_id % 17 = 5) AS unmatched, count_if(doc_id % 17 <> 5 AND list_contains(imports, event_type)) AS already_known, count_if(doc_id % 17 <> 5 AND NOT list_contains(imports, event_type)) AS newly_resolved,
+        count(DISTINCT CASE WHEN doc_id % 17 <> 5 AND NOT list_contains(imports, event_type) THEN doc_id END) AS functions_enriched FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base) GROUP BY ALL""",
+    "traced_imports": _TRACED + " SELECT program_id, function, import, count(*) AS n FROM traced GROUP BY ALL",
+    "enriched_imports": _TRACED + """, per AS (SELECT program_id, function AS name, list(DISTINCT import) AS seen FROM traced GROUP BY ALL)
+        SELECT program_id, func_id, array_to_string(list_sort(list_distinct(list_concat(imports, coalesce(seen, [])))), ',') AS imports FROM fa LEFT JOIN per USING (program_id, name)""",
+    "observation_logs": """, runs AS (SELECT 'A.' || b.source AS program_id, event_id // 500 AS run, b.source || '.f' || b.doc_id AS from_name, CASE WHEN event_type = 'error' THEN 'unknown' ELSE b.source || '.f' || (b.doc_id + 20) END AS to_name FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base))
+        SELECT program_id, run::VARCHAR AS run_id, from_name, to_name, 90 AS confidence, NULL AS reason, count(*) AS n FROM runs WHERE run % 16 IN (0, 13, 14, 15) GROUP BY ALL UNION ALL
+        SELECT DISTINCT program_id, run::VARCHAR, NULL, NULL, NULL, ['too_large', 'line_too_long', 'too_many_lines', 'no_frame', 'bad_base64', 'decoded_too_large', 'len_mismatch', 'checksum_mismatch', 'bad_json', 'not_an_array', 'too_many_records', 'bad_field'][run % 16], 0
+        FROM runs WHERE run % 16 BETWEEN 1 AND 12""",
+    "snapshot_programs": """, part AS (SELECT source, doc_id // 100 AS c, count(*) AS functions, sum(size)::BIGINT AS size, max(4096 + 16 * doc_id) AS last_addr, bool_or(doc_id % 100 < 25) AS lacks FROM base GROUP BY ALL),
+        inner_calls AS (SELECT source, src // 100 AS c, count(*) AS edges FROM e0 WHERE src // 100 = dst // 100 GROUP BY ALL),
+        judged AS (SELECT *, CASE WHEN c % 5 = 2 THEN 'malformed' WHEN c % 5 = 3 THEN 'missing_field' WHEN c % 5 = 4 AND lacks THEN 'bad_function' END AS reason FROM part LEFT JOIN inner_calls USING (source, c))
+        SELECT 'A.' || source || '.' || c AS program_id, reason, CASE WHEN reason IS NULL THEN 'A.' || source END AS name, CASE WHEN reason IS NULL THEN CASE WHEN c % 5 = 1 THEN '' ELSE 'text' END END AS language,
+        CASE WHEN reason IS NULL THEN functions END AS functions, CASE WHEN reason IS NULL THEN size END AS size, CASE WHEN reason IS NULL THEN last_addr END AS last_addr, CASE WHEN reason IS NULL THEN coalesce(edges, 0) END AS edges FROM judged""",
+    "views_by_id": _SUMMARY + """, asked AS (SELECT program_id, 2 * func_id AS func_id FROM fa)
+        SELECT program_id, func_id, s.name IS NOT NULL AS found, s.name, s.summary FROM asked LEFT JOIN (SELECT * FROM summed WHERE program_id LIKE 'A.%') s USING (program_id, func_id)""",
+    "search_summaries": _SUMMARY + " SELECT program_id, func_id, name FROM summed WHERE n_callers = 0",
     "edge_provenance": """, seen AS (SELECT DISTINCT 'A.' || b.source AS program_id, b.doc_id + 1 AS src_id, b.doc_id + 21 AS dst_id FROM events JOIN base b ON b.doc_id = event_id % (SELECT max(doc_id) + 1 FROM base) WHERE event_type <> 'error')
         SELECT ea.program_id, ea.src_id, ea.dst_id, CASE WHEN s.src_id IS NULL THEN 'static' ELSE 'dynamic' END AS producer, CASE WHEN s.src_id IS NULL THEN 100 ELSE 90 END AS confidence FROM ea LEFT JOIN seen s USING (program_id, src_id, dst_id)""",
     "collaborate": """, fi AS (SELECT substr(program_id, 3) AS pair_id, 2 * (target - 1) AS two, fact_seq, target, CASE WHEN (target - 1) % 11 = 0 THEN 'retype' ELSE kind END AS kind, CASE WHEN (target - 1) % 7 = 0 THEN value || '_2' ELSE value END AS value, CASE WHEN (target - 1) % 14 = 0 THEN 100 ELSE confidence END AS confidence FROM facts),

@@ -15,7 +15,7 @@ from twinbuild.operators import diff, evaluate, facts, matching, merge, navigate
 from twinbuild.operators.validate import validate_model
 from twinbuild.plans.model import Model
 from twinbuild.plans.store import shared_folder, stored
-from twinbuild.sources import snapshots, tables
+from twinbuild.sources import observations, snapshots, tables
 from twinbuild.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,6 +396,54 @@ def import_uplift(spark, sf_dir):
     return observe.import_uplift(tables.build_a(spark, sf_dir), tables.import_traces(spark, sf_dir))
 
 
+@query
+def traced_imports(spark, sf_dir):
+    """Imports resolved at run time, read from JSON traces of runs; a text that is cut off gives none."""
+    rows = observations.parse_import_traces(tables.import_trace_texts(spark, sf_dir))
+    return rows.groupBy("program_id", "function", "import").agg(F.count("*").alias("n"))
+
+
+@query
+def enriched_imports(spark, sf_dir):
+    """Each function's imports in build A, those seen at run time included."""
+    traces = observations.parse_import_traces(tables.import_trace_texts(spark, sf_dir))
+    model = observe.enrich_imports(tables.build_a(spark, sf_dir), traces)
+    return model.functions.select("program_id", "func_id", F.array_join("imports", ",").alias("imports"))
+
+
+@query
+def observation_logs(spark, sf_dir):
+    """Framed logs of runs amid console noise: the calls of those that are sound, and why the others are refused (n = 0)."""
+    edges, rejected = observations.read_observation_logs(stored(tables.observation_logs(spark, sf_dir), "logs"))
+    counted = edges.groupBy("program_id", "run_id", "from_name", "to_name", "confidence").agg(F.count("*").alias("n"))
+    return counted.unionByName(rejected.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True)
+
+
+@query
+def snapshot_programs(spark, sf_dir):
+    """Snapshots as JSON, broken ones among them: what the sound ones hold, and why the others are refused."""
+    sound, rejected = snapshots.parse_snapshots(stored(tables.snapshot_texts(spark, sf_dir), "snapshots"))
+    model = snapshots.build_model(sound)
+    edges = model.call_edges.groupBy("program_id").agg(F.count("*").alias("edges"))
+    held = model.functions.groupBy("program_id").agg(F.count("*").alias("functions"), F.sum("size").alias("size"), F.max("addr").cast("bigint").alias("last_addr"))
+    out = model.programs.join(held, "program_id").join(edges, "program_id", "left").fillna({"edges": 0})
+    return out.select("program_id", "name", "language", "functions", "size", "last_addr", "edges").unionByName(rejected, allowMissingColumns=True)
+
+
+@query
+def views_by_id(spark, sf_dir):
+    """Build A asked for a function of every second number, up to twice the greatest: those that it has, and those that it has not."""
+    model = tables.build_a(spark, sf_dir)
+    ids = model.functions.select("program_id", (2 * F.col("func_id")).alias("func_id"))
+    return navigate.view(model, ids).select("program_id", "func_id", "found", "name", "summary")
+
+
+@query
+def search_summaries(spark, sf_dir):
+    """Functions that nobody calls, by their summary."""
+    return navigate.search(_both(spark, sf_dir)[0], "out-call(s), 0 caller", in_summary=True).select("program_id", "func_id", "name")
+
+
 @query
 def validated_model(spark, sf_dir):
     """What the loader repairs in build A after every 100th function is there twice and every 50th function's calls lead nowhere."""

@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,28 @@ class Rejected(Exception):
     """Why a log is refused."""
 
 
-def checksum(data: bytes) -> int:
-    h = FNV_START
+def checksum(data: bytes, h: int = FNV_START) -> int:
     for b in data:
         h = ((h ^ b) * FNV_PRIME) & WORD
     return h
 
 
+def checksums(values: list[bytes], few: int = 40) -> list[int]:
+    """The checksum of each value, one byte of all of them at a time; the longest ones, when only `few` are left, each alone."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(-sizes, kind="stable")
+    starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), np.uint8)
+    starts, state = starts[order], np.full(len(values), FNV_START, np.uint64)
+    alive = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # values longer than k
+    common = int((alive > few).sum())
+    for k in range(common):
+        state[: alive[k]] = (state[: alive[k]] ^ data[starts[: alive[k]] + k]) * np.uint64(FNV_PRIME)
+    out = [0] * len(values)
+    for h, at in zip(state.tolist(), order.tolist(), strict=True):
+        out[at] = checksum(values[at][common:], h)
+    return out
+
+
 def _need(ok: bool, reason: str) -> None:
     if not ok:
         raise Rejected(reason)
@@ -55,8 +71,8 @@ def _body(log: bytes, frame: str) -> tuple[bytes, bytes]:
     return body, lines[stop]
 
 
-def parse_log(log: bytes, frame: str = FRAME) -> list[tuple[str, str, int]]:
-    """(from, to, confidence) of a log; Rejected if anything at all is wrong with it."""
+def decode_log(log: bytes, frame: str = FRAME) -> tuple[bytes, int]:
+    """What the frame of a log holds, of the declared length, and its declared checksum; Rejected if there is no such thing."""
     body, last = _body(log, frame)
     declared = {k: v for k, _, v in (t.partition("=") for t in last.decode("utf-8", "replace").split())}
     size, mark = declared.get("len", ""), declared.get("fnv", "")
@@ -67,7 +83,11 @@ def parse_log(log: bytes, frame: str = FRAME) -> list[tuple[str, str, int]]:
         raise Rejected("bad_base64") from None
     _need(len(data) <= MAX_DECODED_BYTES, "decoded_too_large")
     _need(len(data) == int(size), "len_mismatch")
-    _need(checksum(data) == int(mark, 16), "checksum_mismatch")
+    return data, int(mark, 16)
+
+
+def edges_of_log(data: bytes) -> list[tuple[str, str, int]]:
+    """(from, to, confidence) of the JSON that a frame holds; Rejected if anything at all is wrong with it."""
     try:
         trace = json.loads(data)
     except (ValueError, RecursionError):
@@ -85,17 +105,45 @@ def parse_log(log: bytes, frame: str = FRAME) -> list[tuple[str, str, int]]:
     return out
 
 
+def parse_logs(logs: list[bytes], frame: str = FRAME) -> list[list[tuple[str, str, int]] | Rejected]:
+    """For each log its edges, or why it is refused. Checksums are made for all logs together."""
+    out: list = []
+    for log in logs:
+        try:
+            out.append(decode_log(log, frame))
+        except Rejected as e:
+            out.append(e)
+    framed = [k for k, x in enumerate(out) if not isinstance(x, Rejected)]
+    for k, mark in zip(framed, checksums([out[k][0] for k in framed]), strict=True):
+        data, declared = out[k]
+        try:
+            _need(mark == declared, "checksum_mismatch")
+            out[k] = edges_of_log(data)
+        except Rejected as e:
+            out[k] = e
+    return out
+
+
+def parse_log(log: bytes, frame: str = FRAME) -> list[tuple[str, str, int]]:
+    """(from, to, confidence) of one log; Rejected if anything at all is wrong with it."""
+    found = parse_logs([log], frame)[0]
+    if isinstance(found, Rejected):
+        raise found
+    return found
+
+
 def read_observation_logs(logs: DataFrame, frame: str = FRAME) -> tuple[DataFrame, DataFrame]:
     """logs (program_id, run_id, log binary) to (edges, rejected): a log counts whole or not at all."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for program, run, log in zip(batch["program_id"], batch["run_id"], batch["log"], strict=True):
-                try:
-                    rows += [(program, run, a, b, n, None) for a, b, n in parse_log(bytes(log or b""), frame)]
-                except Rejected as e:
-                    rows.append((program, run, None, None, None, str(e)))
+            read = parse_logs([bytes(log or b"") for log in batch["log"]], frame)
+            for program, run, found in zip(batch["program_id"], batch["run_id"], read, strict=True):
+                if isinstance(found, Rejected):
+                    rows.append((program, run, None, None, None, str(found)))
+                else:
+                    rows += [(program, run, a, b, n, None) for a, b, n in found]
             yield pd.DataFrame(rows, columns=["program_id", "run_id", "from_name", "to_name", "confidence", "reason"]).astype({"confidence": "Int32"})
 
     both = logs.select("program_id", "run_id", "log").mapInPandas(parsed, "program_id string, run_id string, from_name string, to_name string, confidence int, reason string")
@@ -108,8 +156,20 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("program_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("run_id"), F.substring("content", 1, MAX_LOG_BYTES + 1).alias("log"))
 
 
-def read_import_traces(spark: SparkSession, path: str) -> DataFrame:
-    """(program_id, function, import) from files {resolved_imports: [{function, import}]}; the file is the program."""
-    raw = spark.read.schema("resolved_imports array<struct<function:string,import:string>>").option("multiLine", True).json(path)
-    rows = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1).alias("program_id"), F.explode("resolved_imports").alias("r"))
+TRACES = "resolved_imports array<struct<function:string,import:string>>"
+
+
+def _trace_rows(raw: DataFrame) -> DataFrame:
+    rows = raw.select("program_id", F.explode("resolved_imports").alias("r"))
     return rows.select("program_id", "r.function", "r.import").where("`function` is not null and `import` is not null")
+
+
+def parse_import_traces(texts: DataFrame) -> DataFrame:
+    """(program_id, function, import) from rows (program_id, text) of JSON {resolved_imports: [{function, import}]}; other text gives none."""
+    return _trace_rows(texts.select("program_id", F.from_json("text", TRACES).alias("t")).select("program_id", "t.resolved_imports"))
+
+
+def read_import_traces(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files; the file is the program."""
+    raw = spark.read.schema(TRACES).option("multiLine", True).json(path)
+    return _trace_rows(raw.withColumn("program_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)))

@@ -6,11 +6,14 @@ by doc_id % 20 and listed at `build_b`. All tables follow from the given ones, w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from twinbuild.functions.features import histogram_fingerprint, with_counts
 from twinbuild.plans.model import SCHEMAS, Model, empty
+from twinbuild.sources.observations import checksums
 
 SHIFT, NEW = 1_000_000, 2_000_000_000
 GAPS = r"[ \t\n\x0B\f\r]+"
@@ -180,8 +183,74 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports resolved at run time, from events: a document's import is the event's type."""
-    return event_documents(spark, sf_dir).select(F.concat(F.lit("A."), "source").alias("program_id"), F.concat("source", F.lit(".f"), "doc_id").alias("function"), F.col("event_type").alias("import"))
+    """Imports resolved at run time, from events: a document's import is the event's type; of every 17 documents one has a name that nobody knows."""
+    name = F.concat("source", F.lit(".f"), "doc_id", F.when(F.col("doc_id") % 17 == 5, "?").otherwise("")).alias("function")
+    return event_documents(spark, sf_dir).select(F.concat(F.lit("A."), "source").alias("program_id"), name, F.col("event_type").alias("import"), "event_id")
 
 
-__all__ = ["both", "build_a", "build_b", "event_documents", "import_traces", "incoming", "observed", "pairs"]
+RUN, CHUNK = 500, 100  # events of one run, functions of one snapshot
+
+
+def import_trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import traces as JSON texts (program_id, run_id, text), one for each run of a program; every eighth run's text is cut off."""
+    run = F.floor(F.col("event_id") / RUN).alias("run_id")
+    grouped = import_traces(spark, sf_dir).groupBy("program_id", run).agg(F.array_sort(F.collect_list(F.struct("event_id", "function", "import"))).alias("e"))  # RUN events at most
+    text = F.to_json(F.struct(F.transform("e", lambda e: F.struct(e["function"].alias("function"), e["import"].alias("import"))).alias("resolved_imports")))
+    return grouped.select("program_id", "run_id", F.when(F.col("run_id") % 8 == 7, F.substring(text, 1, 25)).otherwise(text).alias("text"))
+
+
+def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build A as JSON snapshots (program_id, text) of at most CHUNK functions each.
+
+    By chunk % 5: 1 has no language, 2 is cut off, 3 names no program, 4 has a function without an entry.
+    """
+    rows = engine_events(spark, sf_dir).where("kind = 'function'").select("program_id", F.floor(F.col("seq") / CHUNK).alias("chunk"), "seq", "f")
+    v = F.col("chunk") % 5
+    f = F.when((v == 4) & (F.col("seq") % CHUNK < 25), F.col("f").withField("entry", F.lit(None).cast("string"))).otherwise(F.col("f"))
+    held = rows.groupBy("program_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", f.alias("f")))).alias("l"))
+    text = F.to_json(F.struct(F.when(v != 3, F.col("program_id")).alias("program"), F.when(v != 1, "text").alias("language"), F.col("l.f").alias("functions")))
+    cut = F.when(v == 2, F.expr("left(_text, length(_text) - 1)")).otherwise(F.col("_text"))
+    return held.withColumn("_text", text).select(F.concat("program_id", F.lit("."), "chunk").alias("program_id"), cut.alias("text"))
+
+
+def _framed(payload: Column, size: Column, mark: Column, end: Column) -> Column:
+    body = F.regexp_replace(F.regexp_replace(F.base64(F.encode(payload, "UTF-8")), r"[\r\n]", ""), "(.{4000})", "$1\n")
+    return F.concat(F.lit("TRACE-V1 BEGIN\r\n"), body, F.lit("\n  TRACE-V1 "), end, F.lit(" len="), size, F.lit(" fnv="), mark, F.lit("\n"))
+
+
+@F.pandas_udf(StringType())
+def _marks(payloads: pd.Series) -> pd.Series:
+    return pd.Series([f"{h:016x}" for h in checksums([x.encode() for x in payloads])])
+
+
+def observation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed calls as framed logs (program_id, run_id, log), one for each run of a program.
+
+    By run % 16: 0, 13 (amid noise), 14 (after a stray end) and 15 (before a second frame, which is none) are sound; the others
+    are wrong in one way each, in the order of the cases below.
+    """
+    to = F.when(F.col("event_type") == "error", F.lit("unknown")).otherwise(F.concat("source", F.lit(".f"), F.col("doc_id") + 20))
+    run = F.floor(F.col("event_id") / RUN)
+    sure = F.when(run % 16 == 12, 101).otherwise(90)
+    edge = F.struct("event_id", F.struct(F.concat("source", F.lit(".f"), "doc_id").alias("from"), to.alias("to"), sure.alias("confidence")).alias("e"))
+    runs = event_documents(spark, sf_dir).groupBy(F.concat(F.lit("A."), "source").alias("program_id"), run.alias("run")).agg(F.array_sort(F.collect_list(edge)).alias("l"))  # RUN events at most
+    v = F.col("run") % 16
+    json = F.to_json(F.struct(F.col("l.e").alias("edges")))
+    payload = (
+        F.when(v == 6, F.concat(json, F.repeat(F.lit(" "), 262_145))).when(v == 9, F.substring(json, 1, 20)).when(v == 10, '{"edges":{}}')
+        .when(v == 11, F.concat(F.lit('{"edges":['), F.repeat(F.lit("{},"), 4_096), F.lit("{}]}"))).otherwise(json)
+    )
+    rows = runs.select("program_id", F.col("run").cast("string").alias("run_id"), v.alias("v"), payload.alias("payload")).withColumn("mark", _marks("payload"))
+    v = F.col("v")
+    size = (F.octet_length("payload") + F.when(v == 7, 1).otherwise(0)).cast("string")
+    frame = _framed(F.col("payload"), size, F.when(v == 8, "0").otherwise(F.col("mark")), F.when(v == 4, "STOP").otherwise("END"))
+    before = (
+        F.when(v == 1, F.repeat(F.lit("x\n"), 524_289)).when(v == 2, F.concat(F.repeat(F.lit("y"), 16_385), F.lit("\n"))).when(v == 3, F.repeat(F.lit("\n"), 20_000))
+        .when(v == 13, "booting\n\nTRACE-V1 BEGINNING\n").when(v == 14, "TRACE-V1 END len=0 fnv=0\n").otherwise("")
+    )
+    frame = F.when(v == 5, F.replace(frame, F.lit("BEGIN\r\n"), F.lit("BEGIN\r\n!!\n"))).otherwise(frame)
+    after = F.when(v == 13, "halted").when(v == 15, "TRACE-V1 BEGIN\n!!\nTRACE-V1 END len=2 fnv=0").otherwise("")
+    return rows.select("program_id", "run_id", F.encode(F.concat(before, frame, after), "UTF-8").alias("log"))
+
+
+__all__ = ["both", "build_a", "build_b", "event_documents", "import_trace_texts", "import_traces", "incoming", "observation_logs", "observed", "pairs", "snapshot_texts"]
