@@ -322,3 +322,24 @@ def test_scoreboard(spark):
     assert evaluate.score_reanchoring(m, one_pair(spark), names.limit(0)).collect()[0]["survival"] == 1.0
     best = {r["a_id"]: r["b_id"] for r in evaluate.baseline_reanchor(m, one_pair(spark), names).collect()}
     assert best[1] == 1 and best[3] == 2
+
+
+def test_a_hubs_callers_come_in_chunks(spark):
+    m = programs(spark, a=[fn("1", "hub"), *(fn(f"{k:x}", f"f{k}", callees=["1"]) for k in range(2, 2_303))], b=[fn("1", "alone")])
+    rows = navigate.caller_chunks(m, 1_000).orderBy("chunk").collect()
+    assert [(r["program_id"], r["func_id"], r["chunk"], r["n"]) for r in rows] == [("a", 1, 0, 1_000), ("a", 1, 1, 1_000), ("a", 1, 2, 301)]
+    assert [x for r in rows for x in r["callers"]] == [f"f{k}" for k in range(2, 2_303)]
+    assert navigate.caller_chunks(m.with_(call_edges=m.call_edges.limit(0))).collect() == []
+
+
+def test_a_report_comes_in_chunks(spark):
+    rows = [("p", "unchanged", 0, 0, "s", "s", "exact", 100), ("p", "renamed", 1, 1, "old", "new", "exact", 100), ("p", "modified", 2, 2, "m", "m", "fuzzy", 71)]
+    rows += [("p", "removed", 10 + k, None, f"r{k // 2}", None, None, None) for k in range(5)] + [("q", "added", None, 7, None, None, None, None), ("same", "unchanged", 1, 1, "x", "x", "exact", 100)]
+    table = spark.createDataFrame(rows, "pair_id string, kind string, a_id long, b_id long, a_name string, b_name string, method string, confidence int")
+    got = {(r["pair_id"], r["section"], r["chunk"]): (r["n"], json.loads(r["entries"])) for r in diff.diff_report_chunks(table, 2).collect()}
+    assert got == {
+        ("p", "summary", 0): (8, {"differs": True, "unchanged": 1, "methods": {"exact": 2, "fuzzy": 1}}), ("p", "renamed", 0): (1, [{"name": "new", "from": "old", "method": "exact", "confidence": 100}]),
+        ("p", "modified", 0): (1, [{"name": "m", "method": "fuzzy", "confidence": 71}]), ("p", "removed", 0): (2, [{"name": "r0"}] * 2), ("p", "removed", 1): (2, [{"name": "r1"}] * 2), ("p", "removed", 2): (1, [{"name": "r2"}]),
+        ("q", "summary", 0): (1, {"differs": True, "unchanged": 0}), ("q", "added", 0): (1, [{}]), ("same", "summary", 0): (1, {"differs": False, "unchanged": 1, "methods": {"exact": 1}}),
+    }
+    assert diff.diff_report_chunks(table.limit(0)).collect() == []

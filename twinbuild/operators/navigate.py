@@ -86,21 +86,37 @@ def annotated_views(model: Model, zoom: str = "domain") -> DataFrame:
 _ROW = (1 << 33) - 1  # of monotonically_increasing_id: the row within its partition
 
 
-def numbered(rows: DataFrame, group: str, order: tuple[str, ...], name: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str | tuple[str, ...], order: tuple[str, ...], name: str) -> DataFrame:
     """rows with their place (from 0) in their group by `order`, which tells the rows of a group apart.
 
     A range partition of all rows is stored; rows per partition and group, added up, say where each partition's part of a
     group begins. So a group is spread over as many tasks as it fills, and no window sorts it in one.
     """
-    table = stored(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    group = (group,) if isinstance(group, str) else group
+    table = stored(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(_ROW))
-    sizes = table.groupBy(group, part).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")  # as many rows as a group has partitions
-    skip = stored(sizes.select(group, "_part", (before - F.col("_first")).alias("_skip")), "number-offsets")
-    placed = table.withColumn("_part", part).join(skip, [group, "_part"])
+    sizes = table.groupBy(*group, part).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # as many rows as a group has partitions
+    skip = stored(sizes.select(*group, "_part", (before - F.col("_first")).alias("_skip")), "number-offsets")
+    placed = table.withColumn("_part", part).join(skip, [*group, "_part"])
     return placed.withColumn(name, row + F.col("_skip")).drop("_at", "_part", "_skip")
 
 
+def in_chunks(rows: DataFrame, group: tuple[str, ...], order: tuple[str, ...], most: int = 1_000) -> DataFrame:
+    """(group, chunk, n, entries): each group's rows by `order` as lists of at most `most`, numbered from 0; see `numbered`."""
+    entry = F.struct(*(c for c in rows.columns if c not in group))
+    placed = numbered(rows, group, order, "_place").groupBy(*group, F.floor(F.col("_place") / most).alias("chunk"))
+    out = placed.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("_place", entry.alias("e")))).alias("_l"))
+    return out.withColumn("entries", F.col("_l.e")).drop("_l")
+
+
+def caller_chunks(model: Model, most: int = 1_000) -> DataFrame:
+    """(program_id, func_id, chunk, n, callers): the names of each function's callers in their order, at most `most` a row, so that a hub has many."""
+    names = display_names(model).select("program_id", F.col("func_id").alias("caller_id"), "func_seq", "display_name")
+    calls = _calls(model).select("program_id", F.col("dst_id").alias("func_id"), F.col("src_id").alias("caller_id")).join(names, ["program_id", "caller_id"])
+    return in_chunks(calls, ("program_id", "func_id"), ("func_seq", "caller_id"), most).withColumn("callers", F.col("entries.display_name")).drop("entries")
+
+
 def listing(model: Model) -> DataFrame:
     """(program_id, line, func_id, addr, name, text): functions by address and name, lines from 0."""
     names = model.functions.select(*KEY, "addr").join(display_names(model).select(*KEY, F.col("display_name").alias("name")), KEY)

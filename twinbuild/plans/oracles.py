@@ -110,6 +110,8 @@ ORACLES = {
         LEFT JOIN (SELECT program_id, dst_id AS func_id, count(*) AS n FROM edges GROUP BY ALL) c USING (program_id, func_id)
         LEFT JOIN (SELECT e.program_id, src_id AS func_id, string_agg(display_name, ',' ORDER BY dst_id) AS callees FROM edges e JOIN names n ON e.program_id = n.program_id AND e.dst_id = n.func_id GROUP BY ALL) x USING (program_id, func_id)
         LEFT JOIN (SELECT e.program_id, dst_id AS func_id, string_agg(display_name, ',' ORDER BY src_id) AS callers FROM edges e JOIN names n ON e.program_id = n.program_id AND e.src_id = n.func_id GROUP BY ALL) y USING (program_id, func_id)""",
+    "caller_chunks": """SELECT program_id, func_id, k // 8 AS chunk, count(*) AS n, string_agg(display_name, ',' ORDER BY k) AS callers FROM (
+        SELECT e.program_id, dst_id AS func_id, display_name, row_number() OVER (PARTITION BY e.program_id, dst_id ORDER BY src_id) - 1 AS k FROM edges e JOIN names n ON e.program_id = n.program_id AND e.src_id = n.func_id) GROUP BY ALL""",
     "search": "SELECT program_id, func_id, display_name AS name FROM names WHERE contains(lower(display_name), 'f1')",
     "callers": "SELECT e.program_id, dst_id AS func_id, src_id AS caller_id, display_name AS caller_name FROM edges e JOIN names n ON e.program_id = n.program_id AND e.src_id = n.func_id",
     "annotated_views": """SELECT f.program_id, f.func_id, n.display_name AS name, c.value AS comment FROM f JOIN names n USING (program_id, func_id)
@@ -123,6 +125,14 @@ ORACLES = {
     "exact_summary": """SELECT p.pair_id, coalesce(u, 0) AS unchanged, coalesce(r, 0) AS renamed, coalesce(removed, 0) AS removed, coalesce(added, 0) AS added FROM (SELECT DISTINCT pair_id FROM pa) p
         LEFT JOIN (SELECT e.pair_id, count_if(x.display_name = y.display_name) AS u, count_if(x.display_name <> y.display_name) AS r FROM exact e JOIN names x ON x.program_id = 'A.' || e.pair_id AND x.func_id = a_id JOIN names y ON y.program_id = 'B.' || e.pair_id AND y.func_id = b_id GROUP BY e.pair_id) m USING (pair_id)
         LEFT JOIN (SELECT pair_id, count(*) AS removed FROM la GROUP BY pair_id) g USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) AS added FROM lb GROUP BY pair_id) n USING (pair_id)""",
+    "exact_report_chunks": """, m AS (SELECT e.pair_id, a_id, b_id, x.display_name AS a_name, y.display_name AS b_name FROM exact e JOIN names x ON x.program_id = 'A.' || e.pair_id AND x.func_id = a_id JOIN names y ON y.program_id = 'B.' || e.pair_id AND y.func_id = b_id),
+        gone AS (SELECT pair_id, func_id, display_name FROM la JOIN names USING (program_id, func_id)), come AS (SELECT pair_id, func_id, display_name FROM lb JOIN names USING (program_id, func_id)),
+        shown AS (SELECT pair_id, 'renamed' AS section, b_name AS name, '{"name":"' || b_name || '","from":"' || a_name || '","method":"exact","confidence":100}' AS entry, a_id AS i, b_id AS j FROM m WHERE a_name <> b_name
+            UNION ALL SELECT pair_id, 'removed', display_name, '{"name":"' || display_name || '"}', func_id, NULL FROM gone UNION ALL SELECT pair_id, 'added', display_name, '{"name":"' || display_name || '"}', NULL, func_id FROM come),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, section ORDER BY name, i, j) - 1 AS k FROM shown),
+        total AS (SELECT pair_id, count(*) AS n, count_if(kind) AS exact, count_if(same) AS same FROM (SELECT pair_id, TRUE AS kind, a_name = b_name AS same FROM m UNION ALL SELECT pair_id, FALSE, FALSE FROM shown WHERE section <> 'renamed') GROUP BY ALL)
+        SELECT pair_id, section, k // 16 AS chunk, count(*) AS n, '[' || string_agg(entry, ',' ORDER BY k) || ']' AS entries FROM placed GROUP BY ALL UNION ALL
+        SELECT pair_id, 'summary', 0, n, '{"differs":' || CASE WHEN same < n THEN 'true' ELSE 'false' END || ',"unchanged":' || same || CASE WHEN exact > 0 THEN ',"methods":{"exact":' || exact || '}' ELSE '' END || '}' FROM total""",
     "address_diff": """SELECT pair_id, addr, 'a' AS side FROM (SELECT pair_id, addr FROM pa EXCEPT SELECT pair_id, addr FROM pb) UNION ALL SELECT pair_id, addr, 'b' FROM (SELECT pair_id, addr FROM pb EXCEPT SELECT pair_id, addr FROM pa)""",
     "pair_jaccard": """, x AS (SELECT pair_id, func_id AS a_id, func_id - 1 AS doc, anchors FROM pa), y AS (SELECT pair_id, func_id AS b_id, func_id - 1000020 AS doc, anchors FROM pb WHERE func_id < 2000000000)
         SELECT pair_id, a_id, b_id, round(CASE WHEN len(x.anchors) = 0 OR len(y.anchors) = 0 THEN 0 ELSE len(list_intersect(x.anchors, y.anchors)) / (len(x.anchors) + len(y.anchors) - len(list_intersect(x.anchors, y.anchors))) END, 9) AS jaccard FROM x JOIN y USING (pair_id, doc)""",

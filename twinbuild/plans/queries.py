@@ -109,6 +109,12 @@ def function_views(spark, sf_dir):
     return views.select("program_id", "func_id", "name", "summary", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"), "size")
 
 
+@query
+def caller_chunks(spark, sf_dir):
+    """The callers of each function, 8 a row at most; the first function of a program has a quarter of them all."""
+    return navigate.caller_chunks(_both(spark, sf_dir)[0], 8).withColumn("callers", F.array_join("callers", ","))
+
+
 @query
 def search(spark, sf_dir):
     return navigate.search(_both(spark, sf_dir)[0], "F1").select("program_id", "func_id", "name")
@@ -222,13 +228,22 @@ def exact_matches(spark, sf_dir):
     return matching.match_exact(*matching.two_sides(model, pairs)).select("pair_id", "a_id", "b_id")
 
 
+def _exact_rows(spark, sf_dir):
+    model, pairs, found, left_a, left_b = _leftovers(spark, sf_dir)
+    found = found.withColumns({"status": F.lit("matched"), "confidence": F.lit(100)})
+    return diff.diff_rows(diff.Diff(found, left_a.select("pair_id", "func_id"), left_b.select("pair_id", "func_id")), navigate.display_names(model), pairs)
+
+
 @query
 def exact_summary(spark, sf_dir):
     """What changed between build A and build B, by exact identity."""
-    model, pairs, found, left_a, left_b = _leftovers(spark, sf_dir)
-    found = found.withColumns({"status": F.lit("matched"), "confidence": F.lit(100)})
-    rows = diff.diff_rows(diff.Diff(found, left_a.select("pair_id", "func_id"), left_b.select("pair_id", "func_id")), navigate.display_names(model), pairs)
-    return diff.diff_summary(rows).select("pair_id", "unchanged", "renamed", "removed", "added")
+    return diff.diff_summary(_exact_rows(spark, sf_dir)).select("pair_id", "unchanged", "renamed", "removed", "added")
+
+
+@query
+def exact_report_chunks(spark, sf_dir):
+    """The same as a report, 16 functions a row at most."""
+    return diff.diff_report_chunks(stored(_exact_rows(spark, sf_dir), "rows"), 16)
 
 
 @query
