@@ -179,3 +179,14 @@ def test_forest_sees_rows_that_repeat(spark):
     stats = spark.range(30_000).select(F.lit(1).alias("doc_id"), *((F.lit(100) if c == "n_words" else F.when(F.col("id") < 29_900, F.lit(7)).otherwise(F.col("id"))).cast("long").alias(c) for c in (*COUNTS, *rules.EXTRA)))
     forest = rules.fit_forest(stats, trees=10, tree_rows=256)
     assert forest is not None and forest.tree_rows == 256
+
+
+def test_long_texts_are_counted_in_slices():
+    text = "".join(chr(97 + k * k % 26) if k % 7 else " Éß漢😀"[k % 5] for k in range(5_000))
+    whole = np.bincount(language_id.hashed_ngrams(text, 12, (1, 2, 3)), minlength=1 << 12)
+    for at_once in (1, 2, 3, 64, 4_999, 5_002, 10_000):
+        parts = list(language_id.gram_slices(text, 12, (1, 2, 3), at_once))
+        assert len(parts) >= len(text) // at_once and (np.bincount(np.concatenate(parts), minlength=1 << 12) == whole).all()
+    assert whole.sum() == 3 * len(text.lower()) + 3
+    assert (language_id.ngram_counts(text * 60, 12, (1, 2, 3)) == np.bincount(language_id.hashed_ngrams(text * 60, 12, (1, 2, 3)), minlength=1 << 12)).all()
+    assert language_id.ngram_counts("", 12, (1, 2, 3)).sum() == 2 + 1

@@ -12,6 +12,7 @@ language in name order; repeated rows are answered each; other columns are ignor
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,33 +41,67 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, (c for m in _word.finditer(text) for c in m.group())))
 
 
+def gram_slices(text: str, bits: int, orders: tuple[int, ...], at_once: int = 1 << 17) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of the lower-cased text, padded with one blank on each side, `at_once` starts at a time.
+
+    So a very long text is never held decoded as a whole; a slice reaches over its end by as much as its n-grams do.
+    """
+    padded = f" {text.lower()} "
+    for first in range(0, len(padded), at_once):
+        chars = np.frombuffer(padded[first : first + at_once + max(orders) - 1].encode("utf-32-le", "replace"), np.uint32)
+        out = []
+        for n in orders:
+            own = chars[: at_once + n - 1]
+            if len(own) >= n:
+                h = np.full(len(own) - n + 1, n, np.uint32)
+                for k in range(n):
+                    h = (h ^ own[k : len(own) - n + 1 + k]) * _odd[k % 3]
+                    h ^= h >> np.uint32(15)
+                out.append(h >> np.uint32(32 - bits))
+        if out:
+            yield np.concatenate(out)
+
+
 def hashed_ngrams(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
-    """Bucket of every character n-gram of the lower-cased text, which is padded with one blank on each side."""
-    chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    out = []
-    for n in orders:
-        if len(chars) >= n:
-            h = np.full(len(chars) - n + 1, n, np.uint32)
-            for k in range(n):
-                h = (h ^ chars[k : len(chars) - n + 1 + k]) * _odd[k % 3]
-                h ^= h >> np.uint32(15)
-            out.append(h >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    """All of them, order by order within a slice."""
+    return np.concatenate([np.zeros(0, np.uint32), *gram_slices(text, bits, orders)])
+
+
+def ngram_counts(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
+    """How many n-grams of the text each bucket has."""
+    counts = None
+    for grams in gram_slices(text, bits, orders):
+        own = np.bincount(grams, minlength=1 << bits)
+        counts = own if counts is None else counts + own
+    return np.zeros(1 << bits, np.int64) if counts is None else counts
 
 
 def fit_language(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", bits: int = 15, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, most_languages: int = 400) -> LanguageModel | None:
     """Count n-grams over all documents that pass `usable` and have text and language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.lit(True) if usable is None else usable)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
 
-    def counted(batches):
+    def counted(batches, at_once=1 << 18):
         table: dict[str, np.ndarray] = {}
         documents: dict[str, int] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+
+        def count(x: str) -> None:
+            if grams := waiting.pop(x, None):
+                table[x] += np.bincount(np.concatenate(grams), minlength=1 << bits)
+
         for texts, langs in slices(batches, "text", "lang", rows=128):
             for x in set(langs):
-                grams = [hashed_ngrams(t, bits, orders) for t, y in zip(texts, langs, strict=True) if y == x]
                 table.setdefault(x, np.zeros(1 << bits, np.int64))
-                table[x] += np.bincount(np.concatenate(grams), minlength=1 << bits)
-                documents[x] = documents.get(x, 0) + len(grams)
+                size = 0
+                for t in (t for t, y in zip(texts, langs, strict=True) if y == x):
+                    documents[x] = documents.get(x, 0) + 1
+                    for grams in gram_slices(t, bits, orders):
+                        waiting.setdefault(x, []).append(grams)
+                        size += len(grams)
+                        if size > at_once:
+                            count(x)
+                            size = 0
+                count(x)
         for x, counts in table.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], documents[x]))], names=["lang", "bucket", "n"])
@@ -74,17 +109,17 @@ def fit_language(docs: DataFrame, usable: Column | None = None, text: str = "tex
     sums = stored(by_bytes(rows).mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
     if (found := sums.where("bucket = -1").count()) > most_languages:
         raise ValueError(f"{found} languages; at most {most_languages} fit the matrix that tasks hold")
-    got = sums.toPandas()  # at most languages x buckets rows, however many documents there are
-    if got.empty:
+    if not found:
         return None
-    languages = sorted(got["lang"].unique())
+    lists = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang")  # as long as there are buckets
+    got = lists.select("lang", F.col("c.bucket").alias("buckets"), F.col("c.n").alias("ns")).toArrow()  # a row a language, as numbers, however many documents there are
+    languages = got.column("lang").to_pylist()
     counts = np.full((1 << bits, len(languages)), alpha)
     prior = np.zeros(len(languages))
-    for k, x in enumerate(languages):
-        own = got[got["lang"] == x]
-        prior[k] = own.loc[own["bucket"] < 0, "n"].sum()
-        own = own[own["bucket"] >= 0]
-        counts[own["bucket"], k] += own["n"]
+    for k in range(len(languages)):
+        at, n = (got.column(c)[k].values.to_numpy() for c in ("buckets", "ns"))
+        prior[k] = n[at < 0].sum()
+        counts[at[at >= 0], k] += n[at >= 0]
     return LanguageModel(languages, np.log(counts / counts.sum(0)).astype(np.float32), np.log(prior / prior.sum()), bits, orders)
 
 
@@ -105,7 +140,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
                         names.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    counts = np.bincount(hashed_ngrams(x, m.bits, m.orders), minlength=1 << m.bits)
+                    counts = ngram_counts(x, m.bits, m.orders)
                     at = np.flatnonzero(counts)
                     total = counts[at].astype(np.float32) @ m.log_prob[at] + m.log_prior
                     best = int(np.argmax(total))
