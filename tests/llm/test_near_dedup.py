@@ -1,5 +1,6 @@
 import random
 
+from twinbuild.llm import near_dedup
 from twinbuild.llm.near_dedup import Banding, components, least_matches, near_duplicates, one_of_each
 
 
@@ -72,6 +73,39 @@ def test_group_of_copies_and_chain(spark):
     check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Banding(width=2)).collect(), rows, 2)
 
 
+def edited(words, times, rng):
+    out = list(words)
+    for _ in range(times):
+        out[rng.randrange(len(out))] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies with up to 14 words changed each: each is like the centre or, nearly always, like nothing, so few others need a test."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(146)]
+    rows = [(k, " ".join(edited(base, rng.randint(0, 14), rng))) for k in range(800)]
+    tested, plausible = [], near_dedup._plausible
+    monkeypatch.setattr(near_dedup, "_plausible", lambda pairs, *a: tested.append(pairs.count()) or plausible(pairs, *a))
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 5)
+    assert len(tested) == 2 and tested[1] < len(rows) // 8
+
+
+def test_links_between_what_is_not_like_the_centre(spark):
+    """Pairs that share additions to a common origin, that lack the same of it, and that do both."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(140)]
+    rows = [base, *(edited(base, 1, rng) for _ in range(20))]
+    for k in range(12):
+        own = edited(base, 5, rng)  # adds
+        rows += [own, edited(own, 1, rng), edited(own, 2, rng)]
+        at, size = rng.randrange(100), rng.randint(26, 40)
+        own = base[:at] + base[at + size :]  # lacks
+        rows += [own, own[: at - 3] + own[at:] if at > 3 else own[5:], edited(own, 1, rng), own[:-4]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 5)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(70, 60), (60, 60)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}

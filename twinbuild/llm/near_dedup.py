@@ -8,14 +8,16 @@ is one bit of every hash and is part of the join, so pairs that fail it are neve
 confirmed on their full sets.
 
 Candidates come in two rounds. First every node of a band's bucket meets one node of it, the bucket's
-centre. Then, only in buckets that still hold several components, nodes of different components meet,
-unless what sets each of them apart from the centre already rules a link out. That is known from small
-bit maps of the shingles that a node lacks and of those that it adds: the lacking ones of both nodes are
-missing from the intersection, and added ones are in it only if both nodes add them. The bound is exact.
-So a group of n near copies costs about n pairs, and no pair that shares a band and could join two
-components goes untested. The walk over what is left of a bucket is cut into squares of `block` x `block`
-members, each of which is a task's group of its own, however large the bucket; and a node that very many
-pairs name (a centre) meets them by a broadcast of its row.
+centre: the node that shares most bands with others, which is the one that most copies were made from.
+Then, only in buckets that still hold several components, nodes of different components meet if what sets
+each of them apart from the centre allows a link. Almost always a link asks that both add the same shingle
+to the centre's, so an index of added shingles (the rarest of each node: prefix filter) finds the pairs; how
+many must be shared follows from both sizes and from how many shingles each node lacks. Pairs that could
+link by what they lack alone are known by two numbers a node, and meet in squares of `block` x `block` nodes.
+Both ways are exact (see `_across`). Small bit maps of the lacking and the added shingles bound the intersection
+further before a pair is made. So a group of n near copies costs about n pairs, and no pair that shares a band
+and could join two components goes untested. A node that very many pairs name (a centre) meets them by a
+broadcast of its row.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a text with fewer words
 than a shingle is one shingle; rows without an id are linked with nothing and have no component;
@@ -30,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -222,7 +224,7 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding,
 
     def measured(batches):
         for batch in batches:
-            link, sizes, lacks, adds, n_adds = [], [], [], [], []
+            link, sizes, lacks, adds, added = [], [], [], [], []
             for xs, ys in slices([batch], "_a", "_b", rows=64):
                 for x, y in zip(xs, ys, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -232,11 +234,54 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Banding,
                     sizes.append(len(y))
                     lacks.append(bit_map(np.setdiff1d(y, x, assume_unique=True)))
                     adds.append(bit_map(new))
-                    n_adds.append(len(new))
+                    added.append(new.view(np.int64))
             own = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(link, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(lacks, longs), pa.array(adds, longs), pa.array(n_adds, pa.int32())], names=["a", "b", "linked", "n_centre", "lacks", "adds", "n_adds"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(link, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(lacks, longs), pa.array(adds, longs), pa.array(list(map(len, added)), pa.int32()), pa.array(added, longs)], names=["a", "b", "linked", "n_centre", "lacks", "adds", "n_adds", "added"])
 
-    return by_bytes(both.select("a", "b", "_a", "_b")).mapInArrow(measured, "a long, b long, linked boolean, n_centre int, lacks array<long>, adds array<long>, n_adds int")
+    return by_bytes(both.select("a", "b", "_a", "_b")).mapInArrow(measured, "a long, b long, linked boolean, n_centre int, lacks array<long>, adds array<long>, n_adds int, added array<long>")
+
+
+def _across(rows: DataFrame, how: Banding) -> DataFrame:
+    """Pairs (a, b) of rows with one centre and different roots that may link; a row is a node and how it differs from a centre.
+
+    Say x adds a and lacks l of the centre's shingles. The threshold allows x and y to differ in share * (|x| + |y|) shingles,
+    where share = (1 - t) / (1 + t). What they differ in is what sets each apart from the centre less, twice, what both have
+    of that; so they must have (over(x) + over(y)) / 2 of it in common, where over(x) = a + l - share * |x|. Lacking ones make up
+    min(l(x), l(y)) of that at most. Either that is enough, which means over(y) <= under(x) and over(x) <= under(y), where
+    under(x) = l - a + share * |x|; or they add a shingle that is the same. Two nodes that link with the centre have one root.
+    """
+    share = (1 - how.threshold) / (1 + how.threshold)
+    lacking = F.col("n_centre") - F.col("n_shingles") + F.col("n_adds")
+    rows = rows.withColumn("n_lacks", lacking).withColumn("over", F.col("n_adds") + F.col("n_lacks") - share * F.col("n_shingles")).withColumn("under", F.col("n_lacks") - F.col("n_adds") + share * F.col("n_shingles"))
+    apart = lambda c: F.when(~F.col("linked"), F.col(c))
+    ranges = rows.groupBy("centre").agg(F.min("over").alias("_low"), F.max("under").alias("_high"), F.min(apart("over")).alias("_low_apart"), F.max(apart("under")).alias("_high_apart"))
+    partner = lambda c: F.when(F.col("linked"), F.col(f"{c}_apart")).otherwise(F.col(c))
+    rows = rows.join(_small(stored(ranges, "ranges")), "centre").withColumn("_least", partner("_low")).withColumn("_most", partner("_high")).where("_least is not null")
+    rows = stored(rows.drop("_low", "_high", "_low_apart", "_high_apart"), "apart")
+    own = rows.drop("added", "linked", "_least", "_most")
+    shared = _most_shared("a", "b")
+    near = shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared)
+    may = (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b")
+
+    needed = F.greatest(F.lit(1), F.ceil((F.col("over") + F.col("_least")) / 2 - F.col("n_lacks") - 1e-6)).cast("int")
+    adding = rows.withColumn("_needed", needed).where("n_adds >= _needed").select("node", "centre", "_needed", F.explode("added").alias("shingle"))
+    often = adding.groupBy("centre", "shingle").agg(F.count("*").alias("_n")).where("_n > 1")  # the others are rarer and first in the prefix
+    of = Window.partitionBy("node", "centre")
+    ranked = adding.join(often, ["centre", "shingle"]).withColumn("_at", F.row_number().over(of.orderBy("_n", "shingle"))).withColumn("_all", F.count("*").over(of))
+    posted = stored(ranked.where("_at <= _all - _needed + 1").select("node", "centre", "shingle").join(own, ["node", "centre"]), "posted")
+    a, b = posted.alias("a"), posted.alias("b")
+    by_adding = a.join(b, (F.col("a.centre") == F.col("b.centre")) & (F.col("a.shingle") == F.col("b.shingle")) & may)
+
+    lacks = rows.where("over <= _most + 1e-6 and under >= _least - 1e-6").select(*own.columns)
+    cuts = lacks.groupBy("centre").agg(F.ceil(F.count("*") / how.block).cast("int").alias("_cuts")).where("_cuts > 1")
+    lacks = stored(lacks.join(_small(stored(cuts, "cuts")), "centre", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")), "walked")
+    every = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
+    a, b = lacks.select("*", F.col("_own").alias("_i"), every.alias("_j")).alias("a"), lacks.select("*", F.col("_own").alias("_j"), every.alias("_i")).alias("b")
+    square = (F.col("a.centre") == F.col("b.centre")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
+    enough = (F.col("a.over") <= F.col("b.under") + 1e-6) & (F.col("b.over") <= F.col("a.under") + 1e-6)
+    by_lacking = a.join(b, square & enough & may)
+    pair = [F.col("a.node").alias("a"), F.col("b.node").alias("b")]
+    return by_adding.select(*pair).unionByName(by_lacking.select(*pair)).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -284,8 +329,10 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
     nodes = stored(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("_x.doc_id").alias("first_doc"), "_x.n_shingles", "_x.bands", "_x.sketch", "_x.signature"), "nodes")
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("node").alias("_at"), "node")).alias("_c")).where("_n > 1").select("key", F.col("_c.node").alias("centre"))
-    members = stored(keys.join(centres, "key"), "members")
+    members = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "key"), "shared")
+    alike = members.groupBy("node").agg((-F.sum("_n")).alias("_far"))
+    centres = members.join(alike, "node").groupBy("key").agg(F.min(F.struct("_far", F.xxhash64("node").alias("_at"), "node")).alias("_c")).select("key", F.col("_c.node").alias("centre"))
+    members = stored(members.drop("_n").join(centres, "key"), "members")
     facts = nodes.select("node", "n_shingles", "sketch")
 
     def met(pairs: DataFrame) -> DataFrame:
@@ -302,24 +349,12 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), text: str = "text
     roots = stored(components(links(first)), "roots")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    open_members = stored(placed.join(mixed, "key").where("node <> centre"), "open")
+    open_members = stored(placed.join(mixed, "key").where("node <> centre").select("node", "centre", "root").distinct(), "open")
     # pairs with a centre that the signatures ruled out say how a node differs from it, too
-    unmeasured = stored(open_members.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "unmeasured")
+    unmeasured = stored(open_members.select(F.col("node").alias("a"), F.col("centre").alias("b")).join(first, ["a", "b"], "left_anti"), "unmeasured")
     known = first.unionByName(stored(_measured(unmeasured, nodes, docs, how, text), "links"))
-    left = open_members.join(known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "n_centre", "lacks", "adds", "n_adds"), ["node", "centre"])
-    left = stored(left.drop("centre"), "open-members")
-    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most as many as there are bands
-    left = left.join(keys, "node").join(facts, "node")
-    cuts = left.groupBy("key").agg(F.ceil(F.count("*") / how.block).cast("int").alias("_cuts")).where("_cuts > 1")
-    left = stored(left.join(_small(stored(cuts, "cuts")), "key", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")), "walked")
-    every = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
-    a, b = left.select("*", F.col("_own").alias("_i"), every.alias("_j")).alias("a"), left.select("*", F.col("_own").alias("_j"), every.alias("_i")).alias("b")
-    shared = _most_shared("a", "b")
-    near = shared >= F.lit(how.threshold - 1e-9) * (F.col("a.n_shingles") + F.col("b.n_shingles") - shared)
-    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that two nodes share, one makes the pair
-    square = (F.col("a.key") == F.col("b.key")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
-    across = a.join(b, square & (F.col("a.root") < F.col("b.root")) & near & _could_link(how, "a", "b") & once)
-    second = measured(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    left = open_members.join(known.withColumnsRenamed({"a": "node", "b": "centre"}), ["node", "centre"])
+    second = measured(_across(left.join(facts, "node"), how))
     roots = components(links(first).unionByName(links(second)))
 
     roots = stored(roots, "roots")
