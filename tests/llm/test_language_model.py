@@ -3,8 +3,10 @@ from math import log10
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from twinbuild.llm import language_model
 from twinbuild.llm.common import held_out, stored
 from twinbuild.llm.language_model import Network, Shape, count_tokens, describe, run, score_documents, score_texts, train
 
@@ -99,3 +101,61 @@ def test_words_cover_the_corpus_and_classes_divide_them(spark):
     states = np.random.default_rng(0).normal(size=(1, shape.state)).astype(np.float32)
     every = np.arange(shape.words + shape.tails)
     assert abs(np.exp(net.outputs(np.repeat(states, len(every), 0), every, False)[0]).sum() - 1) < 1e-4
+
+
+def plain(net, doc):
+    """The log probability of a document, a token at a time."""
+    p, s = {k: v.astype(np.float64) for k, v in net.p.items()}, net.shape
+    h, total, source = np.zeros(s.state), 0.0, s.words - 1
+    for t in doc:
+        x, (z, r, again) = p["gates"][:, source], h @ p["recurrent"]
+        z, r = 1 / (1 + np.exp(x[0] + z)), 1 / (1 + np.exp(x[1] + r))
+        new = np.tanh(x[2] + r * again)
+        h = z * h + (1 - z) * new
+        c = net.class_of[t]
+        g = net.group_of[c]
+        for name, k, low, high in [("group", g, 0, len(net.groups) - 1), ("class", c, net.groups[g], net.groups[g + 1]), *([("word", t, net.bounds[c], net.bounds[c + 1])] if t < s.words else [])]:
+            logits = p[name][low:high] @ np.append(h, 1)
+            total += logits[k - low] - np.logaddexp.reduce(logits)
+        source = t
+    return total
+
+
+def test_same_as_a_token_at_a_time():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 68, n) for n in (1, 25, 7, 40)]
+    for span in (1, 400):  # with 400, exponentials need their maximum taken off
+        net = Network(SMALL)
+        for name in ("group", "class", "word"):
+            net.p[name] *= span
+        assert np.allclose(run(net, docs, False), [plain(net, d) for d in docs], rtol=1e-4)
+
+
+def test_parts_of_a_level_give_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    states, targets = rng.normal(0, 0.5, (200, 8)).astype(np.float32), rng.integers(0, 68, 200)
+    whole = Network(SMALL).outputs(states, targets, True)
+    monkeypatch.setattr(language_model, "AT_ONCE", 7)
+    parts, again = Network(SMALL), Network(SMALL).outputs(states, targets, True)
+    parts.outputs(states[:5], targets[:5], True)  # what one window leaves does not enter the next
+    for got in (again, parts.outputs(states, targets, True)):
+        assert np.allclose(got[0], whole[0], atol=1e-5) and np.allclose(got[2], whole[2], atol=1e-5)
+        assert all(np.allclose(got[1][k], g, atol=1e-4) for k, g in whole[1].items())
+    rows = parts.outputs(states[:1], targets[:1], True)[1]["word"].any(1)
+    assert rows.sum() <= 8  # one target, one class
+
+
+def test_work_runs_over_whole_arrays():
+    """Gates lie side by side, texts of some batches are scored together, and an id's rows are added up, however often it comes."""
+    ids, fresh = np.zeros((4, 3), int), np.zeros((4, 3), bool)
+    before, (z, r), inner, new = Network(SMALL).forward(np.zeros((3, 8), np.float32), ids, fresh, True)[1]
+    assert all(x.shape == (4, 3, 8) and x.flags.c_contiguous for x in (before, z, r, inner, new))
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"x" * 40] * 3)], names=["_ids"])] * 5  # 30 tokens and 16 bytes of places
+    assert [len(x) for x in language_model._together(iter(batches), 60)] == [2, 2, 1]
+    rng = np.random.default_rng(4)
+    ids, values = np.append(rng.integers(0, 30, 100), [5] * 50), rng.normal(size=(3, 150, 8))
+    rows, sums = language_model._sums_by(ids, values, 40)
+    want = np.zeros((3, 40, 8))
+    for part in range(3):
+        np.add.at(want[part], ids, values[part])
+    assert sorted(rows) == sorted(set(ids.tolist())) and np.allclose(sums, want[:, rows])

@@ -19,7 +19,8 @@ backpropagation: each task runs its documents side by side in lanes, in windows
 them, in two levels of about the root of their number, and the next round goes on from there with other
 documents. Each training document is used in one round; a task trains on about `trainer_tokens`, so the
 networks that are sent grow with the corpus, not with Spark's partitions. Scoring carries the state over the
-windows of a document from its first token to its last.
+windows of a document from its first token to its last; a task scores the texts of some batches together, so
+that few steps serve long texts alone.
 
 The counts of very frequent tokens (`held_counts`) are broadcast; the others are joined to the documents'
 rare tokens by a shuffle.
@@ -33,18 +34,20 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 from functools import cache
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinbuild.llm.common import by_bytes, hash_sample, split_words, stored
 
 END = b""  # no word is empty
+WIDER = 8  # windows of scoring, which depends on their size in time only
 LOG10 = np.log(10.0)
+AT_ONCE = 1 << 17  # logits
 
 
 @dataclass(frozen=True)
@@ -184,9 +187,13 @@ def _most_frequent(named: DataFrame, bins: list, size: int) -> list[tuple[bytes,
 
 
 class Network:
-    """A gated recurrent layer over token ids, and the two softmax levels above it."""
+    """A gated recurrent layer over token ids, and the levels of the softmax above it.
 
-    NAMES = ("gates", "recurrent", "group_weight", "group_bias", "class_weight", "class_bias", "word_weight", "word_bias")
+    Each gate's numbers lie side by side (gates are kept, reset, new state; a level's bias is the last column of its weights),
+    so that every operation runs over whole arrays in the order of memory.
+    """
+
+    NAMES = ("gates", "recurrent", "group", "class", "word")
 
     def __init__(self, shape: Shape, frequencies: np.ndarray | None = None, seed: int = 7, flat: np.ndarray | None = None):
         """New parameters, from a unigram model if there are frequencies; or those of another network, from its `flat`."""
@@ -197,28 +204,26 @@ class Network:
         groups = max(1, round(n_classes**0.5))
         self.groups = np.linspace(0, n_classes, groups + 1).astype(int)
         self.group_of = np.repeat(np.arange(groups), np.diff(self.groups))
-        self.sizes = {
-            "gates": (shape.words + shape.tails, 3 * h), "recurrent": (h, 3 * h), "group_weight": (groups, h), "group_bias": (groups,),
-            "class_weight": (n_classes, h), "class_bias": (n_classes,), "word_weight": (shape.words, h), "word_bias": (shape.words,),
-        }
+        self.sizes = {"gates": (3, shape.words + shape.tails, h), "recurrent": (3, h, h), "group": (groups, h + 1), "class": (n_classes, h + 1), "word": (shape.words, h + 1)}
+        self.room, self.parts = np.empty(0, np.float32), {}
         if flat is not None:
             self.load(flat)
             self.seen = {k: np.full(v, 1e-3, np.float32) for k, v in self.sizes.items()}
             return
         rng = np.random.default_rng(seed)
-        self.p = {
-            "gates": rng.normal(0, 0.1, (shape.words + shape.tails, 3 * h)), "recurrent": rng.normal(0, h**-0.5, (h, 3 * h)),
-            "group_weight": rng.normal(0, 0.1, (groups, h)), "group_bias": np.zeros(groups), "class_weight": rng.normal(0, 0.1, (n_classes, h)), "class_bias": np.zeros(n_classes),
-            "word_weight": rng.normal(0, 0.1, (shape.words, h)), "word_bias": np.zeros(shape.words),
-        }
+        by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, h).transpose(1, 0, 2))
+        self.p = {"gates": by_gate(rng.normal(0, 0.1, (shape.words + shape.tails, 3 * h))), "recurrent": by_gate(rng.normal(0, h**-0.5, (h, 3 * h)))}
+        for k in ("group", "class", "word"):
+            self.p[k] = np.zeros(self.sizes[k])
+            self.p[k][:, :h] = rng.normal(0, 0.1, (len(self.p[k]), h))
         if frequencies is not None:  # start from the unigram model
             f = np.maximum(frequencies, 0.5)
             own = np.add.reduceat(f[: shape.words], self.bounds[:-1])
             of_class = np.concatenate((own, f[shape.words :]))
             of_group = np.add.reduceat(of_class, self.groups[:-1])
-            self.p["group_bias"] = np.log(of_group / f.sum())
-            self.p["class_bias"] = np.log(of_class / of_group[self.group_of])
-            self.p["word_bias"] = np.log(f[: shape.words] / own[self.class_of[: shape.words]])
+            self.p["group"][:, h] = np.log(of_group / f.sum())
+            self.p["class"][:, h] = np.log(of_class / of_group[self.group_of])
+            self.p["word"][:, h] = np.log(f[: shape.words] / own[self.class_of[: shape.words]])
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
@@ -240,146 +245,185 @@ class Network:
         """
         n, kind = self.shape.state, self.p["gates"].dtype
         steps, width = ids.shape
-        x, recurrent = self.p["gates"][ids], self.p["recurrent"]
+        x, recurrent = self.p["gates"].take(ids, axis=1), self.p["recurrent"]
         memory = steps if keep else 1
         states, new = np.empty((steps, width, n), kind), np.empty((memory, width, n), kind)
-        gates, again, change = np.empty((memory, width, 2 * n), kind), np.empty((memory, width, 3 * n), kind), np.empty((width, n), kind)
-        starts = fresh.any(1)
+        gates, again, change = np.empty((2, memory, width, n), kind), np.empty((3, memory, width, n), kind), np.empty((width, n), kind)
+        starts = fresh.any(1).tolist()
+        own = h
         for t in range(steps):
             k = t if keep else 0
-            own = states[t - 1] if t else h
             if starts[t]:
                 own = np.where(fresh[t][:, None], kind.type(0), own)
-            zr, candidate, a, out = gates[k], new[k], again[k], states[t]
+            zr, candidate, a, out = gates[:, k], new[k], again[:, k], states[t]
             np.matmul(own, recurrent, out=a)
-            np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=zr)
+            np.add(x[:2, t], a[:2], out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            np.multiply(zr[:, n:], a[:, 2 * n :], out=candidate)
-            candidate += x[t, :, 2 * n :]
+            np.multiply(zr[1], a[2], out=candidate)
+            candidate += x[2, t]
             np.tanh(candidate, out=candidate)
             np.subtract(own, candidate, out=change)
-            change *= zr[:, :n]
+            change *= zr[0]
             np.add(candidate, change, out=out)
+            own = out
         if not keep:
             return states, ()
         before = np.concatenate((h[None], states[:-1]))
         before[fresh] = 0
-        return states, (before, gates, again[:, :, 2 * n :], new)
+        return states, (before, gates, again[2], new)
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
         """Log probability of each target (for a tail class, of the class); with learn also the gradients.
 
         Rows are taken in the order of their targets, which is also that of their classes and groups.
         """
+        n, kind = self.shape.state, self.p["word"].dtype
         order = _in_order(targets, len(self.class_of))
         target = targets[order]
-        own = states[order].astype(self.p["word_weight"].dtype, copy=False)
+        own = np.ones((len(order), n + 1), kind)  # the last is what the bias is multiplied with
+        own[:, :n] = states.take(order, axis=0)
         of, known = self.class_of[target], int(np.searchsorted(target, self.shape.words))
-        score, back, grads = np.zeros(len(own)), np.zeros_like(own), {}
+        score, back, grads = np.zeros(len(own)), np.zeros((len(own), n), kind), {}
         for name, rows, item, bounds in (("group", len(own), self.group_of[of], np.array([0, len(self.groups) - 1])), ("class", len(own), of, self.groups), ("word", known, target, self.bounds)):
             grads |= self._level(name, own[:rows], item[:rows], bounds, score[:rows], back[:rows], learn)
         placed = np.empty(len(own))
         placed[order] = score
         if not learn:
             return placed, grads, None
-        placed_back = np.empty_like(back)
-        placed_back[order] = back
-        return placed, grads, placed_back
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return placed, grads, back.take(place, axis=0)
 
     def _level(self, name: str, own: np.ndarray, item: np.ndarray, bounds: np.ndarray, score: np.ndarray, back: np.ndarray, learn: bool) -> dict:
         """One factor of the softmax: the log of p(item | its segment of bounds) is added to score, its gradient by the states to back.
 
-        Rows come in the order of their items. The logits of all rows, each over its own segment, lie in one flat array.
+        Rows come in the order of their items. The logits of a row are those of its own segment; those of some segments lie in one
+        flat array at a time, small enough for a core's cache.
         """
-        weight, bias = self.p[f"{name}_weight"], self.p[f"{name}_bias"]
+        parts, grad = self._parts(name, bounds)
+        n, kind = own.shape[1] - 1, own.dtype
         cuts, sizes = np.searchsorted(item, bounds), np.diff(bounds)
         rows = np.diff(cuts)
-        segment = np.repeat(np.arange(len(sizes)), rows)
         begin = np.append(0, np.cumsum(rows * sizes))
-        starts = begin[segment] + (np.arange(len(own)) - cuts[segment]) * sizes[segment]
-        picked = starts + item - bounds[segment]
-        flat = np.empty(begin[-1], weight.dtype)
-        live = [(slice(cuts[c], cuts[c + 1]), slice(bounds[c], bounds[c + 1]), flat[begin[c] : begin[c + 1]].reshape(rows[c], sizes[c])) for c in np.flatnonzero(rows).tolist()]
-        for r, here, e in live:
-            np.matmul(own[r], weight[here].T, out=e)
-            e += bias[here]
-        top = 0.0
-        if not _bounded(weight, bias, np.abs(own).max(initial=0)) and len(flat):
-            top = np.maximum.reduceat(flat, starts)
-            flat -= np.repeat(top, sizes[segment])
-        score += flat[picked]
-        np.exp(flat, out=flat)
-        sums = np.add.reduceat(flat, starts) if len(flat) else np.ones(0, weight.dtype)
-        score -= np.log(sums)
-        if not learn:
-            return {}
-        flat[picked] -= sums  # what is expected, less what came
-        scale, n = 1 / sums, own.shape[1]
-        scaled, through, grad = np.empty((len(own), n + 1), own.dtype), np.empty_like(own), np.zeros((len(weight), n + 1), own.dtype)
-        np.multiply(own, scale[:, None], out=scaled[:, :n])
-        scaled[:, n] = scale
-        for r, here, e in live:
-            np.matmul(e, weight[here], out=through[r])
-            np.matmul(e.T, scaled[r], out=grad[here])
-        through *= scale[:, None]
-        back += through
-        return {f"{name}_weight": grad[:, :n], f"{name}_bias": grad[:, n]}
+        edges = np.unique(np.append(np.searchsorted(begin, np.arange(0, begin[-1], AT_ONCE)), len(sizes))).tolist()
+        ends, widths, heights, places = cuts.tolist(), sizes.tolist(), rows.tolist(), begin.tolist()
+        for low, high in zip(edges, edges[1:]):
+            first, size = ends[low], places[high] - places[low]
+            part = slice(first, ends[high])
+            segment = np.repeat(np.arange(low, high), rows[low:high])
+            starts = begin[segment] - places[low] + (np.arange(first, ends[high]) - cuts[segment]) * sizes[segment]
+            picked = starts + item[part] - bounds[segment]
+            if len(self.room) < size or self.room.dtype != kind:
+                self.room = np.empty(size + AT_ONCE, kind)
+            flat, states = self.room[:size], own[part]
+            live, at = [], 0
+            for c in range(low, high):
+                if heights[c]:
+                    to = at + heights[c] * widths[c]
+                    r, e = slice(ends[c] - first, ends[c + 1] - first), flat[at:to].reshape(heights[c], widths[c])
+                    np.dot(states[r], parts[c][0], out=e)
+                    live.append((r, e, parts[c]))
+                    at = to
+                elif learn:
+                    parts[c][2].fill(0)
+            logit = flat[picked]
+            if size and not (flat.max() < 60 and logit.min() > -60):  # exponentials might overflow, or all of a row vanish
+                top = np.maximum.reduceat(flat, starts)
+                flat -= np.repeat(top, sizes[segment])
+                logit -= top
+            np.exp(flat, out=flat)
+            sums = np.add.reduceat(flat, starts) if size else np.ones(0, kind)
+            score[part] += logit - np.log(sums)
+            if not learn:
+                continue
+            flat[picked] -= sums  # what is expected, less what came
+            scale = (1 / sums)[:, None]
+            scaled, through = states * scale, np.empty((len(picked), n), kind)
+            for r, e, (_, weights, g) in live:
+                np.dot(e, weights, out=through[r])
+                np.dot(e.T, scaled[r], out=g)
+            through *= scale
+            back[part] += through
+        return {name: grad} if learn else {}
+
+    def _parts(self, name: str, bounds: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """Each segment's weights (with the bias, turned; without it) and the place of their gradient, and the whole gradient; the same arrays in every window."""
+        weight = self.p[name]
+        held = self.parts.get(name)
+        if held is None or held[0] is not weight:
+            grad, cuts = np.zeros_like(weight), bounds.tolist()
+            each = [(weight[a:b].T, weight[a:b, :-1], grad[a:b]) for a, b in zip(cuts, cuts[1:])]
+            held = self.parts[name] = (weight, each, grad)
+        return held[1:]
 
     def backward(self, ids: np.ndarray, fresh: np.ndarray, memory: tuple, back: np.ndarray) -> dict:
         """Gradients of the recurrent part; back is steps x lanes x state. The window's first state is a constant."""
         rows, sums, g_u = self.backward_rows(ids, fresh, memory, back)
         g_gates = np.zeros_like(self.p["gates"])
-        g_gates[rows] = sums
+        g_gates[:, rows] = sums
         return {"gates": g_gates, "recurrent": g_u}
 
     def backward_rows(self, ids: np.ndarray, fresh: np.ndarray, memory: tuple, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """backward, with the gradient of `gates` as the rows that have one and their values."""
         n, u = self.shape.state, self.p["recurrent"]
-        before, gates, inner, new = memory
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        of_new = (1 - z) * (1 - new * new)
-        of_z = (new - before) * z * (1 - z)
-        of_r = inner * r * (r - 1)
-        inputs = np.empty((*ids.shape, 4 * n), u.dtype)  # of the gates, of what the reset gate lets through, of the new state
-        back_u, d = np.ascontiguousarray(u.T), np.zeros_like(back[0])
-        starts = fresh.any(1)
+        before, (z, r), inner, new = memory
+        of_z = new - before
+        of_z *= z
+        of_new = 1 - z
+        of_z *= of_new
+        of_r = new * new
+        np.subtract(1, of_r, out=of_r)
+        of_new *= of_r
+        np.subtract(r, 1, out=of_r)
+        of_r *= r
+        of_r *= inner
+        inputs = np.empty((4, *ids.shape, n), u.dtype)  # of what the reset gate lets through, of the gates, of the new state
+        back_u, d, through = np.ascontiguousarray(u[[2, 0, 1]].transpose(0, 2, 1)), np.zeros_like(back[0]), np.empty((3, *back[0].shape), u.dtype)
+        starts = fresh.any(1).tolist()
         for t in range(len(ids) - 1, -1, -1):
             d += back[t]
-            g = inputs[t]
-            g_new = g[:, 3 * n :]
+            g_again, g_z, g_r, g_new = inputs[:, t]
             np.multiply(d, of_new[t], out=g_new)
-            np.multiply(d, of_z[t], out=g[:, :n])
-            np.multiply(g_new, of_r[t], out=g[:, n : 2 * n])
-            np.multiply(g_new, r[t], out=g[:, 2 * n : 3 * n])
+            np.multiply(d, of_z[t], out=g_z)
+            np.multiply(g_new, of_r[t], out=g_r)
+            np.multiply(g_new, r[t], out=g_again)
             d *= z[t]
-            d += g[:, : 3 * n] @ back_u
+            np.matmul(inputs[:3, t], back_u, out=through)
+            for x in through:
+                d += x
             if starts[t]:
                 d[fresh[t]] = 0
-        flat = inputs.reshape(-1, 4 * n)
-        g_u = before.reshape(-1, n).T @ flat[:, : 3 * n]
-        by = _in_order(ids.ravel(), len(self.class_of))
-        unique, first = np.unique(ids.ravel()[by], return_index=True)
-        sums = np.add.reduceat(flat[by], first)
-        return unique, np.concatenate((sums[:, : 2 * n], sums[:, 3 * n :]), axis=1), g_u
-
-    def step(self, grads: dict, rows: np.ndarray, values: np.ndarray, block: int = 1024) -> None:
+        flat = inputs.reshape(4, -1, n)
+        g_u = np.matmul(before.reshape(-1, n).T, flat[:3])[[1, 2, 0]]
+        return *_sums_by(ids.ravel(), flat[1:], len(self.class_of)), g_u
+
+    def step(self, grads: dict, rows: np.ndarray, values: np.ndarray, block: int = 1 << 16) -> None:
         """Adagrad on the loss per place of a full window, so that a window of few lanes weighs little; rows and values: of `gates`."""
         n, rate = np.float32(1 / (self.shape.lanes * self.shape.window)), np.float32(self.shape.rate)
+        room = np.empty(block, np.float32)
         for k, whole in grads.items():
+            whole, all_seen, p = whole.reshape(-1), self.seen[k].reshape(-1), self.p[k].reshape(-1)
             for at in range(0, len(whole), block):
-                g, seen = whole[at : at + block] * n, self.seen[k][at : at + block]
-                square = g * g
-                seen += square
-                np.sqrt(seen, out=square)
-                g /= square
-                g *= rate
-                self.p[k][at : at + block] -= g
+                g, seen = whole[at : at + block], all_seen[at : at + block]
+                x = room[: len(g)]
+                g *= n
+                np.multiply(g, g, out=x)
+                seen += x
+                np.sqrt(seen, out=x)
+                np.divide(g, x, out=x)
+                x *= rate
+                p[at : at + block] -= x
+        all_seen, p = (x["gates"].reshape(-1, self.shape.state) for x in (self.seen, self.p))
+        rows, values = (rows + len(self.class_of) * np.arange(3)[:, None]).ravel(), values.reshape(-1, self.shape.state)
         values *= n
-        seen = self.seen["gates"][rows] + values * values
-        self.seen["gates"][rows] = seen
-        self.p["gates"][rows] -= rate * values / np.sqrt(seen)
+        seen = all_seen.take(rows, axis=0)
+        seen += values * values
+        all_seen[rows] = seen
+        values /= np.sqrt(seen, out=seen)
+        values *= rate
+        p[rows] -= values
 
 
 def _in_order(ids: np.ndarray, size: int) -> np.ndarray:
@@ -387,9 +431,25 @@ def _in_order(ids: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16) if size < 1 << 16 else ids, kind="stable")
 
 
-def _bounded(weight: np.ndarray, bias: np.ndarray, span: float) -> bool:
-    """No logit of states up to `span` is so large that its exponential needs the row's maximum taken off first."""
-    return bool(max(weight.max(), -weight.min()) * weight.shape[1] * span + max(bias.max(), -bias.min()) < 60)
+def _sums_by(ids: np.ndarray, values: np.ndarray, size: int, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids (below size) and, for each, the sum of its rows of values (parts x rows x columns).
+
+    Ids that come at most `often` times are added up together, all their first rows, then all second ones, and so on.
+    """
+    by = _in_order(ids, size)
+    ordered = ids[by]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    count = np.diff(np.append(first, len(ids)))
+    down = np.argsort(-count, kind="stable")
+    first, count = first[down], count[down]
+    more = np.searchsorted(-count, -np.arange(often + 1))  # how many ids come more than 0, 1, ... times
+    sums, ones = values.take(by[first], axis=1), np.ones(count[0], values.dtype)
+    for k in range(more[often]):
+        sums[:, k] = np.matmul(ones[: count[k]], values.take(by[first[k] : first[k] + count[k]], axis=1))
+    for j in range(1, often):
+        here = slice(more[often], more[j])
+        sums[:, here] += values.take(by[first[here] + j], axis=1)
+    return ordered[first], sums
 
 
 def lanes(documents: list[np.ndarray], shape: Shape, wider: int = 1):
@@ -438,7 +498,7 @@ def run(network: Network, documents: list[np.ndarray], learn: bool) -> np.ndarra
     if not documents:
         return total
     h = None
-    for ids, fresh, targets, valid, of, live in lanes(documents, network.shape, 1 if learn else 2):
+    for ids, fresh, targets, valid, of, live in lanes(documents, network.shape, 1 if learn else WIDER):
         h = np.zeros((live, network.shape.state), network.p["gates"].dtype) if h is None else h[:live]
         states, memory = network.forward(h, ids, fresh, learn)
         h = states[-1]
@@ -474,12 +534,13 @@ def encode(docs: DataFrame, corpus: Corpus, shape: Shape, text: str = "text", ke
 
     def encoded(batches):
         values, held_n = known.value
+        place_of = dict(zip(values.to_pylist(), range(len(values)))).get
         logs, tail_log = np.log10(held_n + 1), np.log10(tail_norm)
         for batch in batches:
             flat, sizes = split_words(batch.column(0))
             coded = flat.cast(pa.binary()).dictionary_encode()
             local, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            at = pc.index_in(unique, value_set=values).fill_null(-1).to_numpy().astype(np.int64)
+            at = np.fromiter(map(place_of, unique.to_pylist(), repeat(-1)), np.int64, len(unique))
             tail = tail_classes(unique, tails)
             ids_of = np.where((at >= 0) & (at < n_frequent), at, words + tail).astype(np.int32)
             base_of = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
@@ -520,6 +581,19 @@ def _documents(batches, name: str = "_ids", most_tokens: int = 4_000_000):
         yield ids
 
 
+def _together(batches, most_tokens: int):
+    """Lists of batches, about most_tokens together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(batch.schema.get_field_index("_ids")).nbytes // 4
+        if n >= most_tokens:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def train(docs: DataFrame, corpus: Corpus, text: str = "text", shape: Shape = Shape()) -> Network:
     """A network trained on all of docs."""
     shape = shape.fitted(corpus)
@@ -576,14 +650,15 @@ def score_encoded(encoded: DataFrame, counts: DataFrame, corpus: Corpus, network
 
     def scored(batches):
         net = Network(shape, flat=known.value)
-        for batch in batches:
-            found = [run(net, ids, learn=False) for ids in _documents([batch])]
-            tail = batch.column(batch.schema.get_field_index("_tail")).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in schema.names[:-1]), pa.array(np.concatenate(found) / LOG10 + tail if found else tail)], names=schema.names)
+        for some in _together(batches, 3 * shape.trainer_tokens // 2):  # with many texts side by side, long ones take few steps of their own
+            table = pa.Table.from_batches(some)
+            found = [run(net, ids, learn=False) for ids in _documents(some, most_tokens=2 * shape.trainer_tokens)]
+            tail = table["_tail"].to_numpy()
+            yield from table.select(schema.names[:-1]).append_column("_score", pa.array(np.concatenate(found) / LOG10 + tail if found else tail)).to_batches()
 
     first = by_bytes(encoded.drop("_rare")).mapInArrow(scored, schema)
     rare = encoded.select("_row", F.explode("_rare").alias("_w")).select("_row", "_w.word", "_w.times")
-    found = rare.join(counts, "word").groupBy("_row").agg(F.sum("times").alias("_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_log"))
+    found = rare.join(counts.hint("shuffle_hash"), "word").groupBy("_row").agg(F.sum("times").alias("_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_log"))
     out = first.join(found, "_row", "left").withColumn("_log", F.coalesce("_log", F.lit(0.0)))
     whole = float(np.log10(corpus.total + corpus.distinct + 1))
     return out.select(
