@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from twinbuild.functions import features, similarity
-from twinbuild.operators import matching
+from twinbuild.operators import matching, merge
 from twinbuild.plans import store
 from twinbuild.sources import observations, tables
 
@@ -88,3 +88,17 @@ def test_logs_are_read_once(spark):
     logs = spark.range(10).select(F.lit("p").alias("program_id"), F.col("id").cast("string").alias("run_id"), F.encode(F.lit("noise"), "UTF-8").alias("log"))
     edges, rejected = observations.read_observation_logs(logs.mapInPandas(counted, logs.schema))
     assert edges.count() == 0 and rejected.count() == 10 and seen.value == 10
+
+
+def test_a_merge_rung_with_short_lists_chooses_the_same(spark, monkeypatch):
+    """Lists of one score run out where an earlier target took the best; then they are made again, longer."""
+    bodies = [["a"] * 9 + ["b"] * k for k in (1, 1, 4, 8)]
+    ddl = "pair_id string, func_id bigint, ordered array<string>, bb_count bigint, out_degree int"
+    a, b = (store.stored(features.with_counts(spark.createDataFrame([("p", first + k, x, 4 + 9 * k, 2) for k, x in enumerate(bodies)], ddl)).drop("ordered"), "side") for first in (0, 1_000))
+    targets = a.select("pair_id", "func_id", F.col("func_id").alias("place"))
+    none = spark.createDataFrame([], merge.NO_MATCH)
+    written = []
+    monkeypatch.setattr(merge, "stored", lambda df, name: written.append((name, t := store.stored(df, name))) or t)
+    rows = lambda best: {(r["a_id"], r["b_id"]) for r in merge._rung("fuzzy", targets, a, b, none, best=best).collect()}
+    short = rows(1)
+    assert all(t.count() <= 5 * 2 * len(bodies) for name, t in written if name == "fuzzy-forward") and short == rows(64) != set()
